@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from signal_engine.llm import packing, token_io
+from signal_engine.llm import langid, packing, token_io
 from signal_engine.llm.common import Scratch
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()), public_tokenizers.path(PIECES))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op8")
     manifest = token_io.write_tokens(table(spark, sf_dir, "documents"), scratch, public_tokenizers.path(WORD_BPE), end_id=2)
@@ -28,7 +36,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
+    return {"op4_language_id": op4_language_id, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
