@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signal_engine.llm import langid, packing, token_io
+from signal_engine.llm import html_extract, langid, packing, token_io
 from signal_engine.llm.common import Scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()), public_tokenizers.path(PIECES))
@@ -36,7 +40,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_language_id": op4_language_id, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
+    return {"op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
