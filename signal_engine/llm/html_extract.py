@@ -97,6 +97,12 @@ LABELLED = (
     (3, 0.5, 0, 0.0, 4, 1.0, 0, 0),
     (4, 0.0, 2, 1.0, 3, 1.0, 0, 0),
     (18, 0.9, 50, 0.0, 40, 0.0, 0, 0),
+    (2, 1.0, 0, 0.0, 3, 0.0, 0, 0),
+    (6, 1.0, 0, 0.0, 30, 0.0, 0, 0),
+    (3, 1.0, 40, 0.0, 0, 0.0, 0, 0),
+    (2, 1.0, 2, 1.0, 0, 0.0, 0, 0),
+    (4, 1.0, 60, 0.0, 12, 0.0, 0, 0),
+    (5, 1.0, 30, 0.0, 20, 0.0, 0, 0),
 )
 
 #: Elements whose content is never text of the page.
