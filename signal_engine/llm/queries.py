@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signal_engine.llm import html_extract, langid, packing, token_io
+from signal_engine.llm import html_extract, langid, packing, token_io, url_filter
 from signal_engine.llm.common import Scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -29,6 +29,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, Scratch(spark, "op7"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op8")
     manifest = token_io.write_tokens(table(spark, sf_dir, "documents"), scratch, public_tokenizers.path(WORD_BPE), end_id=2)
@@ -40,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
+    return {"op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
