@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signal_engine.llm import ann, html_extract, langid, packing, token_io, url_filter
+from signal_engine.llm import ann, decontaminate, html_extract, langid, packing, token_io, url_filter
 from signal_engine.llm.common import Scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Scratch(spark, "op2"))
 
@@ -57,7 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_neighbours": op2_neighbours, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
+    return {"op1_decontaminate": op1_decontaminate, "op2_neighbours": op2_neighbours, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
