@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signal_engine.llm import ann, decontaminate, html_extract, langid, packing, token_io, url_filter
+from signal_engine.llm import ann, decontaminate, html_extract, langid, license_scan, packing, token_io, url_filter
 from signal_engine.llm.common import Scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 URL_RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -61,7 +65,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_neighbours": op2_neighbours, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
+    return {"op1_decontaminate": op1_decontaminate, "op2_neighbours": op2_neighbours, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
