@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signal_engine.llm import ann, chat_format, decontaminate, html_extract, langid, license_scan, packing, token_io, url_filter
+from signal_engine.llm import ann, chat_format, decontaminate, html_extract, langid, license_scan, ngram_join, packing, token_io, url_filter
 from signal_engine.llm.common import Scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+
+
 URL_RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -97,7 +101,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_neighbours": op2_neighbours, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing, "op10_chat_format": op10_chat_format}
+    return {"op1_decontaminate": op1_decontaminate, "op2_neighbours": op2_neighbours, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op6_ngram_join": op6_ngram_join, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
