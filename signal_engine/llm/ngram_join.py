@@ -275,9 +275,10 @@ class _Join:
 
     def run(self) -> DataFrame:
         s, percent = self.scratch, self.percent
-        whole = self.whole()
+        whole = s.write(self.whole(), "whole")
+        members = s.write(whole.select("doc", "n", "sid"), "members")
         nodes = s.write(whole.where("n > 0").groupBy("sid", "n").agg(F.min("doc").alias("rep"), F.first("low").alias("low")).where("rep IS NOT NULL"), "nodes")
-        members = s.write(self.members(), "members")
+        s.drop("whole")
 
         low = nodes.select(F.explode("low").alias("x"))
         maps = [self.frequent_bits(low)]
@@ -341,9 +342,6 @@ class _Join:
         of_set = named.join(label, "comp").select("sid", "component_id")
         return members.join(of_set, "sid", "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("doc")).alias("component_id"))
 
-    def members(self) -> DataFrame:
-        return self.whole().select("doc", "n", "sid")
-
     def verify(self, pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (a, b) that link, by their whole sets."""
         left, right = self.sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), self.sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
