@@ -247,32 +247,65 @@ def fit(labelled: DataFrame, vocabulary_file: str, label_col: str = "lang", text
     return estimate(letter_pieces(vocabulary_file), {k: ([w for w, _ in v], np.asarray([c for _, c in v], np.int64)) for k, v in ordered.items()})
 
 
+def _model_key(model: Model) -> str:
+    return f"{model.languages}-{float(model.p.sum()):.12f}-{float((model.p**2).sum()):.15e}"
+
+
+def _scorer(key: str, shared) -> Scorer:
+    """The worker's scorer of a broadcast model; its word cache outlives the task."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(shared.value)
+    return _SCORERS[key]
+
+
+def _decide(scorer: Scorer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(language number, posterior) of each text; the number after the last language is undetermined."""
+    logs, words = scorer.score(texts)
+    n = logs.shape[1]
+    if n == 0:
+        return np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    best = np.where(words > 0, logs.argmax(1), n)
+    return best, np.where(words > 0, 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1), 0.0)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): the most probable language of every text and its posterior under equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = f"{id(model)}-{hash(model.languages)}-{float(model.p.sum()):.12f}-{float((model.p**2).sum()):.12e}"
+    key = _model_key(model)
 
     def score(batches):
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        scorer = _SCORERS[key]
+        scorer = _scorer(key, shared)
         names = np.asarray([*scorer.model.languages, UNDETERMINED], object)
         for batch in batches:
             texts = as_arrow_string(batch.column(1))
             for i, j in slices(texts):
-                logs, words = scorer.score(texts[i:j])
-                if len(names) == 1:
-                    best, top = np.zeros(j - i, np.int64), np.zeros(j - i)
-                else:
-                    best = np.where(words > 0, logs.argmax(1), len(names) - 1)
-                    top = np.where(words > 0, 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1), 0.0)
+                best, top = _decide(scorer, texts[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(names[best], pa.string()), pa.array(top)], ["k", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(score, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", id_col)
 
 
+def keep_languages(docs: DataFrame, model: Model, languages: set[str] | None = None, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, as they are, whose text has a language: not undetermined, of the wanted ``languages`` (null: any)
+    and with at least ``min_score``. Rows pass through whole, so nothing is joined back."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key = _model_key(model)
+
+    def run(batches):
+        scorer = _scorer(key, shared)
+        names = [*scorer.model.languages, UNDETERMINED]
+        wanted = np.asarray([n != UNDETERMINED and (languages is None or n in languages) for n in names])
+        for batch in batches:
+            texts = as_arrow_string(batch.column(text_col))
+            for i, j in slices(texts):
+                best, top = _decide(scorer, texts[i:j])
+                yield batch.slice(i, j - i).filter(pa.array(wanted[best] & (top >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a row is kept from learning: CRC-32 of its id as text is divisible by 5 (a null id counts as held out)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
