@@ -163,4 +163,4 @@ def gap_merge(primary: DataFrame, extra: DataFrame) -> DataFrame:
 def ledger_merge(claims: DataFrame) -> DataFrame:
     """(identity, claim, value, evidence, contradiction): equal values grouped, most evidence wins, then the smaller."""
     per = claims.groupBy("identity", "claim", "value").agg(F.count("*").alias("evidence"))
-    return per.groupBy("identity", "claim").agg(F.max_by("value", F.struct("evidence", F.hash("value"))).alias("_"), F.min_by("value", F.struct(-F.col("evidence"), F.col("value"))).alias("value"), F.max("evidence").alias("evidence"), (F.count("*") > 1).alias("contradiction")).drop("_")
+    return per.groupBy("identity", "claim").agg(F.min_by("value", F.struct(-F.col("evidence"), F.col("value"))).alias("value"), F.max("evidence").alias("evidence"), (F.count("*") > 1).alias("contradiction"))
