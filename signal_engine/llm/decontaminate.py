@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signal_engine.llm.common import Scratch
+
 SHINGLE = 5
 RADIUS = 20
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -92,6 +94,7 @@ def block_value(fp: Column, first: int, bits: int) -> Column:
 def find_matches(
     docs: DataFrame,
     items: DataFrame,
+    scratch: Scratch,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -126,15 +129,17 @@ def find_matches(
             n = F.size("w")
             start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), n - F.col("len")))
             window = hit.select("doc", "len", start.alias("start"), F.slice("w", start + 1, F.least(F.col("len"), n)).alias("ww"))
+            # written, so that no later expression moves into the pass over all places
+            window = scratch.write(window, f"windows-{k}-{part}")
             window = window.withColumn("whs", shingles(F.col("ww"), k)).withColumn("wfp", simhash(F.col("whs"))).withColumn("wset", numbered(F.col("whs")))
             keyed = window.select("*", F.posexplode(F.array(*[block_value(F.col("wfp"), a, b) for a, b in bounds])).alias("block", "value"))
             entry = block.select("item", "len", "fp", "set", F.posexplode(F.array(*[block_value(F.col("fp"), a, b) for a, b in bounds])).alias("block", "value"))
             pair = keyed.join(F.broadcast(entry), ["len", "block", "value"])
             first = F.coalesce(*[F.when(block_value(F.col("wfp"), a, b) == block_value(F.col("fp"), a, b), F.lit(i)) for i, (a, b) in enumerate(bounds)])
-            pair = pair.withColumn("hamming", F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp")))).where((F.col("hamming") <= radius) & (F.col("block") == first))
+            hamming = F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp")))
             common, total = F.size(F.array_intersect("wset", "set")), F.size("wset") + F.size("set")
-            pair = pair.withColumn("common", common).withColumn("all", total - F.col("common")).where(100 * F.col("common") >= percent * F.col("all"))
-            one = pair.select("doc", "item", "start", "len", (F.col("common") / F.col("all")).alias("similarity"), "hamming")
+            similarity = F.when((F.col("block") == first) & (hamming <= radius), let(common, lambda c: F.when(100 * c >= percent * (total - c), c / (total - c))))
+            one = pair.select("doc", "item", "start", "len", similarity.alias("similarity"), hamming.alias("hamming")).where("similarity IS NOT NULL")
             found = one if found is None else found.unionByName(one)
     if found is None:
         kinds = {f.name: f.dataType.simpleString() for f in [*docs.schema, *items.schema]}
