@@ -1,3 +1,3 @@
 """Named queries over the driver's tables; importing this package registers them."""
 
-from signal_engine.plans import signals  # noqa: F401
+from signal_engine.plans import signals, web  # noqa: F401
