@@ -38,7 +38,7 @@ def interval_overlap(left: DataFrame, right: DataFrame, key: str, as_of: Column)
 
     def side(df: DataFrame, p: str) -> DataFrame:
         end = F.coalesce("end", F.when(F.col("is_current"), as_of))
-        return df.select(F.col(key), F.col("id").alias(f"{p}_id"), F.col("start").alias(f"{p}_s"), F.least(end, as_of).alias(f"{p}_e")).where(f"{p}_s IS NOT NULL AND {p}_e IS NOT NULL")
+        return df.select(F.col(key), F.col("id").alias(f"{p}_id"), F.col("start").alias(f"{p}_s"), F.when(end.isNotNull(), F.least(end, as_of)).alias(f"{p}_e")).where(f"{p}_s IS NOT NULL AND {p}_e IS NOT NULL")
 
     both = side(left, "left").join(side(right, "right"), key)
     both = both.withColumn("overlap_start", F.greatest("left_s", "right_s")).withColumn("overlap_end", F.least("left_e", "right_e"))
