@@ -9,7 +9,10 @@ from signal_engine.functions import text as tx
 from signal_engine.operators import enrichment, evidence, joins, portfolio, ranking, scoring
 
 AS_OF = "1998-08-02"
-as_of = F.to_date(F.lit(AS_OF))
+
+
+def as_of():
+    return F.to_date(F.lit(AS_OF))
 
 
 def events(s, d):
@@ -28,13 +31,13 @@ def _spans(s, d):
 register(
     "interval_overlap",
     f"WITH {_SPANS} SELECT a.k, a.id AS left_id, b.id AS right_id, greatest(a.st, b.st) AS overlap_start, least(a.en, b.en, DATE '{AS_OF}') AS overlap_end FROM sp a JOIN sp b ON a.k = b.k AND a.id < b.id WHERE greatest(a.st, b.st) <= least(a.en, b.en, DATE '{AS_OF}')",
-)(lambda s, d: joins.interval_overlap(_spans(s, d), _spans(s, d), "k", as_of).where("left_id < right_id"))
+)(lambda s, d: joins.interval_overlap(_spans(s, d), _spans(s, d), "k", as_of()).where("left_id < right_id"))
 register(
     "role_proximity",
     f"WITH {_SPANS}, x AS (SELECT id, k, st, CASE WHEN id % 3 = 0 THEN NULL ELSE en END AS en, id % 6 = 0 AS cur FROM sp), y AS (SELECT *, least(coalesce(en, CASE WHEN cur THEN DATE '{AS_OF}' END), DATE '{AS_OF}') AS e FROM x) "
     "SELECT a.k, a.id AS left_id, b.id AS right_id, CASE WHEN (a.en IS NULL AND NOT a.cur) OR (b.en IS NULL AND NOT b.cur) THEN 'undated' WHEN greatest(a.st, b.st) <= least(a.e, b.e) THEN 'overlap' ELSE 'non_overlapping' END AS proximity FROM y a JOIN y b ON a.k = b.k WHERE a.id < b.id",
 )(
-    lambda s, d: (lambda x: joins.role_proximity(x, x, "k", as_of).where("left_id < right_id"))(
+    lambda s, d: (lambda x: joins.role_proximity(x, x, "k", as_of()).where("left_id < right_id"))(
         _spans(s, d).withColumn("end", F.when(F.col("id") % 3 != 0, F.col("end"))).withColumn("is_current", F.col("id") % 6 == 0)
     )
 )
@@ -101,11 +104,11 @@ register(
 register(
     "freshness_buckets",
     f"WITH o AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') END AS a FROM orders) SELECT CASE WHEN a IS NULL THEN 'unknown' WHEN a < 0 THEN 'future' WHEN a <= 30 THEN '0-30' WHEN a <= 90 THEN '31-90' WHEN a <= 365 THEN '91-365' ELSE '>365' END AS bucket, count(*) AS n FROM o GROUP BY 1",
-)(lambda s, d: table(s, d, "orders").groupBy(dates.freshness_bucket(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate").cast("date")), as_of).alias("bucket")).agg(F.count("*").alias("n")))
+)(lambda s, d: table(s, d, "orders").groupBy(dates.freshness_bucket(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate").cast("date")), as_of()).alias("bucket")).agg(F.count("*").alias("n")))
 register(
     "recency_boost",
     f"WITH o AS (SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') AS a FROM orders) SELECT o_orderkey, round(CASE WHEN a >= 1095 THEN 0.5 WHEN a <= 30 THEN 1.0 ELSE 1.0 - 0.5 * (a - 30)::DOUBLE / 1065 END, 6) AS boost FROM o",
-)(lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(dates.recency_boost(F.col("o_orderdate").cast("date"), as_of), 6).alias("boost")))
+)(lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(dates.recency_boost(F.col("o_orderdate").cast("date"), as_of()), 6).alias("boost")))
 register(
     "freshness_modes",
     "WITH e AS (SELECT event_id, greatest(0, 1 - greatest(0, epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts))::DOUBLE / 86400000000 / 30) AS st FROM events) SELECT event_id, round(st, 6) AS strict, round(st * 0.8 + 0.1, 6) AS balanced, round(st * 0.6 + 0.4, 6) AS evergreen FROM e",
@@ -262,7 +265,7 @@ def accuracy_flags_action(spark, sf_dir):
     )
     # the changed rows' address stands at the old company's domain only where both are equal; here both moved
     rows = rows.withColumn("email", F.when(F.col("k") % 4 == 0, F.when(F.col("k") % 6 == 0, "").otherwise(F.concat(F.lit("u"), F.col("k").cast("string"), F.lit("@acme.com")))).otherwise(F.col("email"))).withColumn("domain", F.when(F.col("k") % 4 == 0, "").otherwise(F.col("domain")))
-    return scoring.audit_contacts(rows, as_of).select("k", F.array_join("flags", ",").alias("flags"), "email_risk", "action")
+    return scoring.audit_contacts(rows, as_of()).select("k", F.array_join("flags", ",").alias("flags"), "email_risk", "action")
 
 
 register(
