@@ -67,8 +67,9 @@ def choose_paths(messages: DataFrame, scratch: Scratch, branches: int = 1) -> Da
         if not last.where("up IS NOT NULL").head(1):
             break
         above = last.select("conv", F.col("msg").alias("up"), F.col("up").alias("next"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        doubled = last.join(above, ["conv", "up"], "left").select("conv", "msg", F.col("next").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
-        jumps.append(scratch.write(doubled, f"jump-{len(jumps)}"))
+        # messages that know their root stay as they are; every other one's ancestor is there
+        doubled = last.where("up IS NOT NULL").join(above, ["conv", "up"]).select("conv", "msg", F.col("next").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth"))
+        jumps.append(scratch.write(doubled.unionByName(last.where("up IS NULL")), f"jump-{len(jumps)}"))
     parents = jumps[0].where("up IS NOT NULL").select("conv", F.col("up").alias("msg")).distinct()
     leaves = jumps[-1].where("up IS NULL").join(parents, ["conv", "msg"], "left_anti")
     rank = Window.partitionBy("conv").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "msg")
