@@ -136,7 +136,7 @@ def double_hashed(payload: DataFrame, source: DataFrame, column: str = "hash") -
 
 def scores_with_fallback(items: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:
     """Model score clamped to 0..1 where there is one, else relevance, with its source."""
-    return items.join(scores.groupBy(key).agg(F.max("score").alias("model")), key, "left").withColumn("judge", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "model")), "relevance")).withColumn("judge_source", F.when(F.col("model").isNotNull(), "model").otherwise("fallback")).drop("model")
+    return items.join(scores.groupBy(key).agg(F.max("score").alias("model")), key, "left").withColumn("judge", F.when(F.col("model").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "model"))).otherwise(F.col("relevance"))).withColumn("judge_source", F.when(F.col("model").isNotNull(), "model").otherwise("fallback")).drop("model")
 
 
 def golden_cases(expected: DataFrame, actual: DataFrame, key: str = "case_id", value: str = "value") -> DataFrame:

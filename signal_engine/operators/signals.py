@@ -78,7 +78,11 @@ def entity_frequency(df: DataFrame, text: str, top: int = 5) -> DataFrame:
     from pyspark.sql import Window
 
     kinds = {"handle": r"(?:^|\s)(@\w{2,})", "hashtag": r"(?:^|\s)(#\w{2,})", "domain": r"https?://(?:www\.)?([\w.-]+)"}
-    found = F.explode(F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.lower(text), F.lit(p), 1), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("entity"))) for k, p in kinds.items()])))
+
+    def tagged(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), 1), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("entity")))
+
+    found = F.explode(F.flatten(F.array(*[tagged(k, p) for k, p in kinds.items()])))
     counted = df.select(found.alias("f")).groupBy("f.kind", "f.entity").count()
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "entity"))).where(F.col("rank") <= top)
 
