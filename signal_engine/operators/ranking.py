@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def rank_all(df: DataFrame, *order: str | Column) -> DataFrame:
     """Global 1-based rank without a single-partition window: range partitions are ranked apart and offset by
     the sizes of those before them. ``order`` must be total."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     within = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -52,16 +53,44 @@ def normalize_engagement(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.withColumn("engagement", F.when(logged.isNotNull(), F.when(high == low, 0.5).otherwise(F.try_divide(logged - low, high - low))))
 
 
-RERANK_WEIGHTS = {"judge": 0.40, "relevance": 0.20, "retrieval": 0.12, "freshness": 0.08, "engagement": 0.05, "source_quality": 0.07, "independence": 0.05, "completeness": 0.03}
-
-
-def rerank(df: DataFrame, weights: Mapping[str, float] = RERANK_WEIGHTS, low: float = 0.2, low_factor: float = 0.5, miss_penalty: float = 0.15) -> DataFrame:
-    """Weighted blend of the columns in weights (missing freshness 0.5, others 0), halved for a low judge score,
-    less a penalty where entity_match is false; ineligible rows get 0 and rank last."""
-    total = sum(weights.values())
-    blend = sum((F.coalesce(F.col(c), F.lit(0.5 if c == "freshness" else 0.0)) * (w / total) for c, w in weights.items()), F.lit(0.0))
-    scored = blend * F.when(F.coalesce("judge", F.lit(0.0)) < low, low_factor).otherwise(1.0) - F.when(F.coalesce("entity_match", F.lit(True)), 0.0).otherwise(miss_penalty)
-    return df.withColumn("final", F.when(F.col("eligible"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scored))).otherwise(0.0))
+#: Weights and penalties of the rerank policies.
+POLICIES = {
+    "research": {
+        "weights": {"model": 0.6, "rrf": 0.2, "relevance": 0.0, "freshness": 0.1, "source_quality": 0.05, "engagement": 0.05, "verification": 0.0, "corroboration": 0.0},
+        "entity_miss": 0.25 + 0.2, "low_below": 0.2, "low_factor": 0.3,
+    },
+    "entity": {
+        "weights": {"model": 0.55, "rrf": 0.25, "relevance": 0.1, "freshness": 0.05, "source_quality": 0.0, "engagement": 0.0, "verification": 0.0, "corroboration": 0.05},
+        "entity_miss": 0.25,
+    },
+    "verified_entity": {
+        "weights": {"model": 0.35, "rrf": 0.15, "relevance": 0.1, "freshness": 0.05, "source_quality": 0.0, "engagement": 0.0, "verification": 0.2, "corroboration": 0.15},
+        "entity_miss": 0.25, "verification_floor": 0.5,
+    },
+}
+
+
+def rerank(df: DataFrame, policy: str = "research") -> DataFrame:
+    """Blend (id, model 0..100, relevance, rrf, freshness, source_quality, engagement, verification, corroboration,
+    entity_miss, hard_fail) to judge, eligible and final. Without a model score relevance stands in; without rrf
+    too; unknown freshness is 0.5 and unknown source quality 0.6. Ineligible rows get 0 and rank last."""
+    p = POLICIES[policy]
+    total = sum(p["weights"].values())
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    relevance = F.coalesce("relevance", F.lit(0.0))
+    parts = {
+        "model": F.coalesce(F.col("model") / 100, relevance), "rrf": F.coalesce("rrf", relevance), "relevance": relevance, "freshness": F.coalesce("freshness", F.lit(0.5)),
+        "source_quality": F.coalesce("source_quality", F.lit(0.6)), "engagement": F.coalesce("engagement", F.lit(0.0)), "verification": F.coalesce("verification", F.lit(0.0)), "corroboration": F.coalesce("corroboration", F.lit(0.0)),
+    }
+    judge = unit(parts["model"])
+    score = sum((unit(c) * (p["weights"][n] / total) for n, c in parts.items()), F.lit(0.0))
+    if "low_below" in p:
+        score = score * F.when(judge < p["low_below"], p["low_factor"]).otherwise(1.0)
+    score = score - F.when(F.coalesce("entity_miss", F.lit(False)), p["entity_miss"]).otherwise(0.0)
+    eligible = ~F.coalesce("hard_fail", F.lit(False))
+    if "verification_floor" in p:
+        eligible = eligible & (unit(parts["verification"]) >= p["verification_floor"])
+    return df.withColumn("judge", judge).withColumn("eligible", eligible).withColumn("final", F.when(eligible, unit(score)).otherwise(0.0))
 
 
 def rerank_order() -> list[Column]:

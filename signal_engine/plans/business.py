@@ -178,15 +178,15 @@ register(
 
 @register(
     "rerank_blend",
-    "WITH d AS (SELECT doc_id, (doc_id % 10) / 10.0::DOUBLE AS j, (doc_id % 7) / 7.0::DOUBLE AS r, doc_id % 11 <> 0 AS eligible, doc_id % 5 <> 0 AS em FROM documents), x AS (SELECT *, (0.40 * j + 0.20 * r + 0.12 * 0.5 + 0.08 * 0.5 + 0.05 * 0 + 0.07 * 1 + 0.05 * 1 + 0.03 * 1) * CASE WHEN j < 0.2 THEN 0.5 ELSE 1 END - CASE WHEN em THEN 0 ELSE 0.15 END AS s FROM d) SELECT doc_id, round(CASE WHEN eligible THEN greatest(0, least(1, s)) ELSE 0 END, 6) AS final FROM x",
+    "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (doc_id % 10) / 10.0::DOUBLE END AS m, (doc_id % 7) / 7.0::DOUBLE AS r, doc_id % 11 = 0 AS hf, doc_id % 5 = 0 AS em FROM documents), j AS (SELECT *, coalesce(m, r) AS jd FROM d), x AS (SELECT *, (0.6 * jd + 0.2 * 0.5 + 0.1 * 0.5 + 0.05 * 0.6) * CASE WHEN jd < 0.2 THEN 0.3 ELSE 1 END - CASE WHEN em THEN 0.45 ELSE 0 END AS s FROM j) SELECT doc_id, NOT hf AS eligible, round(CASE WHEN hf THEN 0 ELSE greatest(0, least(1, s)) END, 6) AS final FROM x",
 )
 def rerank_blend(spark, sf_dir):
-    i = F.col("doc_id")
+    i, none = F.col("doc_id"), F.lit(None).cast("double")
     rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (i % 10 / 10.0).alias("judge"), (i % 7 / 7.0).alias("relevance"), F.lit(0.5).alias("retrieval"), F.lit(None).cast("double").alias("freshness"), F.lit(None).cast("double").alias("engagement"), F.lit(1.0).alias("source_quality"),
-        F.lit(1.0).alias("independence"), F.lit(1.0).alias("completeness"), (i % 11 != 0).alias("eligible"), (i % 5 != 0).alias("entity_match"),
+        "doc_id", F.when(i % 4 != 0, i % 10 * 10.0).alias("model"), (i % 7 / 7.0).alias("relevance"), F.lit(0.5).alias("rrf"), none.alias("freshness"), none.alias("engagement"), none.alias("source_quality"),
+        none.alias("verification"), none.alias("corroboration"), (i % 11 == 0).alias("hard_fail"), (i % 5 == 0).alias("entity_miss"),
     )
-    return ranking.rerank(rows).select("doc_id", F.round("final", 6).alias("final"))
+    return ranking.rerank(rows).select("doc_id", "eligible", F.round("final", 6).alias("final"))
 
 
 # scores

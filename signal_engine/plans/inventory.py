@@ -24,8 +24,8 @@ register("email_permutations", "SELECT c_custkey, unnest(['ada.c' || c_custkey |
 register("path_templates", "SELECT regexp_replace('/v1/orders/' || o_orderkey || '/lines', '/\\d+(/|$)', '/{NUM_ID}\\1', 'g') AS template, list_sort(list(DISTINCT o_orderstatus)) AS methods, list_sort(list(DISTINCT o_orderpriority)) AS statuses, count(*) AS calls FROM orders GROUP BY 1")(
     lambda s, d: readers.route_inventory(table(s, d, "orders").select(F.concat(F.lit("/v1/orders/"), F.col("o_orderkey").cast("string"), F.lit("/lines")).alias("path"), F.col("o_orderstatus").alias("method"), F.col("o_orderpriority").alias("status")))
 )
-register("error_classes", "SELECT m.message, m.class AS class FROM (VALUES ('', 'ok'), ('HTTP 429', 'rate_limited'), ('401 Unauthorized', 'auth_error'), ('Insufficient credits', 'no_credits'), ('Request timed out', 'timeout'), ('404', 'no_result'), ('422 bad', 'invalid_input'), ('503', 'provider_error'), ('dns failure', 'network_error'), ('???', 'unknown_error')) AS m(message, class)")(
-    lambda s, d: s.createDataFrame([(m,) for m in ("", "HTTP 429", "401 Unauthorized", "Insufficient credits", "Request timed out", "404", "422 bad", "503", "dns failure", "???")], "message string").select("message", tx.error_class(F.col("message")).alias("class"))
+register("error_classes", "SELECT m.message, m.class AS class FROM (VALUES ('schema mismatch', 'schema-drift'), ('HTTP 429', 'rate-limited'), ('401 Unauthorized', 'auth-failed'), ('Request timed out', 'timeout'), ('dns failure', 'unreachable'), ('???', 'error')) AS m(message, class)")(
+    lambda s, d: s.createDataFrame([(m,) for m in ("schema mismatch", "HTTP 429", "401 Unauthorized", "Request timed out", "dns failure", "???")], "message string").select("message", tx.error_class(F.col("message")).alias("class"))
 )
 register(
     "entity_frequency",
@@ -69,9 +69,9 @@ register("previous_state", "SELECT event_id, lag(event_type) OVER (PARTITION BY
 )
 register(
     "query_variants",
-    "SELECT t.topic, r.source, trim(r.prefix || ' ' || t.subject || ' ' || r.suffix) AS query FROM (VALUES ('acme pricing', 'pricing', 'acme pricing'), ('best crm tools', 'ranking', 'crm tools')) AS t(topic, type, subject) JOIN (VALUES ('pricing', 'web', 'site', 'plans'), ('ranking', 'web', 'top', '2024'), ('ranking', 'forum', '', 'thread')) AS r(type, source, prefix, suffix) ON t.type = r.type",
+    "SELECT t.topic, r.source, trim(r.prefix || ' ' || t.subject || ' ' || r.suffix) AS query FROM (VALUES ('acme pricing', 'product', 'acme pricing'), ('what is best crm', 'concept', 'crm')) AS t(topic, type, subject) JOIN (VALUES ('product', 'web', 'site', 'plans'), ('concept', 'web', 'top', '2024'), ('concept', 'forum', '', 'thread')) AS r(type, source, prefix, suffix) ON t.type = r.type",
 )(
-    lambda s, d: enrichment.query_variants(s.createDataFrame([("acme pricing",), ("best crm tools",)], "topic string"), s.createDataFrame([("pricing", "web", "site", "plans"), ("ranking", "web", "top", "2024"), ("ranking", "forum", "", "thread")], "type string, source string, prefix string, suffix string"))
+    lambda s, d: enrichment.query_variants(s.createDataFrame([("acme pricing",), ("what is best crm",)], "topic string"), s.createDataFrame([("product", "web", "site", "plans"), ("concept", "web", "top", "2024"), ("concept", "forum", "", "thread")], "type string, source string, prefix string, suffix string"))
 )
 register(
     "common_evidence",

@@ -50,7 +50,10 @@ def test_text_rules(spark):
     assert one(spark, tx.title_query('("vice president" OR vp) AND NOT sales', F.lit("VP Marketing")))
     assert not one(spark, tx.title_query('("vice president" OR vp) AND NOT sales', F.lit("VP of Sales")))
     assert one(spark, tx.snippet(F.lit("nothing here"), F.lit("zzz"))) is None
-    assert one(spark, tx.error_class(F.lit("HTTP 429 Too Many Requests"))) == "rate_limited"
+    assert one(spark, tx.error_class(F.lit("HTTP 429 Too Many Requests"))) == "rate-limited"
+    assert one(spark, tx.is_nonwork(F.lit("Board Member"), F.lit("Acme"))) and not one(spark, tx.is_nonwork(F.lit("VP Engineering"), F.lit("Acme")))
+    assert not one(spark, tx.is_nonwork(F.lit("Security Advisor"), F.lit("Acme"), F.lit("Security Advisor")))
+    assert one(spark, tx.headline_role(F.lit("Acme | VP Engineering @ Acme"), F.lit("Acme"))) == "VP Engineering"
     assert one(spark, tx.grounded(F.lit("Ada Lovelace"), F.lit("Ada Lovelace, founder"), F.lit("We met Ada Lovelace, founder of X.")))
     assert one(spark, tx.interpolate("hi {{a.b}}{{c}}!", F.try_parse_json(F.lit('{"a": {"b": "x"}}')))) == "hi x!"
 
