@@ -4,11 +4,11 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Equ
 nodes link when 100 x intersection >= 80 x union. With at most t = n - ceil(0.8 n) of a set's tokens missing
 from a partner, candidates are found as follows.
 
-* Tokens are ordered by class (rare before frequent), then by hash; a token is frequent when more than
-  ``FREQUENT`` nodes hold it among the tokens counted for them. The class is a bit in a bitmap of bounded
-  size, so two tokens may share a bit: any rule that is the same for all nodes is right, the count only
-  makes it fast. Counted are each node's lowest-hashed tokens (a fixed share of its set), and all tokens of
-  nodes whose counted ones are mostly frequent ("dense" nodes).
+* Tokens are ordered by level, then by hash. Level 0 is rare; a token is frequent when more than ``FREQUENT``
+  nodes hold it among the tokens counted for them, and every factor of ``STEP`` beyond is a further level. A
+  level is a bitmap of bounded size, so two tokens may share a bit: any rule that is the same for all nodes
+  is right, the counts only make it fast. Counted are each node's lowest-hashed tokens (a fixed share of its
+  set), and all tokens of nodes whose counted ones are mostly frequent ("dense" nodes).
 * Rare tokens are indexed singly. Frequent ones fall into 2^j token classes, j growing with the set's size,
   and are indexed as pairs within a class. A prefix is extended until (rare tokens) + sum over classes of
   (tokens - 1) exceeds t: then a partner keeps a rare token or two tokens of one class, so both share a
@@ -39,6 +39,7 @@ from signal_engine.llm.common import Scratch, as_arrow_string, slices
 
 SHINGLE = 5
 FREQUENT = 24
+STEP = 3
 MIN_BITS, MAX_BITS = 16, 29
 WHOLE = 64  # sets up to this size are counted whole
 _A, _B, _C = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -105,18 +106,27 @@ def _is_set(bitmap: np.ndarray, bits: int, tokens: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def levels(maps, tokens: np.ndarray) -> np.ndarray:
+    """The level of each token: the most bitmaps of one count that it is in."""
+    out = np.zeros(len(tokens), np.int8)
+    for counts in maps:
+        out = np.maximum(out, sum((_is_set(bitmap, bits, tokens).astype(np.int8) for bits, bitmap in counts), np.zeros(len(tokens), np.int8)))
+    return out
+
+
 def class_bits(n: int) -> int:
     return max(0, (n // 4).bit_length() - 1)
 
 
-def signatures(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """(rare tokens, pair signatures) of a whole set in hash order; frequent: its tokens' classes."""
+def signatures(own: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rare tokens, pair signatures) of a whole set in hash order; level: its tokens' levels."""
     n = len(own)
     need = int(missing(n, percent)) + 1
-    rare = own[~frequent]
+    rare = own[level == 0]
     if len(rare) >= need:
         return rare[:need], np.zeros(0, np.uint64)
-    often, pairs = own[frequent], []
+    order = np.argsort(level, kind="stable")
+    often, pairs = own[order][len(rare) :], []
     for j in {class_bits(n), class_bits(100 * n // percent)}:
         cls = mix(often ^ _A) >> np.uint64(64 - j) if j else np.zeros(len(often), np.uint64)
         members: dict[int, list[int]] = {}
@@ -190,9 +200,9 @@ class _Join:
 
         return self.docs.mapInArrow(run, "doc long, n long, sid long, low array<long>")
 
-    def sets_of(self, chosen: DataFrame, label: str) -> DataFrame:
-        """(sid, tokens) of the nodes in chosen (sid, rep), read from their documents; a bitmap of bounded size
-        spares most other documents the work."""
+    def read_sets(self, chosen: DataFrame) -> DataFrame:
+        """(doc, sid, tokens) of the documents in chosen (rep) and of a few others; a bitmap of bounded size spares
+        most other documents the work."""
         bits, bitmap = self.bitmap(chosen.select(F.col("rep").alias("x")), hashed=False)
         shared = self.spark.sparkContext.broadcast(bitmap)
 
@@ -206,10 +216,14 @@ class _Join:
                     flat, sizes = shingle_sets(texts[i:j])
                     ends = np.cumsum(sizes)
                     own = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in own], pa.int64()), _lists(own)], ["sid", "tokens"])
+                    yield pa.RecordBatch.from_arrays([rows.column(0)[i:j], pa.array([set_id(s) for s in own], pa.int64()), _lists(own)], ["doc", "sid", "tokens"])
+
+        return self.docs.mapInArrow(run, "doc long, sid long, tokens array<long>")
 
-        found = self.docs.mapInArrow(run, "sid long, tokens array<long>")
-        return self.scratch.write(found.join(chosen.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), label)
+    def sets_of(self, chosen: DataFrame, label: str) -> DataFrame:
+        """(sid, tokens) of the nodes in chosen (sid, rep), written; a repeated row may repeat its set."""
+        named = chosen.select("sid", F.col("rep").alias("doc")).distinct()
+        return self.scratch.write(self.read_sets(chosen).join(named, ["sid", "doc"], "left_semi").select("sid", "tokens"), label)
 
     def bitmap(self, values: DataFrame, hashed: bool = True) -> tuple[int, np.ndarray]:
         """A bitmap of hashed 64-bit values x; its size follows their number up to MAX_BITS bits."""
@@ -230,9 +244,14 @@ class _Join:
             out[np.asarray(part.column(0))] = np.asarray(part.column(1)).view(np.uint64)
         return bits, out
 
-    def frequent_bits(self, tokens: DataFrame) -> tuple[int, np.ndarray]:
-        often = self.scratch.write(tokens.groupBy("x").count().where(F.col("count") > FREQUENT).select("x"), f"often-{id(tokens)}")
-        return self.bitmap(often)
+    def frequent_bits(self, tokens: DataFrame, label: str) -> list[tuple[int, np.ndarray]]:
+        """One bitmap for each level that any token reaches."""
+        often = self.scratch.write(tokens.groupBy("x").count().where(F.col("count") > FREQUENT), label)
+        most, bound, out = often.agg(F.max("count")).first()[0] or 0, FREQUENT, []
+        while bound < most:
+            out.append(self.bitmap(often.where(F.col("count") > bound).select("x")))
+            bound *= STEP
+        return out
 
     def prefixes(self, nodes: DataFrame, maps) -> DataFrame:
         """(sid, n, rep, rare): the prefix of nodes that have enough rare counted tokens, else null."""
@@ -241,9 +260,7 @@ class _Join:
         def run(batches):
             for batch in batches:
                 flat = np.asarray(batch.column(3).flatten()).astype(np.int64).view(np.uint64)
-                often = np.zeros(len(flat), bool)
-                for bits, bitmap in shared.value:
-                    often |= _is_set(bitmap, bits, flat)
+                often = levels(shared.value, flat) > 0
                 own, at, out = _arrays(batch.column(3)), 0, []
                 for n, low in zip(batch.column(1).to_pylist(), own, strict=True):
                     need = int(missing(n, percent)) + 1
@@ -262,10 +279,7 @@ class _Join:
             for batch in batches:
                 rare, pairs, sizes = [], [], []
                 for own in _arrays(batch.column(1)):
-                    often = np.zeros(len(own), bool)
-                    for bits, bitmap in shared.value:
-                        often |= _is_set(bitmap, bits, own)
-                    a, b = signatures(own, often, percent)
+                    a, b = signatures(own, levels(shared.value, own), percent)
                     rare.append(a)
                     pairs.append(b)
                     sizes.append(len(own))
@@ -277,17 +291,17 @@ class _Join:
         s, percent = self.scratch, self.percent
         whole = s.write(self.whole(), "whole")
         members = s.write(whole.select("doc", "n", "sid"), "members")
-        nodes = s.write(whole.where("n > 0").groupBy("sid", "n").agg(F.min("doc").alias("rep"), F.first("low").alias("low")).where("rep IS NOT NULL"), "nodes")
+        self.nodes = nodes = s.write(whole.where("n > 0").groupBy("sid", "n").agg(F.min("doc").alias("rep"), F.first("low").alias("low")).where("rep IS NOT NULL"), "nodes")
         s.drop("whole")
 
         low = nodes.select(F.explode("low").alias("x"))
-        maps = [self.frequent_bits(low)]
+        maps = [self.frequent_bits(low, "often-0")]
         pre = self.prefixes(nodes, maps)
         dense = s.write(pre.where(F.size("rare") == 0).select("sid", "rep"), "dense-0")
         sets = None
         if dense.head(1):
             sets = self.sets_of(dense, "dense-sets-0")
-            maps.append(self.frequent_bits(sets.select(F.explode("tokens").alias("x"))))
+            maps.append(self.frequent_bits(sets.select(F.explode("tokens").alias("x")), "often-1"))
             pre = self.prefixes(nodes, maps)
             later = s.write(pre.where(F.size("rare") == 0).select("sid", "rep").join(dense.select("sid"), "sid", "left_anti"), "dense-1")
             if later.head(1):
@@ -308,11 +322,10 @@ class _Join:
             buckets = buckets.unionByName(pair.join(stats, "sig").select("sid", "n", "sig", F.col("p.sid").alias("pivot"), F.col("p.n").alias("pn")))
         buckets = s.write(buckets, "buckets")
         fits = lambda a, b: percent * F.greatest(a, b) <= 100 * F.least(a, b)
-        star = buckets.where((F.col("sid") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-        involved = buckets.select("sid").distinct().join(nodes.select("sid", "rep"), "sid")
-        self.sets = self.sets_of(involved, "sets")
+        star = buckets.where((F.col("sid") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
         links = self.verify(s.write(star, "star"), "links-0")
 
+        gained = 0
         for turn in range(1, 9):
             comp = components(links, s, f"cc-{turn}")
             left = buckets.select("sid", "n", "sig").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -324,7 +337,8 @@ class _Join:
             if not total:
                 break
             members_left = left.count()
-            if cross <= 8 * members_left or turn == 8:
+            # pivots save work while copies abound; buckets of unlinked members are compared whole
+            if cross <= 8 * members_left or turn == 8 or (turn > 1 and gained < members_left // 50):
                 a, b = left.select("sig", F.col("sid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")), left.select("sig", F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
                 rest = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
                 more = self.verify(s.write(rest, f"rest-{turn}"), f"links-{turn}")
@@ -332,21 +346,44 @@ class _Join:
                 if more.head(1):
                     comp = components(links, s, "cc-last")
                 break
-            pivot = left.groupBy("sig").agg(F.min_by(F.struct("sid", "n", "comp"), F.xxhash64("sid", F.lit(turn))).alias("p"))
+            # every bucket takes a pivot of its own, so that edited copies, each like only some others, meet many
+            pivot = left.groupBy("sig").agg(F.min_by(F.struct("sid", "n", "comp"), F.xxhash64("sid", "sig", F.lit(turn))).alias("p"))
             again = left.join(pivot, "sig").where((F.col("comp") != F.col("p.comp")) & fits(F.col("n"), F.col("p.n")))
-            again = again.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
-            links = links.unionByName(self.verify(s.write(again, f"again-{turn}"), f"links-{turn}"))
+            again = again.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct()
+            more = self.verify(s.write(again, f"again-{turn}"), f"links-{turn}")
+            links, gained = links.unionByName(more), more.count()
 
         named = nodes.select("sid", "rep").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         label = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
         of_set = named.join(label, "comp").select("sid", "component_id")
         return members.join(of_set, "sid", "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("doc")).alias("component_id"))
 
+    def prune(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose counted tokens leave a link possible. A counted token of one set that is below the other's
+        last counted one and not among them is missing there, and only so many can be."""
+        side = lambda p: self.nodes.select(F.col("sid").alias(p), F.col("n").alias(f"{p}n"), F.col("rep").alias(f"{p}_rep"), F.col("low").alias(f"{p}l"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a")
+        least = F.ceil(F.col("an") * self.percent / (100 + self.percent) + F.col("bn") * self.percent / (100 + self.percent) - 1e-6)
+        sign = F.lit(-(1 << 63))  # hashes are ordered without sign
+
+        def lacks(x: str, y: str):
+            last = F.element_at(f"{y}l", -1).bitwiseXOR(sign)
+            below = F.when(F.size(f"{y}l") == F.col(f"{y}n"), F.col(f"{x}l")).otherwise(F.filter(f"{x}l", lambda t: t.bitwiseXOR(sign) <= last))
+            return F.size(F.array_except(below, f"{y}l")) <= F.col(f"{x}n") - least
+
+        return both.where(lacks("a", "b") & lacks("b", "a")).select("a", "b", "a_rep", "b_rep")
+
     def verify(self, pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs (a, b) that link, by their whole sets."""
-        left, right = self.sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), self.sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-        return self.scratch.write(both.where(100 * F.col("common") >= self.percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b"), label)
+        """The pairs (a, b) that link, by their whole sets. The sets of b (in the first rounds the few pivots) are
+        written; those of a are read from the documents again and go straight to their pairs."""
+        near = self.scratch.write(self.prune(pairs), f"{label}-near")
+        right = self.sets_of(near.select(F.col("b").alias("sid"), F.col("b_rep").alias("rep")), f"{label}-sets").select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
+        left = self.read_sets(near.select(F.col("a_rep").alias("rep"))).select(F.col("sid").alias("a"), F.col("doc").alias("a_rep"), F.col("tokens").alias("ta"))
+        both = near.join(right, "b").join(left, ["a", "a_rep"]).withColumn("common", F.size(F.array_intersect("ta", "tb")))
+        links = both.where(100 * F.col("common") >= self.percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b").distinct()
+        links = self.scratch.write(links, label)
+        self.scratch.drop(f"{label}-sets")
+        return links
 
 
 def join_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
