@@ -436,11 +436,14 @@ def _stream(spark, sf_dir):
 
     base = table(spark, sf_dir, "events")
     raw = spark.readStream.schema(base.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name, where = f"s{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="signal-engine-")
+    name, shared = f"s{uuid.uuid4().hex}", spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    # the folder all executors share; an own one only where none is set
+    where = f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="signal-engine-")
 
     def run(df, mode):
         out = feeds.run_to_table(df, name, mode, where)
-        shutil.rmtree(where, ignore_errors=True)
+        if not shared:
+            shutil.rmtree(where, ignore_errors=True)
         return out
 
     return raw, run
