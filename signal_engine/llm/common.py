@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text handled at once inside a Python worker, in bytes; longer single texts go alone.
 SLICE_BYTES = 4 << 20
 
@@ -41,12 +43,15 @@ class Scratch:
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         """Write df as Parquet and read it back; the shuffle files behind it are freed."""
-        old = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
+        wanted = {_CLEANUP: "true", _BATCH: "2000"}
+        old = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(self.path(label))
         finally:
-            self.spark.conf.set(_CLEANUP, old)
+            for k, v in old.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, label: str) -> None:
@@ -71,6 +76,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         j = max(i + 1, int(np.searchsorted(end, base + limit, side="right")))
         yield i, j
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -91,7 +97,7 @@ class WordCachedTokenizer:
 
     PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, file: str, cache_words: int = 800_000):
+    def __init__(self, file: str, cache_words: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -186,7 +192,18 @@ class WordCachedTokenizer:
         return ids, counts
 
 
-@lru_cache(maxsize=2)
+_WORKER_CACHES: dict[str, object] = {}
+
+
+def sole_cache(key: str, make):
+    """The worker's one large cache: a worker that turns to another operator gives up the former one's."""
+    if key not in _WORKER_CACHES:
+        _WORKER_CACHES.clear()
+        gc.collect()
+        _WORKER_CACHES[key] = make()
+    return _WORKER_CACHES[key]
+
+
 def word_tokenizer(file: str) -> WordCachedTokenizer:
     """One tokenizer and cache per Python worker."""
-    return WordCachedTokenizer(file)
+    return sole_cache(f"tokenizer {file}", lambda: WordCachedTokenizer(file))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import as_arrow_string, slices
+from signal_engine.llm.common import as_arrow_string, slices, sole_cache
 
 MAX_WORD = 32
 MAX_PIECE = 8
@@ -132,7 +132,7 @@ def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nd
 class Scorer:
     """Log probabilities of texts in every language."""
 
-    def __init__(self, model: Model, cache_words: int = 600_000):
+    def __init__(self, model: Model, cache_words: int = 250_000):
         self.model, self.cache_words = model, cache_words
         self.lattice = Lattice(model.pieces)
         self.known: dict[str, int] = {"": 0}
@@ -211,9 +211,6 @@ def estimate(pieces: tuple[str, ...], languages: dict[str, tuple[list[str], np.n
     return Model(pieces, names, p)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def fit(labelled: DataFrame, vocabulary_file: str, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_rows: int = 20_000, train_words: int = 60_000, languages: int = 200) -> Model:
     """Fit on a bounded sample: about ``train_rows`` labelled rows chosen by a hash of the id, and of these the
     ``train_words`` most frequent words of each of the ``languages`` most frequent labels."""
@@ -253,10 +250,7 @@ def _model_key(model: Model) -> str:
 
 def _scorer(key: str, shared) -> Scorer:
     """The worker's scorer of a broadcast model; its word cache outlives the task."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(shared.value)
-    return _SCORERS[key]
+    return sole_cache(f"scorer {key}", lambda: Scorer(shared.value))
 
 
 def _decide(scorer: Scorer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import Scratch, as_arrow_string, slices
+from signal_engine.llm.common import Scratch, as_arrow_string, slices, sole_cache
 
 SHINGLE = 5
 FREQUENT = 24
@@ -188,6 +188,7 @@ class _Join:
         percent = self.percent
 
         def run(batches):
+            sole_cache("none", lambda: None)
             for batch in batches:
                 texts = as_arrow_string(batch.column(1))
                 for i, j in slices(texts):
