@@ -138,7 +138,7 @@ register("attempt_number", "SELECT event_id, row_number() OVER (PARTITION BY use
 @register("running_budget")
 def running_budget(spark, sf_dir):
     """Greedy admission that skips what does not fit; rows-only (a fold)."""
-    return ranking.greedy_budget(table(spark, sf_dir, "orders").where("o_custkey < 300"), "o_custkey", "o_orderkey", "o_totalprice", 500000.0)
+    return ranking.greedy_budget(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice", 500000.0)
 
 
 # rankings
@@ -370,7 +370,7 @@ register(
 @register("corroborate_figures")
 def corroborate_figures(spark, sf_dir):
     """Order-dependent clusters; rows-only."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 400").select((F.col("o_custkey") % 9).cast("string").alias("topic"), F.col("o_orderkey").alias("ordinal"), F.lit("usd").alias("unit"), F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("domain"))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 9).cast("string").alias("topic"), F.col("o_orderkey").alias("ordinal"), F.lit("usd").alias("unit"), F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("domain"))
     return evidence.corroborate(rows)
 
 

@@ -94,3 +94,24 @@ def test_outbox_stream(spark, tmp_path):
     stream = feeds.read_feed(spark, str(tmp_path / "in"), "id string, event string, ts timestamp")
     got = feeds.run_to_table(feeds.outbox(stream, "id", "ts", "event"), "outbox_test", "append", str(tmp_path / "cp")).collect()
     assert got[-1]["state"] == "sent"
+
+
+def test_budget_and_figures_take_whole_tables(spark):
+    from signal_engine import catalogue
+
+    orders = sorted(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").collect(), key=lambda r: r["o_orderkey"])
+    spent, admitted, clusters = {}, {}, {}
+    for r in orders:
+        k, c = r["o_custkey"], float(r["o_totalprice"])
+        if fits := spent.get(k, 0.0) + c <= 500000.0:
+            spent[k] = spent.get(k, 0.0) + c
+        admitted[r["o_orderkey"]] = fits
+        own = clusters.setdefault(str(k % 9), [])
+        found = next((x for x in own if abs(c - x[0]) <= 0.02 * x[0]), None)
+        if found is None:
+            own.append(found := [c, 0, set()])
+        found[1] += 1
+        found[2].add(r["o_orderpriority"])
+    assert max(admitted) >= 400 and {r["o_orderkey"]: r["admitted"] for r in catalogue.queries()["running_budget"](spark, "/root/testdata/sf0.001").collect()} == admitted
+    got = sorted((r["topic"], round(r["value"], 6), r["figures"], r["sources"]) for r in catalogue.queries()["corroborate_figures"](spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted((t, round(x[0], 6), x[1], len(x[2])) for t, own in clusters.items() for x in own)
