@@ -3,13 +3,16 @@
 Every url becomes a host and a path. Rules (host, path prefix, verdict) come first. The urls that a rule
 judged are the labelled rows of the method: per host, paths form a tree of segments; segments that look
 variable (numbers, identifiers, dates, long slugs) and rare children of very broad nodes become wildcards;
-labelled branches whose block rates do not differ significantly from their siblings' are merged; and a
-template is rejected when its smoothed labelled purity, (blocked + a) / (labelled + 2 a), reaches a
+labelled branches whose block rates do not differ significantly from their siblings' are merged. Hosts without
+a rule learn from the others: the deepest path prefix that rules judged on at least ``MIN_HOSTS`` hosts (an inner
+one only if it was judged in two branches or a variable one: one branch says nothing of its siblings) gives the
+pooled rate r, with one vote a host (its block rate), smoothed as (votes + a) / (hosts + 2 a), else r is 1/2. A
+url is rejected when its template's purity with r as prior, (blocked + 2 a r) / (labelled + 2 a), reaches a
 threshold. Only counts per template are shuffled; urls meet their template again by a join on host and
 generalised path.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule and the verdict allow;
-a template without labelled urls is allowed; equal urls get equal rows; an empty table gives an empty
+a url whose template and pooled prefixes are without labelled urls is allowed; equal urls get equal rows; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from signal_engine.llm.common import Scratch
 
-LEVELS = 4
+MIN_HOSTS = 3
 MAX_CHILDREN = 50
 RARE_SHARE = 0.02
 Z_SIMILAR = 1.96
@@ -61,38 +64,56 @@ def segment_shape(s: Column) -> Column:
 
 
 def shape_of(path: Column) -> Column:
-    """The path's first segments with wildcards; what lies deeper is one ``**``."""
-    segments = F.split(F.regexp_replace(path, r"^/", ""), "/")
-    head = F.transform(F.slice(segments, 1, LEVELS), segment_shape)
-    return F.when(F.size(segments) > LEVELS, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    """The path's segments with wildcards."""
+    return F.transform(F.split(F.regexp_replace(path, r"^/", ""), "/"), segment_shape)
 
 
 def _wildcard_at(segments: Column, level: int) -> Column:
     return F.transform(segments, lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))
 
 
+def pooled_rates(tree: DataFrame) -> DataFrame:
+    """(host, shape, pooled) from rows (host, shape, k, b): the rate of the deepest prefix judged on enough hosts."""
+    ended = F.concat("shape", F.array(F.lit("/")))  # the end is a branch of its own; no segment holds a slash
+    prefixes = F.aggregate(ended, F.array().cast("array<bigint>"), lambda acc, s: F.concat(acc, F.array(F.xxhash64(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")), s))))
+    each = tree.select("host", "shape", "k", "b", ended.alias("ended"), F.posexplode(prefixes).alias("depth", "prefix"))
+    each = each.select("host", "shape", "k", "b", "depth", "prefix", F.get("ended", F.col("depth") + 1).alias("branch"))
+    votes = each.where("k > 0").groupBy("prefix", "host").agg((F.sum("b") / F.sum("k")).alias("vote"), F.min("branch").alias("first"), F.max("branch").alias("last"))
+    votes = votes.groupBy("prefix").agg(F.count("*").alias("hosts"), F.sum("vote").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    broad = F.col("first").isNull() | (F.col("first") != F.col("last")) | F.col("first").startswith("*")
+    votes = votes.where((F.col("hosts") >= MIN_HOSTS) & broad).select("prefix", ((F.col("votes") + PRIOR) / (F.col("hosts") + 2 * PRIOR)).alias("rate"))
+    return each.join(votes, "prefix").groupBy("host", "shape").agg(F.max_by("rate", "depth").alias("pooled"))
+
+
 def templates(labelled: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, shape, template, labelled, blocked, purity) from rows (host, shape, verdict or null)."""
     tree = scratch.write(
         labelled.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("verdict").alias("k"), F.count_if(F.col("verdict") == "block").alias("b")).withColumn("template", F.col("shape")),
         "shapes",
     )
-    for level in range(1, LEVELS + 1):
+    shapes, level = tree, 0
+    while True:
+        level += 1
         here = F.col("template")
-        keyed = tree.withColumn("parent", F.array_join(F.slice(here, 1, level - 1), "/")).withColumn("child", F.when(F.size(here) >= level, F.element_at(here, level)))
+        parent = F.array_join(F.slice(here, 1, level - 1), "/")
+        # deeper than the last node with two templates below it nothing can be merged
+        if not tree.where(F.size(here) >= level).groupBy("host", parent).agg(F.count_distinct(here).alias("c")).where("c > 1").head(1):
+            break
+        keyed = tree.withColumn("parent", parent).withColumn("child", F.when(F.size(here) >= level, F.element_at(here, level)))
         child = keyed.where("child IS NOT NULL").groupBy("host", "parent", "child").agg(F.sum("n").alias("cn"), F.sum("k").alias("ck"), F.sum("b").alias("cb"))
         node = child.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("cn").alias("pn"), F.sum("ck").alias("pk"), F.sum("cb").alias("pb"))
         rest_k, rest_b, rate = F.col("pk") - F.col("ck"), F.col("pb") - F.col("cb"), F.try_divide("pb", "pk")
         spread = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), F.col("ck")) + F.try_divide(F.lit(1), rest_k)))
         apart = F.abs(F.try_divide("cb", "ck") - F.try_divide(rest_b, rest_k))
-        similar = F.when((F.col("ck") > 0) & (rest_k > 0), apart <= Z_SIMILAR * spread).otherwise(False)
+        similar = F.when((F.col("ck") > 0) & (rest_k > 0), apart <= Z_SIMILAR * spread)
         variable = (F.col("children") > MAX_CHILDREN) & (F.col("cn") < RARE_SHARE * F.col("pn"))
-        merged = child.join(node, ["host", "parent"]).where(similar | variable).select("host", "parent", "child", F.lit(True).alias("wild"))
+        merged = child.join(node, ["host", "parent"]).where(F.coalesce(similar, variable)).select("host", "parent", "child", F.lit(True).alias("wild"))
         new = F.when(F.col("wild"), _wildcard_at(here, level)).otherwise(here)
         tree = scratch.write(keyed.join(merged, ["host", "parent", "child"], "left").select("host", "shape", "n", "k", "b", new.alias("template")), f"level-{level}")
     stats = tree.groupBy("host", "template").agg(F.sum("k").alias("labelled"), F.sum("b").alias("blocked"))
-    purity = (F.col("blocked") + PRIOR) / (F.col("labelled") + 2 * PRIOR)
-    return tree.select("host", "shape", "template").join(stats.withColumn("purity", purity), ["host", "template"])
+    purity = (F.col("blocked") + 2 * PRIOR * F.coalesce("pooled", F.lit(0.5))) / (F.col("labelled") + 2 * PRIOR)
+    rows = tree.select("host", "shape", "template").join(stats, ["host", "template"]).join(pooled_rates(shapes), ["host", "shape"], "left")
+    return rows.withColumn("purity", purity).drop("pooled")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], scratch: Scratch, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -125,6 +125,16 @@ def test_url_filter(spark, scratch):
     assert url_filter.judge(df.where("false"), rules, scratch("t7")).count() == 0
 
 
+def test_url_filter_reaches_urls_without_a_rule(spark, scratch):
+    rules = (("com", "/en/", "block"), ("net", "/de/", "allow"), ("org", "/a/b/c/d/e/bad", "block"))
+    urls = [f"http://h{i}.com/en/{j}" for i in range(8) for j in range(3)] + [f"http://h{i}.net/de/{j}" for i in range(8) for j in range(3)] + [f"http://h{i}.org/a/b/c/d/e/bad/{j}" for i in range(8) for j in range(3)]
+    asked = ["http://casino.info/en/5", "http://casino.info/fr/5", "http://casino.info/de/5", "http://h1.net/en/9", "http://x.info/a/b/c/d/e/bad/1", "http://x.info/a/b/c/d/e/good/1", "http://x.info/a/b/c/d/e/f/g/h/i/j/k"]
+    df = spark.createDataFrame(list(enumerate(asked + urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules, scratch("t7")).collect()}
+    assert len(got) == len(df.collect()) and all(got[i][0] is None for i in range(len(asked)))
+    assert [got[i][1] for i in range(len(asked))] == ["block", "allow", "allow", "block", "block", "allow", "allow"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
