@@ -1,9 +1,10 @@
 """Benchmark decontamination with SimHash windows, multi-index Hamming blocks and exact verification.
 
 Words are maximal runs of letters and digits, lower-cased; shingles are of five words (an item with fewer
-words is one shingle of all its words). A window of an item's length is fingerprinted wherever a run of
-shingles that a document shares with some item of that length begins, at the offset the item has there (cut
-back to the document's ends); no other window of that length shares a shingle at its place with an item.
+words is one shingle of all its words). A window of an item's length (cut to the document's) is fingerprinted
+wherever it begins, in whatever order its shingles are, if it holds so many places of the item's shingles that it
+can reach the similarity. Such a window holds one of the item's rarest shingles, of which as many are looked
+up as the similarity allows to miss, and one more; each window is taken at the first of these that it holds.
 A 64-bit SimHash weights every shingle by its number of occurrences. Fingerprints are cut into radius + 1
 blocks; two within the radius agree in one block at least, so joining on (length, block, value) finds every
 pair within the radius, and each pair is kept at its first common block only. Candidates are verified by the
@@ -19,7 +20,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signal_engine.llm.common import Scratch
@@ -120,21 +121,35 @@ def find_matches(
         own = item.where(F.col("k") == k).withColumn("hs", shingles(F.col("iw"), k)).withColumn("fp", simhash(F.col("hs"))).withColumn("set", numbered(F.col("hs")))
         text = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w")).where(F.size("w") >= k)
         place = text.select("doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("pos"))
-        place = place.select("doc", "w", "pos", gram(F.col("w"), F.col("pos"), k).alias("h"), gram(F.col("w"), F.col("pos") - 1, k).alias("before"))
+        place = place.select("doc", "w", "pos", gram(F.col("w"), F.col("pos"), k).alias("h"))
         for part in range(parts):
             block = own.where(F.pmod(F.xxhash64("item", "iw"), F.lit(parts)) == part) if parts > 1 else own
-            # places of equal shingles at equal offsets in items of one length are one row
-            index = block.select("len", "hs", F.posexplode("hs").alias("off", "h")).select("h", "off", "len", F.when(F.col("off") > 0, F.get("hs", F.col("off") - 1)).alias("item_before")).distinct()
-            hit = place.join(F.broadcast(index), "h").where((F.col("off") == 0) | (F.col("pos") == 0) | (F.col("item_before") != F.col("before")))
-            n = F.size("w")
-            start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), n - F.col("len")))
-            window = hit.select("doc", "len", start.alias("start"), F.slice("w", start + 1, F.least(F.col("len"), n)).alias("ww"))
+            block = block.withColumn("key", F.xxhash64("item", "iw")).withColumn("s", F.size("hs"))
+            each = block.select("key", "len", "s", F.explode("hs").alias("h"))
+            each = each.join(each.groupBy("h").agg(F.count("*").alias("times")), "h")
+            least = F.ceil(F.col("s") * percent / 100)
+            rarest = Window.partitionBy("key").orderBy("times", "h")
+            index = each.withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("s") - least + 1).select("h", "key", "len").distinct()
+            # the words that any window of the item's length around the place can hold
+            n, left = F.size("w"), F.greatest(F.lit(0), F.col("pos") - F.col("len") + k)
+            hit = place.join(F.broadcast(index), "h").select("doc", "key", "pos", n.alias("n"), left.alias("left"), F.slice("w", left + 1, F.col("pos") + F.col("len") - left).alias("near"))
             # written, so that no later expression moves into the pass over all places
+            hit = scratch.write(hit, f"places-{k}-{part}")
+            known = block.select("key", "len", "s", F.col("hs").alias("own"), F.col("set").alias("own_set")).join(index.groupBy("key").agg(F.collect_list("h").alias("rare")), "key")
+            around = hit.join(F.broadcast(known), "key").withColumn("g", shingles(F.col("near"), k)).where(F.size(F.array_intersect(numbered(F.col("g")), "own_set")) >= least)
+            here = F.col("pos") - F.col("left")
+            passed = F.array_max(F.transform("g", lambda h, i: F.when((i < here) & F.array_contains(F.col("rare"), h), i)))
+            around = around.withColumn("first", F.coalesce(passed + 1, F.lit(0))).withColumn("last", F.least(here, F.greatest(F.lit(0), F.col("n") - F.col("len")) - F.col("left")))
+            around = around.where("first <= last").withColumn("shared", F.transform("g", lambda h: F.array_contains(F.col("own"), h)))
+            around = around.withColumn("size", F.least("len", "n")).select("*", F.explode(F.sequence("first", "last")).alias("from"))
+            places = F.col("size") - k + 1
+            around = around.where((100 + percent) * F.size(F.filter(F.slice("shared", F.col("from") + 1, places), lambda x: x)) >= percent * (F.col("s") + places))
+            window = around.select("doc", "key", (F.col("left") + F.col("from")).alias("start"), F.slice("near", F.col("from") + 1, F.col("size")).alias("ww"))
             window = scratch.write(window, f"windows-{k}-{part}")
             window = window.withColumn("whs", shingles(F.col("ww"), k)).withColumn("wfp", simhash(F.col("whs"))).withColumn("wset", numbered(F.col("whs")))
             keyed = window.select("*", F.posexplode(F.array(*[block_value(F.col("wfp"), a, b) for a, b in bounds])).alias("block", "value"))
-            entry = block.select("item", "len", "fp", "set", F.posexplode(F.array(*[block_value(F.col("fp"), a, b) for a, b in bounds])).alias("block", "value"))
-            pair = keyed.join(F.broadcast(entry), ["len", "block", "value"])
+            entry = block.select("item", "key", "len", "fp", "set", F.posexplode(F.array(*[block_value(F.col("fp"), a, b) for a, b in bounds])).alias("block", "value"))
+            pair = keyed.join(F.broadcast(entry), ["key", "block", "value"])
             first = F.coalesce(*[F.when(block_value(F.col("wfp"), a, b) == block_value(F.col("fp"), a, b), F.lit(i)) for i, (a, b) in enumerate(bounds)])
             hamming = F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp")))
             common, total = F.size(F.array_intersect("wset", "set")), F.size("wset") + F.size("set")

@@ -113,6 +113,21 @@ def test_decontamination_equals_brute_force(spark, scratch):
     assert again == got
 
 
+def test_decontamination_finds_reordered_items(spark, scratch):
+    rng = random.Random(15)
+    items = [(i, " ".join(words(rng, n))) for i, n in enumerate((59, 60, 150, 44))] + [(9, " ".join(["a b c d e f g"] * 9))]
+    docs = []
+    for i, x in items:
+        w = x.split()
+        half, third = len(w) // 2, len(w) // 3
+        docs += [(10 * i, " ".join(words(rng, 70) + w[half:] + w[:half] + words(rng, 80))), (10 * i + 1, " ".join(w[half:] + w[:half])), (10 * i + 2, " ".join(words(rng, 9) + w[2 * third :] + w[third : 2 * third] + w[:third] + words(rng, 3))), (10 * i + 3, " ".join(words(rng, 20) + w[: len(w) - 6]))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in decontaminate.find_matches(df, bench, scratch("t1")).collect()}
+    expected = brute_matches(docs, items)
+    assert (0, 0) in expected and set(got) == set(expected)
+    assert all(got[k][0] == expected[k][0] and abs(got[k][1] - expected[k][1]) < 1e-12 for k in got)
+
+
 def test_decontamination_empty(spark, scratch):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_matches(docs, items, scratch("t1")).count() == 0
