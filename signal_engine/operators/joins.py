@@ -73,15 +73,29 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def _characters(names: DataFrame, floor: float) -> DataFrame:
+    """(name, bag, token) with the characters of each name, numbered by occurrence, and of these the rarest: two names
+    of a ratio of at least floor share one of them, as 2 x common >= floor x (both lengths)."""
+    places = lambda: F.sequence(F.lit(1), F.length("name"))
+    chars = names.select("name", F.transform(places(), lambda i: F.col("name").substr(i, F.lit(1))).alias("chars"))
+    bag = chars.select("name", F.transform("chars", lambda c, i: F.concat(c, F.size(F.filter(F.slice(F.col("chars"), F.lit(1), i + 1), lambda x: x == c)).cast("string"))).alias("bag"))
+    # common <= the other's length, so the other has at least floor / (2 - floor) of this one's characters in common
+    kept = F.size("bag") - F.ceil(F.size("bag") * (floor / (2 - floor)) - 1e-6) + 1
+    return bag.select("name", "bag", F.explode(F.slice(F.array_sort("bag", lambda a, b: F.when(a == b, 0).when(F.xxhash64(a) < F.xxhash64(b), -1).otherwise(1)), F.lit(1), kept.cast("int"))).alias("token"))
+
+
 def layered_match(rows: DataFrame, known: DataFrame, floor: float = 0.85) -> DataFrame:
     """Match rows (id, apex, name) to known (known_id, apex, name): by domain, else by the best name ratio of at
-    least floor among names that share a first word. Columns: id, known_id, reason (apex, name or null)."""
+    least floor (above 0) among all names. Columns: id, known_id, reason (apex, name or null)."""
     by_apex = rows.where("apex <> ''").join(known.where("apex <> ''").groupBy("apex").agg(F.min("known_id").alias("known_id")), "apex").select("id", "known_id", F.lit("apex").alias("reason"), F.lit(1.0).alias("ratio"))
     rest = rows.join(by_apex.select("id"), "id", "left_anti").where("name <> ''")
-    block = lambda df, k: df.select(k, F.col("name"), F.substring_index("name", " ", 1).alias("block"))
-    pairs = block(rest, "id").join(block(known.where("name <> ''"), "known_id").withColumnRenamed("name", "other"), "block")
-    scored = pairs.withColumn("ratio", sequence_ratio(F.col("name"), F.col("other"))).where(F.col("ratio") >= floor)
-    by_name = scored.groupBy("id").agg(F.max_by(F.struct("known_id", "ratio"), F.struct("ratio", -F.col("known_id"))).alias("best")).select("id", "best.known_id", F.lit("name").alias("reason"), "best.ratio")
+    first = known.where("name <> ''").groupBy("name").agg(F.min("known_id").alias("known_id"))
+    one, two = _characters(rest.select("name").distinct(), floor), _characters(first, floor).withColumnsRenamed({"name": "other", "bag": "other_bag"})
+    enough = 2 * F.size(F.array_intersect("bag", "other_bag")) >= floor * (F.size("bag") + F.size("other_bag")) - 1e-6
+    pairs = one.join(two, "token").where(enough).select("name", "other").distinct()
+    scored = pairs.withColumn("ratio", sequence_ratio(F.col("name"), F.col("other"))).where(F.col("ratio") >= floor).join(first.withColumnRenamed("name", "other"), "other")
+    best = scored.groupBy("name").agg(F.max_by(F.struct("known_id", "ratio"), F.struct("ratio", -F.col("known_id"))).alias("best"))
+    by_name = rest.join(best, "name").select("id", "best.known_id", F.lit("name").alias("reason"), "best.ratio").distinct()
     return rows.select("id").join(by_apex.unionByName(by_name), "id", "left")
 
 

@@ -62,8 +62,8 @@ register(
 def fuzzy_name_match(spark, sf_dir):
     """Rows-only: block matching ratio has no SQL form."""
     part = table(spark, sf_dir, "part")
-    rows = part.where("p_size = 5").select(F.col("p_partkey").alias("id"), F.lit("").alias("apex"), F.concat("p_name", F.lit("s")).alias("name"))
-    known = part.where("p_size = 6").select(F.col("p_partkey").alias("known_id"), F.lit("").alias("apex"), F.col("p_name").alias("name"))
+    rows = part.select(F.col("p_partkey").alias("id"), F.lit("").alias("apex"), F.concat("p_name", F.lit("s")).alias("name"))
+    known = part.select(F.col("p_partkey").alias("known_id"), F.lit("").alias("apex"), F.col("p_name").alias("name"))
     return joins.layered_match(rows, known, 0.85)
 
 

@@ -41,6 +41,23 @@ def test_layered_match(spark):
     assert {r["id"]: (r["known_id"], r["reason"]) for r in joins.layered_match(rows, known).collect()} == {1: (10, "apex"), 2: (11, "name"), 3: (None, None)}
 
 
+def test_layered_match_equals_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    names = ["jpmorgan chase", "asturra medical", "aaaa bbbb", "x", "zoé 😀 labs"] + ["".join(rng.choices("abcde ", k=rng.randint(3, 14))).strip() or "q" for _ in range(60)]
+    asked = ["jp morgan chase", "astura medical", "aaa bbbb", "x", "zoe 😀 labs"] + [n[1:] + rng.choice("abc") for n in names[5:]] + [n[:2] + n[3:] or "w" for n in names[5:]]
+    rows = spark.createDataFrame([(i, "", n) for i, n in enumerate(asked)], "id long, apex string, name string")
+    known = spark.createDataFrame([(100 + i, "", n) for i, n in enumerate(names)], "known_id long, apex string, name string")
+    expected = {}
+    for i, a in enumerate(asked):
+        ratio, k = max(((SequenceMatcher(None, a, b).ratio() if a and b else 0.0), -(100 + j)) for j, b in enumerate(names))
+        expected[i] = -k if ratio >= 0.85 else None
+    assert expected[0] == 100 and expected[1] == 101
+    assert {r["id"]: r["known_id"] for r in joins.layered_match(rows, known).collect()} == expected
+
+
 def test_receipts_and_ttl(spark):
     now = F.lit("2024-01-01 01:00:00").cast("timestamp")
     calls = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "call_key string")
