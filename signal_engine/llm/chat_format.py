@@ -11,7 +11,8 @@ counted), so no control string of a text survives and unescaping gives back the
 newlines and backslashes are escaped too. The loss mask lists (start, length) in code points of the escaped
 assistant texts.
 
-Defined results: null role or text is empty; messages without a known parent are roots; repeated rows are
+Defined results: null role or text is empty; rows with a null conversation are one conversation, of key null
+(``format_trees`` joins on a key that is never null); messages without a known parent are roots; repeated rows are
 kept as messages of their own; equal scores rank by depth (deeper first), then by the leaf's number; a cycle
 has no leaf and gives nothing; an empty table gives an empty result; other columns are ignored.
 """
@@ -115,5 +116,7 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 
 def format_trees(messages: DataFrame, scratch: Scratch, branches: int = 1, learn_role: str = "assistant") -> DataFrame:
     """Choose the best branches of every tree and format each; messages: (conv, msg, parent, role, text, score)."""
-    kept = scratch.write(messages, "messages")
-    return format_paths(kept, choose_paths(kept, scratch, branches), learn_role)
+    kind, key = messages.schema["conv"].dataType, F.col("conv").cast("string")
+    kept = scratch.write(messages.withColumn("conv", F.coalesce(F.concat(F.lit("="), key), F.lit("-"))), "messages")
+    done = format_paths(kept, choose_paths(kept, scratch, branches), learn_role)
+    return done.withColumn("conv", F.when(F.col("conv") != "-", F.substr("conv", F.lit(2)).cast(kind)))

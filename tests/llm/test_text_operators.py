@@ -214,6 +214,13 @@ def test_chat_round_trip(spark, scratch):
     assert chat_format.format_trees(chat_format.chain(df.where("false")), scratch("t10")).count() == 0
 
 
+def test_chat_keeps_a_null_conversation(spark, scratch):
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    done = chat_format.format_trees(chat_format.chain(turns), scratch("t10"))
+    got = {r["conv"]: [tuple(t) for t in r["turns"]] for r in done.select("conv", chat_format.read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert got == {None: [("user", "a"), ("assistant", "b")], 1: [("user", "c")]} and done.schema["conv"].dataType == turns.schema["conv_id"].dataType
+
+
 def test_best_branch_of_a_tree(spark, scratch):
     rows = [(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 5.0), (1, 4, 2, 9.0), (1, 5, 3, 0.0), (1, 6, 99, 1.0)]
     df = spark.createDataFrame([(c, m, p, "user", f"m{m}", s) for c, m, p, s in rows], "conv long, msg long, parent long, role string, text string, score double")
