@@ -13,13 +13,18 @@ from a partner, candidates are found as follows.
   and are indexed as pairs within a class. A prefix is extended until (rare tokens) + sum over classes of
   (tokens - 1) exceeds t: then a partner keeps a rare token or two tokens of one class, so both share a
   signature. Most prefixes are t + 1 rare tokens.
-* In every bucket the smallest member is compared with all others; what links to it is one component. Only
-  members of different components meet again, first through further pivots while that saves work, then all
-  of them. No bucket is cut off, and no bucket emits the pairs inside a component.
-* Candidates are verified on the whole sets, exactly.
-
-Nothing that grows with the documents is collected or broadcast but the bitmaps, of at most ``MAX_BITS``
-bits. Tables that later steps share are written to the shared folder, so lost executors cost a step at most.
+* Every node has a sketch, the parity of its tokens' number in each of 4 n hash cells or more (fewer for very large sets). The cells in which
+  two sketches differ are no more than the tokens that only one of the sets holds, so a pair whose sketches
+  differ more than a linked pair's sets may is dropped, exactly and without reading the sets.
+* In every bucket the smallest member (the pivot) meets all others; what the sketches leave is verified on the
+  whole sets, each node's likeliest partner first, then the pairs that still join different components. Last,
+  the other members of a bucket that are in different components are compared by sketch, in tiles of bounded
+  size that return only the pairs left: first each member's ``BEST`` likeliest, then, once those are verified
+  and components merged, all that remain. No bucket is cut off, and no bucket emits its pairs.
+
+Nothing that grows with the documents is collected or broadcast but the bitmaps: a level's has at most half the
+bits of the one before, so together they take at most twice ``MAX_BITS`` bits (64 MB). Tables that later steps
+share are written to the shared folder, so lost executors cost a step at most.
 
 Defined results: null text or text without words has an empty set, no links and component_id = its id; fewer
 than five words are one shingle; repeated ids are one row each, with their own text; an empty table gives an
@@ -40,7 +45,11 @@ from signal_engine.llm.common import Scratch, as_arrow_string, slices, sole_cach
 SHINGLE = 5
 FREQUENT = 24
 STEP = 3
-MIN_BITS, MAX_BITS = 16, 29
+MIN_BITS, MAX_BITS = 16, 28
+CELLS, MOST_CELLS = 4, 1 << 14  # sketch cells for each token, at least; all cells of a set of up to so many tokens
+BEST = 4
+TILE = 1024
+ROUNDS = 60
 WHOLE = 64  # sets up to this size are counted whole
 _A, _B, _C = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,7 +172,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of the edges (a, b); alternating stars."""
     now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{label}-0")
     seen = None
-    for step in range(1, 60):
+    for step in range(1, ROUNDS + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -173,18 +182,68 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{label}-{step - 1}")
         if state == seen:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
         seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+
+
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each set the parity of its tokens' number in every hash cell, as 64-bit words; a power of two of words,
+    so that a sketch of twice the words folds onto one of half. Large sets have MOST_CELLS, or one a token."""
+    cells = np.maximum(np.minimum(CELLS * sizes, MOST_CELLS), np.maximum(sizes, 1))
+    words = 1 << np.maximum(0, np.ceil(np.log2(cells / 64))).astype(np.int64)
+    ends = np.cumsum(words)
+    cell = flat & (np.repeat(words, sizes) * 64 - 1).astype(np.uint64)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+    np.bitwise_xor.at(out, np.repeat(ends - words, sizes) + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return [out[e - w : e] for e, w in zip(ends.tolist(), words.tolist(), strict=True)]
+
+
+def near_pairs(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: list[np.ndarray], percent: int, best: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components whose sketches let them link, as places in the arrays; with best, only so many
+    of the smallest difference for each row. If there are two tiles, only pairs across them."""
+    words = np.fromiter((len(x) for x in sketch), np.int64, len(sketch))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    across = len(tile) > 0 and bool((tile != tile[0]).any())
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        x = np.stack([sketch[i] for i in own])
+        for factor in (1, 2):
+            other = np.flatnonzero(words == w * factor)
+            if not len(other):
+                continue
+            y = x if factor == 1 else np.stack([sketch[i][:w] ^ sketch[i][w:] for i in other])
+            step = max(1, 2_000_000 // (len(other) * w))
+            for at in range(0, len(own), step):
+                a = own[at : at + step]
+                differ = np.bitwise_count(x[at : at + step, None, :] ^ y[None]).sum(-1, dtype=np.int64)
+                total = n[a][:, None] + n[other][None]
+                ok = differ <= total - 2 * -(-percent * total // (100 + percent))
+                ok &= (comp[a][:, None] != comp[other][None]) & (100 * np.minimum(n[a][:, None], n[other][None]) >= percent * np.maximum(n[a][:, None], n[other][None]))
+                if across:
+                    ok &= tile[a][:, None] != tile[other][None]
+                if factor == 1:
+                    ok &= sid[a][:, None] < sid[other][None]
+                if best is not None and ok.shape[1] > best:
+                    bound = np.partition(np.where(ok, differ, 1 << 40), best - 1, axis=1)[:, best - 1]
+                    ok &= differ <= bound[:, None]
+                    ok &= np.cumsum(ok, axis=1) <= best
+                i, j = np.nonzero(ok)
+                found.append((a[i], other[j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 class _Join:
     def __init__(self, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int):
+        if not 50 < percent <= 100:
+            raise ValueError("percent must be above 50: partners are of less than twice the size")
         self.spark, self.scratch, self.percent = docs.sparkSession, scratch, percent
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
 
     def whole(self) -> DataFrame:
-        """(doc, n, sid, low) of every document; low: the counted tokens."""
+        """(doc, n, sid, low, sketch) of every document; low: the counted tokens."""
         percent = self.percent
 
         def run(batches):
@@ -195,16 +254,17 @@ class _Join:
                     flat, sizes = shingle_sets(texts[i:j])
                     ends = np.cumsum(sizes)
                     own = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[i:j], pa.array(sizes), pa.array([set_id(s) for s in own], pa.int64()), _lists([s[: counted(len(s), percent)] for s in own])], ["doc", "n", "sid", "low"]
-                    )
+                    low = _lists([s[: counted(len(s), percent)] for s in own])
+                    ids = pa.array([set_id(s) for s in own], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sizes), ids, low, _lists(sketches(flat, sizes))], ["doc", "n", "sid", "low", "sketch"])
 
-        return self.docs.mapInArrow(run, "doc long, n long, sid long, low array<long>")
+        return self.docs.mapInArrow(run, "doc long, n long, sid long, low array<long>, sketch array<long>")
 
     def read_sets(self, chosen: DataFrame) -> DataFrame:
         """(doc, sid, tokens) of the documents in chosen (rep) and of a few others; a bitmap of bounded size spares
         most other documents the work."""
-        bits, bitmap = self.bitmap(chosen.select(F.col("rep").alias("x")), hashed=False)
+        reps = chosen.select(F.col("rep").alias("x"), F.lit(0).alias("level")).distinct()
+        [(bits, bitmap)] = self.bitmaps(reps, [reps.count()], hashed=False)
         shared = self.spark.sparkContext.broadcast(bitmap)
 
         def run(batches):
@@ -226,33 +286,37 @@ class _Join:
         named = chosen.select("sid", F.col("rep").alias("doc")).distinct()
         return self.scratch.write(self.read_sets(chosen).join(named, ["sid", "doc"], "left_semi").select("sid", "tokens"), label)
 
-    def bitmap(self, values: DataFrame, hashed: bool = True) -> tuple[int, np.ndarray]:
-        """A bitmap of hashed 64-bit values x; its size follows their number up to MAX_BITS bits."""
-        n = values.count()
-        bits = min(MAX_BITS, max(MIN_BITS, (16 * n).bit_length()))
+    def bitmaps(self, values: DataFrame, counts: list[int], hashed: bool = True) -> list[tuple[int, np.ndarray]]:
+        """Bitmaps of hashed 64-bit values (x, level): bitmap l has the values of level >= l, of which there are
+        counts[l]; its size follows their number up to MAX_BITS - l bits."""
+        sizes = [min(MAX_BITS - k, max(MIN_BITS, (16 * n).bit_length())) for k, n in enumerate(counts)]
 
         def run(batches):
             for batch in batches:
+                at = np.asarray(batch.column(0).is_valid())
                 x = np.asarray(batch.column(0).drop_null()).astype(np.int64).view(np.uint64)
-                at = ((x if hashed else mix(x)) * _C) >> np.uint64(64 - bits)
-                word = (at >> np.uint64(6)).astype(np.int64)
-                one = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(one)], ["word", "mask"])
-
-        out = np.zeros(1 << (bits - 6), np.uint64)
-        words = values.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+                level = np.asarray(batch.column(1))[at]
+                for k, bits in enumerate(sizes):
+                    bit = (((x if hashed else mix(x)) * _C) >> np.uint64(64 - bits))[level >= k]
+                    word, place = np.unique((bit >> np.uint64(6)).astype(np.int64), return_inverse=True)
+                    mask = np.zeros(len(word), np.uint64)
+                    np.bitwise_or.at(mask, place, np.uint64(1) << (bit & np.uint64(63)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), k), pa.int32()), pa.array(word), pa.array(mask.view(np.int64))], ["k", "word", "mask"])
+
+        out = [np.zeros(1 << (bits - 6), np.uint64) for bits in sizes]
+        words = values.select("x", "level").mapInArrow(run, "k int, word long, mask long").groupBy("k", "word").agg(F.bit_or("mask").alias("mask"))
         for part in words.toArrow().to_batches():  # at most 2^23 rows
-            out[np.asarray(part.column(0))] = np.asarray(part.column(1)).view(np.uint64)
-        return bits, out
+            k, word, mask = (np.asarray(c) for c in part.columns)
+            for level, bitmap in enumerate(out):
+                bitmap[word[k == level]] = mask[k == level].view(np.uint64)
+        return list(zip(sizes, out, strict=True))
 
     def frequent_bits(self, tokens: DataFrame, label: str) -> list[tuple[int, np.ndarray]]:
         """One bitmap for each level that any token reaches."""
-        often = self.scratch.write(tokens.groupBy("x").count().where(F.col("count") > FREQUENT), label)
-        most, bound, out = often.agg(F.max("count")).first()[0] or 0, FREQUENT, []
-        while bound < most:
-            out.append(self.bitmap(often.where(F.col("count") > bound).select("x")))
-            bound *= STEP
-        return out
+        steps = [FREQUENT * STEP**k for k in range(1, 30)]
+        often = self.scratch.write(tokens.groupBy("x").count().where(F.col("count") > FREQUENT).select("x", sum(((F.col("count") > b).cast("int") for b in steps), F.lit(0)).alias("level")), label)
+        at = {r["level"]: r["n"] for r in often.groupBy("level").agg(F.count("*").alias("n")).collect()}  # 30 rows at most
+        return self.bitmaps(often, [sum(n for k, n in at.items() if k >= level) for level in range(max(at) + 1)]) if at else []
 
     def prefixes(self, nodes: DataFrame, maps) -> DataFrame:
         """(sid, n, rep, rare): the prefix of nodes that have enough rare counted tokens, else null."""
@@ -292,7 +356,7 @@ class _Join:
         s, percent = self.scratch, self.percent
         whole = s.write(self.whole(), "whole")
         members = s.write(whole.select("doc", "n", "sid"), "members")
-        self.nodes = nodes = s.write(whole.where("n > 0").groupBy("sid", "n").agg(F.min("doc").alias("rep"), F.first("low").alias("low")).where("rep IS NOT NULL"), "nodes")
+        self.nodes = nodes = s.write(whole.where("n > 0").groupBy("sid", "n").agg(F.min("doc").alias("rep"), F.first("low").alias("low"), F.first("sketch").alias("sketch")).where("rep IS NOT NULL"), "nodes")
         s.drop("whole")
 
         low = nodes.select(F.explode("low").alias("x"))
@@ -321,38 +385,18 @@ class _Join:
         if pair is not None:
             stats = pair.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("n", "sid")).alias("p")).where("c > 1")
             buckets = buckets.unionByName(pair.join(stats, "sig").select("sid", "n", "sig", F.col("p.sid").alias("pivot"), F.col("p.n").alias("pn")))
-        buckets = s.write(buckets, "buckets")
-        fits = lambda a, b: percent * F.greatest(a, b) <= 100 * F.least(a, b)
-        star = buckets.where((F.col("sid") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
-        links = self.verify(s.write(star, "star"), "links-0")
-
-        gained = 0
-        for turn in range(1, 9):
-            comp = components(links, s, f"cc-{turn}")
-            left = buckets.select("sid", "n", "sig").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-            by_comp = left.groupBy("sig", "comp").agg(F.count("*").alias("c"))
-            mixed = by_comp.groupBy("sig").agg(F.count("*").alias("k"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("c2")).where("k > 1")
-            left = s.write(left.join(mixed.select("sig", "k", "c"), "sig"), f"left-{turn}")
-            total = left.select("sig", "c").distinct().count()
-            cross = mixed.agg(F.sum((F.col("c") * F.col("c") - F.col("c2")) / 2)).first()[0] or 0
-            if not total:
+        buckets = s.write(buckets.where("sid <> pivot"), "buckets")
+
+        fits = percent * F.greatest("n", "pn") <= 100 * F.least("n", "pn")
+        near = s.write(self.prune(buckets.where(fits).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()), "near")
+        likeliest = near.groupBy("a").agg(F.min_by(F.struct("b", "a_rep", "b_rep"), F.struct("differ", "b")).alias("p")).select("a", "p.*")
+        comp = components(self.verify(s.write(likeliest, "likeliest"), "links-0"), s, "cc-0")
+        comp = self.merged(comp, self.verify(s.write(self.apart(near, comp), "other-stars"), "links-1"), "cc-1")
+        for turn, best in ((2, BEST), (3, None)):
+            pairs = s.write(self.within(buckets, comp, best), f"within-{turn}")
+            if not pairs.head(1):
                 break
-            members_left = left.count()
-            # pivots save work while copies abound; buckets of unlinked members are compared whole
-            if cross <= 8 * members_left or turn == 8 or (turn > 1 and gained < members_left // 50):
-                a, b = left.select("sig", F.col("sid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")), left.select("sig", F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-                rest = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
-                more = self.verify(s.write(rest, f"rest-{turn}"), f"links-{turn}")
-                links = links.unionByName(more)
-                if more.head(1):
-                    comp = components(links, s, "cc-last")
-                break
-            # every bucket takes a pivot of its own, so that edited copies, each like only some others, meet many
-            pivot = left.groupBy("sig").agg(F.min_by(F.struct("sid", "n", "comp"), F.xxhash64("sid", "sig", F.lit(turn))).alias("p"))
-            again = left.join(pivot, "sig").where((F.col("comp") != F.col("p.comp")) & fits(F.col("n"), F.col("p.n")))
-            again = again.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct()
-            more = self.verify(s.write(again, f"again-{turn}"), f"links-{turn}")
-            links, gained = links.unionByName(more), more.count()
+            comp = self.merged(comp, self.verify(pairs, f"links-{turn}"), f"cc-{turn}")
 
         named = nodes.select("sid", "rep").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         label = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -360,27 +404,81 @@ class _Join:
         return members.join(of_set, "sid", "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("doc")).alias("component_id"))
 
     def prune(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose counted tokens leave a link possible. A counted token of one set that is below the other's
-        last counted one and not among them is missing there, and only so many can be."""
-        side = lambda p: self.nodes.select(F.col("sid").alias(p), F.col("n").alias(f"{p}n"), F.col("rep").alias(f"{p}_rep"), F.col("low").alias(f"{p}l"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a")
-        least = F.ceil(F.col("an") * self.percent / (100 + self.percent) + F.col("bn") * self.percent / (100 + self.percent) - 1e-6)
-        sign = F.lit(-(1 << 63))  # hashes are ordered without sign
-
-        def lacks(x: str, y: str):
-            last = F.element_at(f"{y}l", -1).bitwiseXOR(sign)
-            below = F.when(F.size(f"{y}l") == F.col(f"{y}n"), F.col(f"{x}l")).otherwise(F.filter(f"{x}l", lambda t: t.bitwiseXOR(sign) <= last))
-            return F.size(F.array_except(below, f"{y}l")) <= F.col(f"{x}n") - least
+        """(a, b, differ, a_rep, b_rep): the pairs (a, b) whose sketches let them link."""
+        side = lambda p: self.nodes.select(F.col("sid").alias(p), F.col("n").alias(f"{p}n"), F.col("rep").alias(f"{p}_rep"), F.col("sketch").alias(f"{p}s"))
+
+        def cut(x: str, y: str):
+            half = F.size(y)
+            folded = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+            return F.when(F.size(x) > half, folded).otherwise(F.col(x))
+
+        differ = F.aggregate(F.zip_with(cut("as", "bs"), cut("bs", "as"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, x: acc + x)
+        total = F.col("an") + F.col("bn")
+        most = total - 2 * F.expr(f"({self.percent} * (an + bn) + {99 + self.percent}) div {100 + self.percent}")
+        both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("most", most).withColumn("differ", differ)
+        return both.where("differ <= most").select("a", "b", "differ", "a_rep", "b_rep")
+
+    def apart(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """The pairs (a, b) of different components."""
+        side = lambda p: comp.select(F.col("node").alias(p), F.col("comp").alias(f"{p}c"))
+        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return both.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).drop("ac", "bc")
+
+    def merged(self, comp: DataFrame, links: DataFrame, label: str) -> DataFrame:
+        """The components (node, comp) with further links, which are contracted to their components first."""
+        if not links.head(1):
+            return comp
+        of = lambda p: comp.select(F.col("node").alias(p), F.col("comp").alias(f"{p}c"))
+        edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+        over = components(edges, self.scratch, label).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        moved = comp.join(over, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+        fresh = over.select(F.col("comp").alias("node"), F.col("top").alias("comp")).join(comp.select("node"), "node", "left_anti")
+        return self.scratch.write(moved.unionByName(fresh), f"{label}-all")
+
+    def within(self, buckets: DataFrame, comp: DataFrame, best: int | None) -> DataFrame:
+        """(a, b, a_rep, b_rep): pairs of one bucket, both not its pivot, in different components, whose sketches let
+        them link. Buckets of members of more than one component are compared in tiles of about TILE members."""
+        percent = self.percent
+        left = buckets.select("sig", "sid", "n").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        mixed = left.groupBy("sig").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        tiles = F.ceil(F.col("c") / TILE).cast("int")
+        left = left.join(mixed.select("sig", tiles.alias("tiles")), "sig").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+        dealt = left.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("sig", "sid", "n", "comp", "tile", F.least("tile", "u").alias("t"), F.greatest("tile", "u").alias("u"))
+        dealt = dealt.join(self.nodes.select("sid", "sketch"), "sid").repartition("sig", "t", "u").sortWithinPartitions("sig", "t", "u")
 
-        return both.where(lacks("a", "b") & lacks("b", "a")).select("a", "b", "a_rep", "b_rep")
+        def run(batches):
+            kept = None
+            for batch in batches:
+                now = pa.Table.from_batches([batch])
+                now = now if kept is None else pa.concat_tables([kept, now])
+                key = np.stack([np.asarray(now[c].combine_chunks()).astype(np.int64) for c in ("sig", "t", "u")])
+                cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+                kept = now.slice(cuts[-1])  # the last group may go on in the next batch
+                yield from groups(now, cuts)
+            if kept is not None:
+                yield from groups(kept, [0, kept.num_rows])
+
+        def groups(rows: pa.Table, cuts: list[int]):
+            if len(cuts) < 2:
+                return
+            sid, n, comp_of, tile = (np.asarray(rows[c].combine_chunks()).astype(np.int64) for c in ("sid", "n", "comp", "tile"))
+            sketch, a, b = _arrays(rows["sketch"].combine_chunks()), [], []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                x, y = near_pairs(sid[i:j], n[i:j], comp_of[i:j], tile[i:j], sketch[i:j], percent, best)
+                a.append(sid[i + x])
+                b.append(sid[i + y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+
+        pairs = dealt.select("sig", "t", "u", "sid", "n", "comp", "tile", "sketch").mapInArrow(run, "a long, b long").distinct()
+        rep = lambda p: self.nodes.select(F.col("sid").alias(p), F.col("rep").alias(f"{p}_rep"))
+        return pairs.join(rep("a"), "a").join(rep("b"), "b")
 
     def verify(self, pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs (a, b) that link, by their whole sets. The sets of b (in the first rounds the few pivots) are
+        """The pairs (a, b) of a written table (a, b, a_rep, b_rep) that link, by their whole sets. The sets of b are
         written; those of a are read from the documents again and go straight to their pairs."""
-        near = self.scratch.write(self.prune(pairs), f"{label}-near")
-        right = self.sets_of(near.select(F.col("b").alias("sid"), F.col("b_rep").alias("rep")), f"{label}-sets").select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-        left = self.read_sets(near.select(F.col("a_rep").alias("rep"))).select(F.col("sid").alias("a"), F.col("doc").alias("a_rep"), F.col("tokens").alias("ta"))
-        both = near.join(right, "b").join(left, ["a", "a_rep"]).withColumn("common", F.size(F.array_intersect("ta", "tb")))
+        right = self.sets_of(pairs.select(F.col("b").alias("sid"), F.col("b_rep").alias("rep")), f"{label}-sets").select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
+        left = self.read_sets(pairs.select(F.col("a_rep").alias("rep"))).select(F.col("sid").alias("a"), F.col("doc").alias("a_rep"), F.col("tokens").alias("ta"))
+        both = pairs.select("a", "b", "a_rep").join(right, "b").join(left, ["a", "a_rep"]).withColumn("common", F.size(F.array_intersect("ta", "tb")))
         links = both.where(100 * F.col("common") >= self.percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b").distinct()
         links = self.scratch.write(links, label)
         self.scratch.drop(f"{label}-sets")
