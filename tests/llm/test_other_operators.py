@@ -67,6 +67,30 @@ def test_packing_holds_every_id_once(spark, scratch):
         packing.pack_documents(df, scratch("t9"), WORD_BPE, end_id=1, capacity=100)
 
 
+def test_bins_take_a_fixed_number_of_documents_and_cut_few():
+    rng = np.random.default_rng(9)
+    for sizes in (rng.integers(1, 700, 3000), rng.integers(1, 4000, 800), np.full(500, 1025), np.ones(5000, int), [1500], [2048], []):
+        got = []
+        bins = packing.Bins(2048, lambda p, seq, at: got.append((p[0], p[1], len(p[2]), p[3], seq, at)))  # noqa: B023
+        for doc, n in enumerate(sizes):
+            bins.add(doc, np.zeros(n, np.uint32))
+        running = len(got)
+        bins.finish()
+        ends, pieces = {}, {}
+        for doc, start, length, total, seq, at in sorted(got, key=lambda r: (r[4], r[5])):
+            assert at == ends.get(seq, 0) and length > 0 and total == sizes[doc]
+            ends[seq] = at + length
+            pieces.setdefault(doc, []).append((start, length))
+        assert sorted(ends) == list(range(len(ends))) and all(n & (n - 1) == 0 and n <= 2048 for n in ends.values())
+        assert sum(n < 2048 for n in ends.values()) <= 11
+        for doc, own in pieces.items():
+            own.sort()
+            assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) == sizes[doc]
+        # besides full sequences two pieces a document at most, but for those in the bins open at the end
+        assert running <= sum(n // 2048 + 2 for n in sizes) and len(got) <= sum(n // 2048 + 2 for n in sizes) + 64
+        assert len(pieces) == len(sizes)
+
+
 def test_neighbours(spark, scratch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)], "x") for i in range(600)]
