@@ -1,17 +1,19 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
 Trees are grown on a bounded sample of the rows (``sample_rows``, chosen by a hash of the id): a node splits
-at the median of the projection on the line through two of its rows. Every row of the table is then dealt to
-its leaf in every tree. A query walks all trees through one shared priority queue, ordered by the smallest
-margin on the way, until the leaves it took hold ``search_base + search_share x rows`` entries (counted with
-repeats across trees). Queries meet the members of their leaves by tree and leaf, large leaves being split
-into numbered parts, and each part returns its k nearest by exact distance on the original vectors; the best
-k of all parts remain.
+at the median of the projection on the line through two of its rows. Equal vectors are one point, with the k + 1
+smallest of their ids (no query needs more of them). Every point is dealt to its leaf in every tree. A query walks
+all trees through one shared priority queue, ordered by the smallest margin on the way, until the leaves it took
+hold ``search_points`` points (counted with repeats across trees); that number does not grow with the table.
+
+Points stay where they are: the queries are taken in blocks of at most ``block_queries``, each block is broadcast
+with the leaves its queries took, and every task ranks its own points of those leaves by exact distance on the
+original vectors. The best k of all tasks remain.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or that hold null
-or non-finite components take no part; rows with the query's own id are not candidates; a repeated id counts
-once, at its smallest distance; ties go to the smaller id; fewer than k candidates give fewer rows; an empty
-table gives an empty result; other columns are ignored.
+or non-finite components take no part; neither do rows without an id; rows with the query's own id are not
+candidates; a repeated id counts once, at its smallest distance; ties go to the smaller id; fewer than k candidates
+give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signal_engine.llm.common import Scratch
 
-PART_ROWS = 4096
+#: Points that a task holds at once.
+CHUNK = 30_000
 
 
 @dataclass(frozen=True)
@@ -102,27 +106,79 @@ def search(forest: Forest, query: np.ndarray, sizes: np.ndarray, budget: float)
     return taken
 
 
-def nearest_in(query_ids, queries, ids, vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, distance) of each query's k nearest among the given rows, exact in double precision."""
-    out = []
-    step = max(1, 4_000_000 // max(1, vectors.size))
-    for i in range(0, len(queries), step):
-        part = queries[i : i + step]
-        d = np.sqrt(((part[:, None, :] - vectors[None]) ** 2).sum(-1))
-        d[query_ids[i : i + step, None] == ids[None]] = np.inf
-        keep = min(k, d.shape[1])
-        bound = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-        for r in range(len(part)):
-            at = np.flatnonzero((d[r] <= bound[r]) & np.isfinite(d[r]))
-            at = at[np.lexsort((ids[at], d[r, at]))[:k]]
-            out.append((np.full(len(at), query_ids[i + r]), ids[at], d[r, at]))
-    if not out:
+def best_of(query: np.ndarray, vec: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k nearest, nearest first, each id once; ties to the smaller id."""
+    order = np.lexsort((dist, vec, query))
+    q, i = query[order], vec[order]
+    order = order[np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])] if len(order) else order
+    order = order[np.lexsort((vec[order], dist[order], query[order]))]
+    starts = np.flatnonzero(np.diff(query[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[rank < k]
+
+
+@dataclass(frozen=True)
+class Block:
+    """A block of queries: ids, vectors, and for each leaf the queries that took it."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    first: np.ndarray  # leaf -> first place in takers
+    takers: np.ndarray
+
+
+def block_of(ids: np.ndarray, vectors: np.ndarray, taken: list[np.ndarray], leaves: int) -> Block:
+    leaf = np.concatenate([*taken, np.zeros(0, np.int32)]).astype(np.int64)
+    who = np.repeat(np.arange(len(taken)), [len(t) for t in taken])
+    order = np.argsort(leaf, kind="stable")
+    return Block(ids, vectors, np.searchsorted(leaf[order], np.arange(leaves + 1)), who[order])
+
+
+def rank_points(block: Block, vectors: np.ndarray, leaf: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance): the k nearest of the points (rows of vectors) in the leaves that each query took."""
+    query, point, dist = [], [], []
+    for tree in range(leaf.shape[1]):
+        order = np.argsort(leaf[:, tree], kind="stable")
+        own = leaf[order, tree]
+        cuts = np.flatnonzero(np.diff(own, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
+            takers, rows = block.takers[block.first[own[a]] : block.first[own[a] + 1]], order[a:b]
+            step = max(1, 2_000_000 // ((b - a) * vectors.shape[1]))
+            for i in range(0, len(takers), step):
+                part = takers[i : i + step]
+                d = np.sqrt(((block.vectors[part][:, None, :] - vectors[rows][None]) ** 2).sum(-1))
+                if len(rows) > k + 1:
+                    at = np.argpartition(d, k, axis=1)[:, : k + 1]
+                    bound = np.take_along_axis(d, at, 1).max(1)
+                    x, y = np.nonzero(d <= bound[:, None])  # all ties of the last
+                else:
+                    x, y = np.nonzero(d >= 0)
+                query.append(part[x])
+                point.append(rows[y])
+                dist.append(d[x, y])
+        if tree % 8 == 7 or tree == leaf.shape[1] - 1:  # keep what can still be among the nearest, and all ties of it
+            query, point, dist = ([np.concatenate([*x, np.zeros(0, t)]).astype(t)] for x, t in ((query, np.int64), (point, np.int64), (dist, np.float64)))
+            order = np.lexsort((point[0], query[0]))
+            q, p = query[0][order], point[0][order]
+            order = order[np.concatenate([[True], (q[1:] != q[:-1]) | (p[1:] != p[:-1])])] if len(order) else order
+            order = order[np.lexsort((dist[0][order], query[0][order]))]
+            starts = np.flatnonzero(np.diff(query[0][order], prepend=-1))
+            sizes = np.diff(np.append(starts, len(order)))
+            last = dist[0][order][np.minimum(starts + k, starts + sizes - 1)]
+            order = order[dist[0][order] <= np.repeat(last, sizes)]
+            query, point, dist = [query[0][order]], [point[0][order]], [dist[0][order]]
+    if not len(query) or not len(query[0]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    sizes = np.fromiter((len(ids[p]) for p in point[0]), np.int64, len(point[0]))
+    query, dist, vec = np.repeat(query[0], sizes), np.repeat(dist[0], sizes), np.concatenate([ids[p] for p in point[0]])
+    other = block.ids[query] != vec
+    query, vec, dist = query[other], vec[other], dist[other]
+    at = best_of(query, vec, dist, k)
+    return block.ids[query[at]], vec[at], dist[at]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim) if len(column) else np.zeros((0, dim))
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
 def valid_vector(v: Column) -> Column:
@@ -142,13 +198,13 @@ def neighbours(
     trees: int = 24,
     leaf_rows: int = 400,
     sample_rows: int = 20_000,
-    search_base: int = 8_000,
-    search_share: float = 0.6,
+    search_points: int = 40_000,
+    block_queries: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) with the k nearest found of every row for which is_query holds."""
     spark = rows.sparkSession
     good = rows.where(valid_vector(F.col(vector_col))).where(F.col(id_col).isNotNull())
-    vectors = good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
+    vectors = good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     n = vectors.count()
     sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(1, n)))) if n > sample_rows else vectors
     found = sorted((r["id"], r["v"]) for r in sample.select("id", "v").collect())
@@ -156,51 +212,72 @@ def neighbours(
     if not found:
         return spark.createDataFrame([], result)
     dim = Counter(len(v) for _, v in found).most_common(1)[0][0]
-    fitted = np.asarray([v for _, v in found if len(v) == dim], np.float32)
+    fitted = np.unique(np.asarray([v for _, v in found if len(v) == dim], np.float32), axis=0)
     # a leaf's share of the sample is its share of the rows; at least 4 sampled rows in a leaf
     forest = grow_forest(fitted, trees, max(4, int(leaf_rows * min(1.0, sample_rows / n))))
     shared = spark.sparkContext.broadcast(forest)
 
+    # a point for each distinct vector, with its k + 1 smallest ids; Spark limits a group before the shuffle, too
+    fit = vectors.where(F.size("v") == dim)
+    few = fit.select("id", "v").distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    points = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
     def deal(batches):
         f = shared.value
         for batch in batches:
-            v = batch.column(1)
-            m = np.asarray(v.flatten(), np.float64).reshape(-1, f.dim)
+            m = _matrix(batch.column(0), f.dim)
             for i in range(0, len(m), 4000):
                 leaf = leaves_of(f, m[i : i + 4000].astype(np.float32))
-                raw = pa.array([x.tobytes() for x in m[i : i + 4000].astype("<f8")], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 4000], raw, batch.column(2)[i : i + 4000], pa.array(leaf.tolist(), pa.list_(pa.int32()))], ["id", "v", "q", "leaves"])
+                part = batch.slice(i, 4000)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(leaf.tolist(), pa.list_(pa.int32()))], ["v", "ids", "leaves"])
 
-    dealt = scratch.write(vectors.where(F.size("v") == dim).mapInArrow(deal, "id long, v binary, q boolean, leaves array<int>"), "dealt")
-    members = dealt.select("id", "v", F.explode("leaves").alias("leaf"))
+    dealt = scratch.write(points.mapInArrow(deal, "v array<double>, ids array<long>, leaves array<int>"), "dealt")
     sizes = np.zeros(len(forest.leaf_tree), np.int64)
-    for r in members.groupBy("leaf").count().collect():  # one row for each leaf of the model
+    for r in dealt.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # one row for each leaf of the model
         sizes[r["leaf"]] = r["count"]
-    parts = np.maximum(1, -(-sizes // PART_ROWS))
-    budget = search_base + search_share * n
-    bound = spark.sparkContext.broadcast((sizes, parts))
+    held = spark.sparkContext.broadcast(sizes)
 
     def walk(batches):
-        f, (size, part) = shared.value, bound.value
+        f, size = shared.value, held.value
         for batch in batches:
             m = _matrix(batch.column(1), f.dim)
-            for i in range(len(m)):
-                taken = np.asarray(search(f, m[i].astype(np.float32), size, budget), np.int64)
-                leaf = np.repeat(taken, part[taken])
-                no = np.arange(len(leaf)) - np.repeat(np.cumsum(part[taken]) - part[taken], part[taken])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), batch.column(0)[i].as_py())), pa.array([batch.column(1)[i].as_py()] * len(leaf), pa.binary()), pa.array(leaf, pa.int32()), pa.array(no, pa.int32())], ["id", "v", "leaf", "part"])
-
-    visits = dealt.where("q").select("id", "v").repartition(F.col("id")).mapInArrow(walk, "id long, v binary, leaf int, part int")
-    large = [(i, int(p)) for i, p in enumerate(parts.tolist()) if p > 1]
-    if large:
-        members = members.join(spark.createDataFrame(large, "leaf int, parts int"), "leaf", "left")
-    placed = members.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int") if large else F.lit(0))
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, i, d = nearest_in(np.asarray(left["id"]), _matrix(left["v"], dim), np.asarray(right["id"]), _matrix(right["v"], dim), k) if left.num_rows and right.num_rows else nearest_in(np.zeros(0), np.zeros((0, dim)), np.zeros(0), np.zeros((0, dim)), k)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(d, pa.float64())})
-
-    near = visits.groupBy("leaf", "part").cogroup(placed.groupBy("leaf", "part")).applyInArrow(best, "query_id long, vec_id long, score double")
+            taken = [search(f, q.astype(np.float32), size, search_points) for q in m]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.list_(pa.int32()))], ["id", "v", "taken"])
+
+    asked = scratch.write(fit.where("q").select("id", "v").distinct().mapInArrow(walk, "id long, v array<double>, taken array<int>"), "asked")
+    blocks = -(-asked.count() // block_queries)
+    near = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        taken = own["taken"].combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(taken)).astype(np.int64))])
+        flat = np.asarray(taken.flatten())
+        block = spark.sparkContext.broadcast(block_of(np.asarray(own["id"]), _matrix(own["v"].combine_chunks(), dim), [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], len(sizes)))
+
+        def ranked(batches, block=block):
+            kept: list[pa.RecordBatch] = []
+
+            def out():
+                points = pa.Table.from_batches(kept).combine_chunks()
+                kept.clear()
+                at = points["ids"].combine_chunks()
+                ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(at)).astype(np.int64))])
+                flat = np.asarray(at.flatten()).astype(np.int64)
+                leaf = np.asarray(points["leaves"].combine_chunks().flatten()).reshape(len(points), -1)
+                q, i, d = rank_points(block.value, _matrix(points["v"].combine_chunks(), dim), leaf, [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], k)
+                return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])
+
+            for batch in batches:
+                kept.append(batch)
+                if sum(x.num_rows for x in kept) >= CHUNK:
+                    yield out()
+            if kept:
+                yield out()
+
+        part = dealt.mapInArrow(ranked, "query_id long, vec_id long, score double")
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        return spark.createDataFrame([], result)
     once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -98,7 +98,7 @@ def test_neighbours(spark, scratch):
     rows += [(800, None, "x"), (801, [0.0] * 8, "x"), (802, [float("nan")] + [1.0] * 7, "x"), (803, [None] + [1.0] * 7, "x"), (804, [1.0, 2.0], "x"), (900, rows[0][1], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string")
     got = {}
-    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, scratch("t2"), leaf_rows=20, trees=8, search_base=200, search_share=0.9).collect():
+    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, scratch("t2"), leaf_rows=20, trees=8, search_points=3000, block_queries=3).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     good = {i: np.asarray(v) for i, v, _ in rows if i < 800 or i == 900}
     hits = total = 0
@@ -114,6 +114,24 @@ def test_neighbours(spark, scratch):
     assert [(r["vec_id"], r["rank"]) for r in two] == [(5, 1)]
 
 
+def test_neighbours_at_the_registered_settings(spark, scratch):
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(8000, 32))
+    vectors[5000:] = vectors[17] * 1.5  # more than a third of the rows are equal
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, scratch("t2")).collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    hits = 0
+    for q in range(0, 8000, 100):
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(8000), d))[:10]
+        hits += len({i for _, i in got[q]} & set(want.tolist()))
+        assert all(abs(s - d[i]) < 1e-12 for s, i in got[q])
+    assert hits / 800 >= 0.9
+
+
 PAGE = (
     '<html><head><title>T</title><style>p{}</style></head><body><nav><a>Home</a> <a>News</a></nav><div class="cookie-notice">We use cookies here for you</div>'
     '<article><h1>A &amp; B</h1><p>First   para<b>graph</b> &eacute;.<br>Next.<p>Short.</p><aside>Advert</aside><script>x="</p>"</script><div id="comments"><p>I am a reader with many words to say here</p></div>'
