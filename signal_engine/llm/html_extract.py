@@ -1,9 +1,13 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut into flat blocks of text at block-level tags. A block has its word count and link density,
-those of the blocks before and after it, and where it stands (inside a content container, inside a
-boilerplate container, or neither; the innermost container counts). A decision tree, grown from the small
-labelled table below, says which blocks are main text.
+A page is cut into flat blocks of text at block-level tags. A block has its word count and link density, those of
+the blocks before and after it, and where it and they stand: inside boilerplate, inside a form, outside the page's
+content containers, in a page without any, or inside one. A decision tree, grown from the small labelled pages
+below, says which blocks are main text.
+
+Names in class, id and role count only as whole names: every word of one must be a boilerplate or a general word, so
+``cookie-banner`` is boilerplate and ``notice-board`` is not; headings, paragraphs and other leaves are never judged
+by their id. Time is linear in the page, also for broken markup.
 
 Defined results: null or empty html gives empty text; unclosed tags, comments and scripts end at the end of
 the page; a stray ``<`` is text; an empty table gives an empty result; other columns are ignored.
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -21,90 +26,53 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place")
-BOILERPLATE, NEUTRAL, CONTENT = -1, 0, 1
+FEATURES = ("words", "links", "place", "words_before", "links_before", "place_before", "words_after", "links_after", "place_after")
+BOILERPLATE, FORM, OUTSIDE, NEUTRAL, CONTENT = range(-2, 3)
+PLACES = {"b": BOILERPLATE, "f": FORM, "o": OUTSIDE, "n": NEUTRAL, "c": CONTENT}
 
-#: Labelled blocks: words, link density, the same of the block before and after, place, is main text.
+#: Labelled pages, a block each: place, words, words in links, and + for main text.
 LABELLED = (
-    # inside content containers: headings, paragraphs of any length, items, quotes, captions
-    (9, 0.0, 0, 0.0, 80, 0.0, 1, 1),
-    (6, 0.0, 12, 1.0, 45, 0.0, 1, 1),
-    (1, 0.0, 70, 0.0, 90, 0.0, 1, 1),
-    (2, 0.0, 30, 0.1, 4, 0.0, 1, 1),
-    (3, 0.0, 5, 0.0, 2, 0.0, 1, 1),
-    (4, 0.0, 60, 0.0, 10, 0.2, 1, 1),
-    (12, 0.0, 8, 0.0, 0, 0.0, 1, 1),
-    (25, 0.1, 40, 0.0, 35, 0.3, 1, 1),
-    (60, 0.0, 9, 0.0, 55, 0.0, 1, 1),
-    (80, 0.05, 60, 0.0, 70, 0.1, 1, 1),
-    (150, 0.02, 10, 0.0, 12, 0.5, 1, 1),
-    (18, 0.4, 50, 0.0, 60, 0.0, 1, 1),
-    (14, 0.6, 45, 0.0, 30, 0.0, 1, 1),
-    (8, 1.0, 50, 0.0, 65, 0.0, 1, 1),
-    (5, 1.0, 30, 0.1, 20, 0.0, 1, 1),
-    (40, 0.0, 20, 1.0, 3, 1.0, 1, 1),
-    (2, 0.0, 0, 0.0, 3, 1.0, 1, 1),
-    (200, 0.0, 0, 0.0, 0, 0.0, 1, 1),
-    (2, 0.5, 6, 0.0, 0, 0.0, 1, 1),
-    (3, 1.0, 40, 0.0, 0, 0.0, 1, 1),
-    (1, 1.0, 60, 0.0, 70, 0.0, 1, 1),
-    (4, 0.75, 3, 0.0, 50, 0.0, 1, 1),
-    (2, 1.0, 0, 0.0, 12, 0.1, 1, 1),
-    (6, 0.5, 15, 0.2, 0, 0.0, 1, 1),
-    (3, 0.0, 4, 1.0, 30, 0.0, 1, 1),
-    # inside content containers: runs of links
-    (2, 1.0, 2, 1.0, 2, 1.0, 1, 0),
-    (5, 1.0, 6, 1.0, 4, 1.0, 1, 0),
-    (7, 1.0, 5, 0.9, 8, 1.0, 1, 0),
-    (3, 0.9, 3, 1.0, 3, 0.95, 1, 0),
-    # inside boilerplate containers: menus, adverts, footers, notices, comments of any length
-    (1, 1.0, 1, 1.0, 1, 1.0, -1, 0),
-    (2, 1.0, 0, 0.0, 2, 1.0, -1, 0),
-    (8, 0.0, 1, 1.0, 9, 0.0, -1, 0),
-    (12, 0.0, 60, 0.0, 0, 0.0, -1, 0),
-    (30, 0.1, 10, 0.0, 40, 0.0, -1, 0),
-    (60, 0.0, 70, 0.0, 50, 0.0, -1, 0),
-    (120, 0.0, 90, 0.0, 100, 0.0, -1, 0),
-    (200, 0.0, 0, 0.0, 0, 0.0, -1, 0),
-    (4, 0.5, 80, 0.0, 3, 0.5, -1, 0),
-    (15, 0.2, 25, 0.0, 5, 1.0, -1, 0),
-    # neither: text
-    (40, 0.0, 50, 0.0, 60, 0.0, 0, 1),
-    (25, 0.1, 5, 0.0, 40, 0.0, 0, 1),
-    (90, 0.0, 3, 1.0, 70, 0.0, 0, 1),
-    (80, 0.1, 60, 0.0, 4, 1.0, 0, 1),
-    (35, 0.0, 0, 0.0, 0, 0.0, 0, 1),
-    (16, 0.0, 30, 0.0, 25, 0.1, 0, 1),
-    (8, 0.0, 40, 0.0, 35, 0.0, 0, 1),
-    (3, 0.0, 30, 0.0, 45, 0.0, 0, 1),
-    (6, 0.0, 2, 1.0, 60, 0.0, 0, 1),
-    (5, 0.0, 0, 0.0, 50, 0.0, 0, 1),
-    (9, 0.0, 12, 0.0, 14, 0.0, 0, 1),
-    (12, 0.0, 50, 0.0, 3, 1.0, 0, 1),
-    (20, 0.3, 45, 0.0, 30, 0.1, 0, 1),
-    (13, 0.0, 0, 0.0, 0, 0.0, 0, 1),
-    (4, 0.0, 11, 0.0, 13, 0.0, 0, 1),
-    (3, 0.0, 4, 1.0, 40, 0.0, 0, 1),
-    (4, 0.0, 2, 1.0, 60, 0.0, 0, 1),
-    (2, 0.0, 3, 1.0, 80, 0.1, 0, 1),
-    # neither: links and fragments between links
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0),
-    (6, 1.0, 40, 0.0, 5, 1.0, 0, 0),
-    (5, 0.8, 4, 1.0, 60, 0.0, 0, 0),
-    (12, 0.7, 10, 0.8, 8, 1.0, 0, 0),
-    (30, 0.8, 20, 0.9, 15, 1.0, 0, 0),
-    (2, 0.0, 3, 1.0, 2, 1.0, 0, 0),
-    (3, 0.5, 0, 0.0, 4, 1.0, 0, 0),
-    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0),
-    (18, 0.9, 50, 0.0, 40, 0.0, 0, 0),
-    (2, 1.0, 0, 0.0, 3, 0.0, 0, 0),
-    (6, 1.0, 0, 0.0, 30, 0.0, 0, 0),
-    (3, 1.0, 40, 0.0, 0, 0.0, 0, 0),
-    (2, 1.0, 2, 1.0, 0, 0.0, 0, 0),
-    (4, 1.0, 60, 0.0, 12, 0.0, 0, 0),
-    (5, 1.0, 30, 0.0, 20, 0.0, 0, 0),
+    # an article among menus, adverts and a footer
+    "b1/1 b1/1 b2/2 b8/0 c9/0+ c80/0+ c12/0+ c150/4+ c3/0+ c60/1+ c1/0+ c4/3+ b12/0 b6/6",
+    "b30/0 c6/0+ c2/2+ c45/0+ c30/12+ c5/5+ c20/0+ c18/8+ c2/0+ c2/0+ c3/0+ c200/0+ b15/3 b120/0",
+    "b2/2 b2/2 c11/0+ c25/2+ c1/0+ c90/0+ c3/3+ c40/0+ b60/0 b90/0 b70/0 b9/0 b4/2",
+    "b60/0 c2/0+ c2/2+ c12/1+ c6/3+ c15/3+ c1/1+ c70/0+ b200/0",
+    "c4/0+ c200/0+ c3/0+ c1/0+",
+    # runs of links inside an article: tables of contents, related links, tags
+    "b5/5 c7/0+ c50/0+ c2/2 c2/2 c3/3 c5/5 c65/0+ c6/6 c7/7 c4/4 c8/8 b9/0",
+    "c10/0+ c80/0+ c3/3 c4/4 c3/3 b3/3",
+    "c9/0+ c90/5+ c60/0+ c5/5 c6/6 c3/3 c40/0+",
+    # text outside the content of a page that has some: teasers, comments, notices
+    "b3/3 o8/0+ c12/0+ c60/0+ c44/0+ o5/0 o40/0 o35/1 o12/12 b6/2",
+    "o30/0 o4/4 c9/0+ c70/0+ c120/0+ o2/0 o25/0 o60/0 o18/0 o3/3 b7/0",
+    "b2/2 o6/0+ c50/0+ c30/0+ o14/7 o80/0 o9/0",
+    "o5/5 o12/0+ c35/0+ c3/0+ o1/0 o100/0 o70/0 b2/2",
+    "o9/0 o15/6 o3/3 c8/0+ c66/0+ o45/0 o8/0",
+    # pages without containers
+    "n2/2 n2/2 n3/3 n3/0+ n40/0+ n50/0+ n60/0+ n4/4 n30/24 n2/2",
+    "n1/1 n2/2 n5/0+ n50/0+ n25/2+ n90/0+ n70/0+ n80/8+ n12/0+ n2/2 n2/0 n3/3 n2/2",
+    "n8/0+ n40/0+ n35/0+ n16/0+ n3/0+ n30/0+ n45/0+ n6/6 n5/5 n4/4",
+    "n9/0+ n12/0+ n14/0+ n20/6+ n45/0+ n5/4 n4/4 n60/0+ n18/16",
+    "n13/0+",
+    "n35/0+ n4/0+ n11/0+ n13/0+",
+    "n5/5 n6/0+ n60/0+ n12/9 n10/8 n8/8 n3/3 n4/0 n2/2",
+    "n4/0+ n60/0+ n2/0+ n80/8+ n3/1 n4/4 n2/2",
+    # forms
+    "f2/0 f6/0 f1/0 n9/0+ n70/0+ f3/0 f20/0",
+    "b4/4 c7/0+ c55/0+ f5/0 f12/0 f2/0 b8/0",
 )
 
+
+def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+    """The features and labels of the labelled pages' blocks."""
+    x, y = [], []
+    for page in LABELLED:
+        found = [re.fullmatch(r"(\w)(\d+)/(\d+)(\+?)", block).groups() for block in page.split()]
+        x.append(features([(int(w), int(k) / int(w)) for _, w, k, _ in found], [PLACES[c] for c, *_ in found]))
+        y += [float(m == "+") for *_, m in found]
+    return np.concatenate(x), np.asarray(y)
+
+
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template textarea iframe svg math title object audio video canvas xmp head".split()) - {"head"}
 #: Elements that begin and end a block.
@@ -113,48 +81,111 @@ BLOCK = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary "
     "table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that hold text of their own rather than other blocks; their id says nothing.
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody thead tfoot caption figcaption legend summary option address center hr label body".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu button select search head".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside dialog menu button select search head".split())
 CONTENT_TAGS = frozenset("article main".split())
-#: Words in class, id or role that name boilerplate or content.
+#: Words in class, id or role that name boilerplate or content, and words that say nothing beside them.
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs "
-    "pagination pager toolbar topbar masthead footer copyright contentinfo complementary comment comments commentlist respond replies disqus "
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices "
+    "alert popup modal overlay newsletter subscribe subscription signup sidebar aside widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
+    "pagination pager toolbar topbar masthead footer copyright contentinfo complementary comment comments commentlist respond replies reply disqus "
     "share sharing social related recommended recommendations login search skip hidden disclaimer".split()
 )
 CONTENT_WORDS = frozenset("article post entry content main story".split())
-
-_TAG = re.compile(
-    r"""<!--(?:.*?(?:--!?>|\Z))|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
-    re.DOTALL,
+GENERAL_WORDS = frozenset(
+    "a area articles bar block body bottom box button buttons card column container content form foot global group head header holder icons inner item items "
+    "left link links list main message news outer page panel post posts primary region right row secondary section site slot small stories story text the to "
+    "top unit us wrap wrapper article entry google by d of l m s xs sm md lg xl".split()
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.IGNORECASE)
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Attributes of one tag are looked for up to here; beyond it, as long as a page's retries are within a few times its length.
+TAG_CHARS = 4096
+
+
+def names_boilerplate(name: str) -> bool:
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return bool(words & BOILERPLATE_WORDS) and words <= BOILERPLATE_WORDS | GENERAL_WORDS
 
 
 def place_of(name: str, attributes: str, outer: int) -> int:
     """Where the content of an element stands, by its tag and attributes, else as outside of it."""
-    if attributes:
-        if name not in ("html", "body"):
-            words = {w.lower() for value in _NAMES.findall(attributes) for w in _WORDS.findall(entities.unescape(value))}
-            if words & BOILERPLATE_WORDS or _HIDDEN.search(attributes):
+    leaf = name in LEAF or name not in BLOCK
+    content = False
+    if attributes and name not in ("html", "body") and _TELLING.search(attributes):
+        for found in _ATTRIBUTE.finditer(attributes):
+            key, value = found[1].lower(), entities.unescape(found[2] or found[3] or found[4] or "")
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
                 return BOILERPLATE
-            if words & CONTENT_WORDS and name not in BOILERPLATE_TAGS and outer != BOILERPLATE:
-                return CONTENT
-    if name in CONTENT_TAGS:
-        return CONTENT
-    if name in BOILERPLATE_TAGS or (name == "header" and outer != CONTENT):
+            if key in ("class", "role") or key == "id" and not leaf:
+                parts = value.split()
+                if any(names_boilerplate(part) for part in parts):
+                    return BOILERPLATE
+                content |= not leaf and any(w.lower() in CONTENT_WORDS for part in parts for w in _WORDS.findall(part))
+    if name in BOILERPLATE_TAGS or name == "header" and outer != CONTENT:
         return BOILERPLATE
+    if name == "form":
+        return min(outer, FORM)
+    if name == "main" or (name in CONTENT_TAGS or content) and outer != BOILERPLATE:
+        return CONTENT
     return outer
 
 
+class Tags:
+    """The tags of a page in order, each found in time linear in the page altogether."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.retry = page, page.rfind(">"), 8 * len(page)
+
+    def end(self, at: int) -> int:
+        """The place after the next >, or -1."""
+        return self.page.find(">", at) + 1 if at <= self.last else -1
+
+    def attributes_end(self, at: int) -> int:
+        """The place after the > that ends a tag's attributes, quoted values aside, or -1."""
+        size = TAG_CHARS
+        while True:
+            found = _ATTRIBUTES.match(self.page, at, at + size)
+            if found:
+                return found.end()
+            if at + size >= len(self.page) or self.retry < (size := 16 * size):
+                return self.end(at)  # an open quotation: the first > ends the tag
+            self.retry -= size
+
+    def next(self, at: int):
+        """(start, end, closing, name, attributes) of the next tag or comment from a place on, or None."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), False, "", ""
+            if page.startswith(("<!", "<?"), start):
+                end = self.end(start)
+                if end > 0:
+                    return start, end, False, "", ""
+            else:
+                closing = page.startswith("/", start + 1)
+                name = _NAME.match(page, start + 1 + closing, start + 1 + closing + TAG_CHARS)
+                end = self.attributes_end(name.end()) if name and start < self.last else -1
+                if end > 0:
+                    return start, end, closing, name[0].lower(), page[name.end() : end - 1]
+            at = start + 1
+        return None
+
+
 def blocks(page: str) -> tuple[list[str], list[tuple[int, float]], list[int]]:
     """The page's text blocks: texts, (words, link density), places."""
     texts, counts, places = [], [], []
     parts: list[str] = []
     linked: list[str] = []
+    opened: Counter[str] = Counter()
     in_link, place, stack, at = 0, NEUTRAL, [], 0
 
     def flush() -> None:
@@ -173,18 +204,17 @@ def blocks(page: str) -> tuple[list[str], list[tuple[int, float]], list[int]]:
             if in_link:
                 linked.append(page[at:to])
 
-    position = 0
-    while found := _TAG.search(page, position):
-        text(found.start())
-        at = position = found.end()
-        closing, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+    tags, position = Tags(page), 0
+    while found := tags.next(position):
+        start, end, closing, name, attributes = found
+        text(start)
+        at = position = end
         if not name:
             continue
-        name = name.lower()
         if name in RAW and not closing:
             if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{re.escape(name)}[^>]*>", re.IGNORECASE).search(page, position)
-                at = position = end.end() if end else len(page)
+                shut = _shut(name).search(page, position)
+                at = position = tags.end(shut.end()) if shut and tags.end(shut.end()) > 0 else len(page)
             if name in ("iframe", "object", "video", "audio", "canvas"):
                 flush()
             continue
@@ -192,33 +222,51 @@ def blocks(page: str) -> tuple[list[str], list[tuple[int, float]], list[int]]:
             parts.append(" ")
         elif name == "a":
             in_link = 0 if closing else 1
-        elif name in BLOCK or name not in VOID and not closing and attributes and _NAMES.search(attributes) and place_of(name, attributes, place) != place or closing and stack and name == stack[-1][0]:
-            if closing:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+        elif closing:
+            if name in BLOCK or opened[name]:
                 flush()
-                if depth is not None:
-                    place = stack[depth][1]
-                    del stack[depth:]
-                    in_link = 0
-            else:
+            if opened[name]:
+                while True:
+                    inner, place = stack.pop()
+                    opened[inner] -= 1
+                    if inner == name:
+                        break
+                in_link = 0
+        else:
+            inside = place_of(name, attributes, place) if attributes or name in BLOCK else place
+            if name in BLOCK or name not in VOID and inside != place:
                 flush()
                 if name == "p" or name == "li" or name.startswith("h") and name[1:].isdigit():
                     in_link = 0
                     if stack and stack[-1][0] == name:  # an open paragraph, item or heading ends here
                         place = stack.pop()[1]
+                        opened[name] -= 1
                 if name not in VOID:
                     stack.append((name, place))
+                    opened[name] += 1
                     place = place_of(name, attributes, place)
     text(len(page))
     flush()
+    own, all_words = (sum(n for (n, _), p in zip(counts, places, strict=True) if p >= least) for least in (CONTENT, NEUTRAL))
+    if own and CONTENT_SHARE * all_words <= own:
+        places = [OUTSIDE if p == NEUTRAL else p for p in places]
     return texts, counts, places
 
 
+#: Content containers count if they hold this share of the page's words outside boilerplate.
+CONTENT_SHARE = 0.25
+
+
+@lru_cache(maxsize=None)
+def _shut(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE)
+
+
 def features(counts: list[tuple[int, float]], places: list[int]) -> np.ndarray:
-    own = np.asarray(counts, float).reshape(-1, 2)
+    own = np.concatenate([np.asarray(counts, float).reshape(-1, 2), np.asarray(places, float).reshape(-1, 1)], axis=1)
     out = np.zeros((len(own), len(FEATURES)))
-    out[:, :2], out[:, 6] = own, places
-    out[1:, 2:4], out[:-1, 4:6] = own[:-1], own[1:]
+    out[:, :3], out[:, 5], out[:, 8] = own, OUTSIDE, OUTSIDE
+    out[1:, 3:6], out[:-1, 6:9] = own[:-1], own[1:]
     return out
 
 
@@ -244,8 +292,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
 
 @lru_cache(maxsize=1)
 def fitted_tree():
-    rows = np.asarray(LABELLED, float)
-    return grow(rows[:, :-1], rows[:, -1])
+    return grow(*labelled_blocks())
 
 
 def classify(tree, x: np.ndarray) -> np.ndarray:

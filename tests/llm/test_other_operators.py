@@ -150,8 +150,57 @@ def test_html(spark):
 
 
 def test_tree_fits_its_table():
-    rows = np.asarray(html_extract.LABELLED, float)
-    assert ((html_extract.classify(html_extract.fitted_tree(), rows[:, :-1]) >= 0.5) == (rows[:, -1] == 1)).mean() > 0.98
+    x, y = html_extract.labelled_blocks()
+    assert ((html_extract.classify(html_extract.fitted_tree(), x) >= 0.5) == (y == 1)).mean() > 0.98
+    used = set()
+
+    def walk(tree):
+        if isinstance(tree, tuple):
+            used.add(html_extract.FEATURES[tree[0]])
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(html_extract.fitted_tree())
+    assert any(f.endswith(("_before", "_after")) for f in used)
+
+
+def test_names_do_not_remove_text_of_the_article():
+    long = "some words of an article that go on for a while and say something more in the end"
+    page = f"<body><article><h1>T</h1><p>{long}</p><h2 id='related-work'>Related work</h2><p class='notice-board'>{long} one</p><h2 id=social-media>Social</h2><p title='set id=menu class=ad here' data-src='/x?id=ads'>{long} two</p><p title='the hidden truth'>{long} three</p></article></body>"
+    assert html_extract.main_text(page) == f"T {long} Related work {long} one Social {long} two {long} three"
+
+
+HELD_OUT = (
+    ("<html><body><div id='site-header'><a href=/>Home</a> <a href=/n>News</a></div><div class='content'><h1>Rain returns</h1><p>{a}</p><ul><li>first point</li><li>second point</li></ul><p>{b}</p></div><div class='sidebar-right'><h3>Popular</h3><p>{c}</p></div><div id='comments'><h3>Comments</h3><p>{c}</p></div><footer>All rights</footer></body></html>", "Rain returns {a} first point second point {b}"),
+    ("<body><header><nav><a href=1>One</a><a href=2>Two</a></nav></header><main><h1>Bread</h1><p>{a}</p><blockquote>{c}</blockquote><p>{b}</p><aside>{c}</aside></main><section><h2>Readers say</h2><p>{c}</p><p>{b}</p></section></body>", "Bread {a} {c} {b}"),
+    ("<table><tr><td><a href=1>Index</a></td><td><a href=2>Contact us</a></td></tr></table><h1>Old page</h1><p>{a}<p>{b}<p>{c}<hr><a href=x>Top</a> <a href=y>Next</a>", "Old page {a} {b} {c}"),
+    ("<body><form id=aspnet><div class=menu><a href=1>x</a></div><article><h1>In a form</h1><p>{a}</p><p>{b}</p></article><input><button>Send</button></form></body>", "In a form {a} {b}"),
+    ("<body><div class='cookie-consent-banner'><p>{c}</p><button>Accept</button></div><div role=main><h2>Step one</h2><p>{a}</p><pre>x = 1</pre><p>{b}</p><div class='newsletter-signup'>{c}</div></div><div class='ad-slot'>{c}</div></body>", "Step one {a} x = 1 {b}"),
+    ("<body><article><h1>Talk</h1><p>{a}</p><p>{b}</p><section class='comments'><article class='comment-body'><p>{c}</p></article></section></article></body>", "Talk {a} {b}"),
+)
+
+
+def test_held_out_pages():
+    from collections import Counter
+
+    a, b, c = (" ".join(f"{w}{k}" for k in range(n)) for w, n in (("alpha", 40), ("beta", 25), ("gamma", 18)))
+    scores = []
+    for page, text in HELD_OUT:
+        got, want = (Counter(x.split()) for x in (html_extract.main_text(page.format(a=a, b=b, c=c)), text.format(a=a, b=b, c=c)))
+        common = sum((got & want).values())
+        scores.append(2 * common / (sum(got.values()) + sum(want.values())))
+    assert sum(scores) / len(scores) > 0.97, scores
+
+
+@pytest.mark.parametrize("piece", ['<a x="', "<a x=", "<!x ", "</script", "<div>", "<p>a</b>", "<script></script", "<!-- ", "<div class='ad", "</p>"])
+def test_broken_markup_takes_linear_time(piece):
+    import time
+
+    n = 1_000_000 // len(piece)
+    for tail in ("", ">"):
+        at = time.perf_counter()
+        html_extract.main_text("<div>" * 1000 + piece * n + tail)
+        assert time.perf_counter() - at < 10
 
 
 def test_url_filter(spark, scratch):
