@@ -28,15 +28,26 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset an own one, but only in local runs:
+    the executors of a cluster would each write to a disk of their own."""
+    if path := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
 
 
 class Scratch:
-    """Intermediate tables of one run, written to the shared folder so that lineage ends there."""
+    """Intermediate tables of one run, written to the shared folder so that lineage ends there. They are deleted when
+    the application ends, unless keep is set."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if not keep:
+            where = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+            files.mkdirs(where)
+            files.deleteOnExit(where)
 
     def path(self, label: str) -> str:
         return f"{self.root}/{label}"

@@ -10,12 +10,17 @@ blocks; two within the radius agree in one block at least, so joining on (length
 pair within the radius, and each pair is kept at its first common block only. Candidates are verified by the
 weighted Jaccard similarity of the two shingle multisets.
 
+A window is joined to the items whose shingles led to it only: at a similarity of 0.8, fingerprints differ in ten of
+64 bits on the average, so a radius that loses none (20) leaves blocks of three bits, which alone select little. The
+shingles' index is what keeps candidates few; the blocks and the radius then hold for every pair.
+
 The benchmark is handled in blocks of at most ``block_rows`` shingles; each is broadcast to one pass over
 the documents, so documents are neither shuffled nor collected; only verified matches are.
 
 Defined results: null or empty texts and items match nothing; a repeated document row or item row gives its
 match once; several windows give the most similar, then the first; an empty table gives an empty result;
-other columns are ignored.
+rows and items without an id are left out (give rows a key of their own to have them judged, as the pipeline
+does); other columns are ignored.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signal_engine.llm.common import Scratch, as_arrow_string, slices, sole_cache
@@ -240,10 +240,10 @@ class _Join:
         if not 50 < percent <= 100:
             raise ValueError("percent must be above 50: partners are of less than twice the size")
         self.spark, self.scratch, self.percent = docs.sparkSession, scratch, percent
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"), row_key(id_col, text_col).alias("row"))
 
     def whole(self) -> DataFrame:
-        """(doc, n, sid, low, sketch) of every document; low: the counted tokens."""
+        """(doc, row, n, sid, low, sketch) of every document; low: the counted tokens."""
         percent = self.percent
 
         def run(batches):
@@ -256,9 +256,9 @@ class _Join:
                     own = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                     low = _lists([s[: counted(len(s), percent)] for s in own])
                     ids = pa.array([set_id(s) for s in own], pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sizes), ids, low, _lists(sketches(flat, sizes))], ["doc", "n", "sid", "low", "sketch"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(sizes), ids, low, _lists(sketches(flat, sizes))], ["doc", "row", "n", "sid", "low", "sketch"])
 
-        return self.docs.mapInArrow(run, "doc long, n long, sid long, low array<long>, sketch array<long>")
+        return self.docs.mapInArrow(run, "doc long, row long, n long, sid long, low array<long>, sketch array<long>")
 
     def read_sets(self, chosen: DataFrame) -> DataFrame:
         """(doc, sid, tokens) of the documents in chosen (rep) and of a few others; a bitmap of bounded size spares
@@ -279,7 +279,7 @@ class _Join:
                     own = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([rows.column(0)[i:j], pa.array([set_id(s) for s in own], pa.int64()), _lists(own)], ["doc", "sid", "tokens"])
 
-        return self.docs.mapInArrow(run, "doc long, sid long, tokens array<long>")
+        return self.docs.select("doc", "t").mapInArrow(run, "doc long, sid long, tokens array<long>")
 
     def sets_of(self, chosen: DataFrame, label: str) -> DataFrame:
         """(sid, tokens) of the nodes in chosen (sid, rep), written; a repeated row may repeat its set."""
@@ -355,8 +355,10 @@ class _Join:
     def run(self) -> DataFrame:
         s, percent = self.scratch, self.percent
         whole = s.write(self.whole(), "whole")
-        members = s.write(whole.select("doc", "n", "sid"), "members")
-        self.nodes = nodes = s.write(whole.where("n > 0").groupBy("sid", "n").agg(F.min("doc").alias("rep"), F.first("low").alias("low"), F.first("sketch").alias("sketch")).where("rep IS NOT NULL"), "nodes")
+        members = s.write(whole.select("doc", "row", "n", "sid"), "members")
+        first = F.min(F.struct("doc", "row")).alias("first")
+        nodes = whole.where("n > 0 AND doc IS NOT NULL").groupBy("sid", "n").agg(first, F.first("low").alias("low"), F.first("sketch").alias("sketch"))
+        self.nodes = nodes = s.write(nodes.select("sid", "n", F.col("first.doc").alias("rep"), F.col("first.row").alias("row"), "low", "sketch"), "nodes")
         s.drop("whole")
 
         low = nodes.select(F.explode("low").alias("x"))
@@ -398,10 +400,13 @@ class _Join:
                 break
             comp = self.merged(comp, self.verify(pairs, f"links-{turn}"), f"cc-{turn}")
 
-        named = nodes.select("sid", "rep").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        label = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        of_set = named.join(label, "comp").select("sid", "component_id")
-        return members.join(of_set, "sid", "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("doc")).alias("component_id"))
+        named = nodes.select("sid", "rep", "row").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        label = named.groupBy("comp").agg(F.min(F.struct("rep", "row")).alias("first"))
+        of_set = named.join(label, "comp").select("sid", F.col("first.rep").alias("id"), F.col("first.row").alias("first_row"))
+        some = F.col("n") > 0
+        return members.join(of_set, "sid", "left").select(
+            "doc", "row", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("id", "doc")).otherwise(F.col("doc")).alias("component_id"), F.when(some, F.coalesce("first_row", "row")).otherwise(F.col("row")).alias("first_row")
+        )
 
     def prune(self, pairs: DataFrame) -> DataFrame:
         """(a, b, differ, a_rep, b_rep): the pairs (a, b) whose sketches let them link."""
@@ -485,6 +490,17 @@ class _Join:
         return links
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart that repeat an id with another text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def group_rows(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(id, row, n_shingles, component_id, first_row) for every document: row is its row_key, first_row that of the
+    row of the smallest id (of these, the smallest key) in its component, its own where it links with nothing."""
+    return _Join(docs, scratch, id_col, text_col, percent).run().withColumnRenamed("doc", id_col)
+
+
 def join_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) for every document."""
-    return _Join(docs, scratch, id_col, text_col, percent).run().withColumnRenamed("doc", id_col)
+    return group_rows(docs, scratch, id_col, text_col, percent).drop("row", "first_row")

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -235,18 +236,25 @@ def test_pipeline_stages(spark, tmp_path):
     item = text(40)
     rows = [(i, text(60), "en") for i in range(20)]
     rows += [(20, rows[3][1], "en"), (21, rows[3][1] + " extra", "en"), (22, text(20) + " " + item + " " + text(20), "en"), (23, "123", "en"), (24, None, "en")]
+    # rows without an id, or with one that another text has, go by their own text; equal rows leave one
+    lone, other = text(50), text(50)
+    rows += [(None, lone, "en"), (None, rows[3][1], "en"), (None, item, "en"), (4, other, "en"), (4, rows[3][1], "en"), (4, other, "en")]
     spark.createDataFrame([(i, t, la, "src", len(t or "")) for i, t, la in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    expected = [set(range(23)), set(range(20)) | {22}, set(range(20))]
+    first = [(i, t) for i, t, _ in rows if t and t != "123"]
+    second = [r for r in first[:20] + [first[22]] + [(None, lone), (None, item), (4, other)]]
+    expected = [first, second, [r for r in second if item not in r[1]]]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs.write.parquet(str(tmp_path / f"s{k}"))
         docs = spark.read.parquet(str(tmp_path / f"s{k}"))
-        assert {r["doc_id"] for r in docs.collect()} == expected[k]
+        assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == Counter(expected[k])
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    tokens = {}
+    tokens, want = Counter(), Counter()
     for r in packed:
-        tokens[r["doc_id"]] = tokens.get(r["doc_id"], 0) + r["length"]
-    assert tokens == {i: len(encoded(t, 1)) for i, t, _ in rows if i in expected[2]}
+        tokens[r["doc_id"]] += r["length"]
+    for i, t in expected[2]:
+        want[i] += len(encoded(t, 1))
+    assert tokens == want

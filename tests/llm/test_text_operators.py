@@ -64,6 +64,66 @@ def test_ngram_join_equals_brute_force(spark, scratch, monkeypatch, frequent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows)
 
 
+def edited_copies(n=1500, length=60, seed=8):
+    """A text's copies with none to many changed words, so that many pairs are near the threshold."""
+    rng = random.Random(seed)
+    base = words(rng, length)
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 2)] = [f"e{rng.randrange(400)}" for _ in range(rng.randint(0, 2))]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_ngram_join_of_many_edited_copies(spark, scratch, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "TILE", 200)
+    rows = edited_copies()
+    got = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), scratch("t6"))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    place = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(place)), np.float32)
+    for i, own in enumerate(sets):
+        m[i, [place[g] for g in own]] = 1
+    inter, size = m @ m.T, m.sum(1)
+    linked = 100 * inter >= 80 * (size[:, None] + size[None] - inter)
+    label = np.arange(len(sets))
+    while True:
+        low = np.where(linked, label[None], len(sets)).min(1)
+        if (low == label).all():
+            break
+        label = low
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(label.tolist()))
+    assert 10 < len(set(label.tolist())) < len(sets)
+
+
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 60), dtype=np.uint64)]))
+        x, y = ngram_join.sketches(np.concatenate([a, b]), np.asarray([len(a), len(b)]))
+        while len(x) != len(y):
+            x, y = sorted((x, y), key=len)
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, scratch):
+    rng = random.Random(2)
+    one, two = (" ".join(words(rng, 40)) for _ in range(2))
+    rows = [(5, one), (5, two), (7, two), (None, one), (None, " ".join(words(rng, 30))), (3, one), (9, None), (9, "")]
+    got = ngram_join.group_rows(spark.createDataFrame(rows, "doc_id long, text string"), scratch("t6")).collect()
+    stays = {(r["doc_id"], r["n_shingles"]) for r in got if r["doc_id"] == r["component_id"] and r["row"] == r["first_row"]}
+    assert stays == {(3, 36), (5, 36), (9, 0), (None, 26)} and len(got) == len(rows)
+
+
 def test_ngram_join_empty(spark, scratch):
     assert ngram_join.join_documents(spark.createDataFrame([], DOCS), scratch("t6")).count() == 0
 
