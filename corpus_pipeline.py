@@ -2,12 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller writes and reads again as the
 next stage's docs. All but the last return the columns of documents. A removal is a small or large list of
-ids: up to ``BROADCAST_IDS`` of them are broadcast, so that documents stay where they are; beyond that the
-documents are shuffled by id.
+row keys (id and text): up to ``BROADCAST_IDS`` of them are broadcast, so that documents stay where they are; beyond
+that the documents are shuffled by key.
 
-Defined results: rows with a null or letterless text are rejected by the first stage; rows of one id count
-as one document from the second stage on; an empty table gives an empty result; other columns are kept up
-to the last stage.
+Defined results: rows with a null or letterless text are rejected by the first stage; rows are judged one by one, so
+rows of one id or without one stay or go by their own text; of rows with equal id and text one passes the second
+stage; an empty table gives an empty result; other columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -22,11 +22,14 @@ from signal_engine.llm.common import Scratch
 BROADCAST_IDS = 1_000_000
 
 
+KEY = "_corpus_pipeline_row_key"
+
+
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """docs without the ids in removed (doc_id), a written table."""
+    """docs (with KEY) without the keys in removed, a written table."""
     if removed.count() <= BROADCAST_IDS:
         removed = F.broadcast(removed)
-    return docs.join(removed, "doc_id", "left_anti")
+    return docs.join(removed, KEY, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,21 +41,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of every group of documents linked by a shingle similarity of 0.8 or more."""
     scratch = Scratch(spark, "near-duplicates")
-    groups = ngram_join.join_documents(docs, scratch)
-    copies = scratch.write(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = without(docs, copies)
-    repeated = scratch.write(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    rows = scratch.write(ngram_join.group_rows(docs, scratch), "rows")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row") == F.col("first_row"))
+    copies = scratch.write(rows.where(~stays).select(F.col("row").alias(KEY)).distinct(), "copies")
+    kept = without(docs.withColumn(KEY, ngram_join.row_key()), copies)
+    repeated = scratch.write(rows.where(stays).groupBy(F.col("row").alias(KEY)).count().where("count > 1").select(KEY), "repeated")
     if repeated.head(1):
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        once = kept.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
         kept = without(kept, repeated).unionByName(once)
-    return kept
+    return kept.drop(KEY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     scratch = Scratch(spark, "decontamination")
-    found = decontaminate.find_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch)
-    return without(docs, scratch.write(found.select("doc_id").distinct(), "leaks"))
+    keyed = docs.withColumn(KEY, ngram_join.row_key())
+    found = decontaminate.find_matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch, id_col=KEY)
+    return without(keyed, scratch.write(found.select(KEY).distinct(), "leaks")).drop(KEY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
