@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text handled at once inside a Python worker, in bytes; longer single texts go alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 
 @lru_cache(maxsize=1)
@@ -72,6 +73,23 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def tidy(run):
+    """run, a function of Arrow batches, returning what it freed to the system at the end of a task: reused Python
+    workers would else keep the most that any of their tasks needed, while another operator runs."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+
+    return tidied
+
+
 def as_arrow_string(column: pa.Array) -> pa.Array:
     """A string column without nulls (null becomes empty)."""
     return pc.fill_null(column, "").cast(pa.large_string())
@@ -211,6 +229,7 @@ def sole_cache(key: str, make):
     if key not in _WORKER_CACHES:
         _WORKER_CACHES.clear()
         gc.collect()
+        _trim()(0)
         _WORKER_CACHES[key] = make()
     return _WORKER_CACHES[key]
 

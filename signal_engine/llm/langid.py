@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import as_arrow_string, slices, sole_cache
+from signal_engine.llm.common import as_arrow_string, slices, sole_cache, tidy
 
 MAX_WORD = 32
 MAX_PIECE = 8
@@ -229,7 +229,7 @@ def fit(labelled: DataFrame, vocabulary_file: str, label_col: str = "lang", text
                     words, counts = word_counts(own[i:j])
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(words), pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(counts)})
 
-    counted = rows.select("lang", "t").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = rows.select("lang", "t").mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= train_words)
     found: dict[str, tuple[list[str], list[int]]] = {}
@@ -278,7 +278,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(names[best], pa.string()), pa.array(top)], ["k", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(score, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", id_col)
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(score), f"k {kind}, lang_pred string, score double").withColumnRenamed("k", id_col)
 
 
 def keep_languages(docs: DataFrame, model: Model, languages: set[str] | None = None, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -297,7 +297,7 @@ def keep_languages(docs: DataFrame, model: Model, languages: set[str] | None = N
                 best, top = _decide(scorer, texts[i:j])
                 yield batch.slice(i, j - i).filter(pa.array(wanted[best] & (top >= min_score)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

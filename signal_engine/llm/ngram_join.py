@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import Scratch, as_arrow_string, slices, sole_cache
+from signal_engine.llm.common import as_arrow_string, Scratch, slices, sole_cache, tidy
 
 SHINGLE = 5
 FREQUENT = 24
@@ -258,7 +258,7 @@ class _Join:
                     ids = pa.array([set_id(s) for s in own], pa.int64())
                     yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(sizes), ids, low, _lists(sketches(flat, sizes))], ["doc", "row", "n", "sid", "low", "sketch"])
 
-        return self.docs.mapInArrow(run, "doc long, row long, n long, sid long, low array<long>, sketch array<long>")
+        return self.docs.mapInArrow(tidy(run), "doc long, row long, n long, sid long, low array<long>, sketch array<long>")
 
     def read_sets(self, chosen: DataFrame) -> DataFrame:
         """(doc, sid, tokens) of the documents in chosen (rep) and of a few others; a bitmap of bounded size spares
@@ -279,7 +279,7 @@ class _Join:
                     own = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([rows.column(0)[i:j], pa.array([set_id(s) for s in own], pa.int64()), _lists(own)], ["doc", "sid", "tokens"])
 
-        return self.docs.select("doc", "t").mapInArrow(run, "doc long, sid long, tokens array<long>")
+        return self.docs.select("doc", "t").mapInArrow(tidy(run), "doc long, sid long, tokens array<long>")
 
     def sets_of(self, chosen: DataFrame, label: str) -> DataFrame:
         """(sid, tokens) of the nodes in chosen (sid, rep), written; a repeated row may repeat its set."""
@@ -304,7 +304,7 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), k), pa.int32()), pa.array(word), pa.array(mask.view(np.int64))], ["k", "word", "mask"])
 
         out = [np.zeros(1 << (bits - 6), np.uint64) for bits in sizes]
-        words = values.select("x", "level").mapInArrow(run, "k int, word long, mask long").groupBy("k", "word").agg(F.bit_or("mask").alias("mask"))
+        words = values.select("x", "level").mapInArrow(tidy(run), "k int, word long, mask long").groupBy("k", "word").agg(F.bit_or("mask").alias("mask"))
         for part in words.toArrow().to_batches():  # at most 2^23 rows
             k, word, mask = (np.asarray(c) for c in part.columns)
             for level, bitmap in enumerate(out):
@@ -334,7 +334,7 @@ class _Join:
                     out.append(rare[:need] if len(rare) >= need else np.zeros(0, np.uint64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(out)], ["sid", "n", "rep", "rare"])
 
-        return nodes.select("sid", "n", "rep", "low").mapInArrow(run, "sid long, n long, rep long, rare array<long>")
+        return nodes.select("sid", "n", "rep", "low").mapInArrow(tidy(run), "sid long, n long, rep long, rare array<long>")
 
     def dense_signatures(self, sets: DataFrame, maps) -> DataFrame:
         """(sid, n, rare, pairs) from whole sets (sid, tokens)."""
@@ -350,7 +350,7 @@ class _Join:
                     sizes.append(len(own))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _lists(rare), _lists(pairs)], ["sid", "n", "rare", "pairs"])
 
-        return sets.select("sid", "tokens").mapInArrow(run, "sid long, n long, rare array<long>, pairs array<long>")
+        return sets.select("sid", "tokens").mapInArrow(tidy(run), "sid long, n long, rare array<long>, pairs array<long>")
 
     def run(self) -> DataFrame:
         s, percent = self.scratch, self.percent
@@ -474,7 +474,7 @@ class _Join:
                 b.append(sid[i + y])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
-        pairs = dealt.select("sig", "t", "u", "sid", "n", "comp", "tile", "sketch").mapInArrow(run, "a long, b long").distinct()
+        pairs = dealt.select("sig", "t", "u", "sid", "n", "comp", "tile", "sketch").mapInArrow(tidy(run), "a long, b long").distinct()
         rep = lambda p: self.nodes.select(F.col("sid").alias(p), F.col("rep").alias(f"{p}_rep"))
         return pairs.join(rep("a"), "a").join(rep("b"), "b")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import Scratch, as_arrow_string, slices, word_tokenizer
+from signal_engine.llm.common import as_arrow_string, Scratch, slices, tidy, word_tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, seq long, offset long"
 
@@ -120,7 +120,7 @@ def pack_documents(docs: DataFrame, scratch: Scratch, tokenizer_file: str, end_i
             yield batch_of()
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    placed = scratch.write(rows.mapInArrow(pieces, PIECES), "pieces")
+    placed = scratch.write(rows.mapInArrow(tidy(pieces), PIECES), "pieces")
     # one row for each worker
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_worker = placed.groupBy("part").agg((F.max("seq") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import Scratch, as_arrow_string, slices, word_tokenizer
+from signal_engine.llm.common import as_arrow_string, Scratch, slices, tidy, word_tokenizer
 
 MAGIC = b"SETOKID1"
 TRAILER = struct.Struct("<qqqqqq8s")  # documents, ids, blocks, bits, block length, index offset, magic
@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer_file: str, end_id:
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     ordered = rows.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    manifest = scratch.write(ordered.mapInArrow(shard, MANIFEST), "manifest")
+    manifest = scratch.write(ordered.mapInArrow(tidy(shard), MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -207,4 +207,4 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     i = j
 
     n = max(1, manifest.count())
-    return manifest.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n, "shard").mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
