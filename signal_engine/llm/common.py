@@ -19,6 +19,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text handled at once inside a Python worker, in bytes; longer single texts go alone.
 SLICE_BYTES = 3 << 20
+#: Words whose ids a worker keeps; no result depends on it.
+CACHE_WORDS = 400_000
 
 
 @lru_cache(maxsize=1)
@@ -126,7 +128,7 @@ class WordCachedTokenizer:
 
     PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, file: str, cache_words: int = 400_000):
+    def __init__(self, file: str, cache_words: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -234,6 +236,6 @@ def sole_cache(key: str, make):
     return _WORKER_CACHES[key]
 
 
-def word_tokenizer(file: str) -> WordCachedTokenizer:
+def word_tokenizer(file: str, cache_words: int = CACHE_WORDS) -> WordCachedTokenizer:
     """One tokenizer and cache per Python worker."""
-    return sole_cache(f"tokenizer {file}", lambda: WordCachedTokenizer(file))
+    return sole_cache(f"tokenizer {cache_words} {file}", lambda: WordCachedTokenizer(file, cache_words))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import as_arrow_string, slices, sole_cache, tidy
+from signal_engine.llm.common import as_arrow_string, SLICE_BYTES, slices, sole_cache, tidy
 
 MAX_WORD = 32
 MAX_PIECE = 8
@@ -248,9 +248,9 @@ def _model_key(model: Model) -> str:
     return f"{model.languages}-{float(model.p.sum()):.12f}-{float((model.p**2).sum()):.15e}"
 
 
-def _scorer(key: str, shared) -> Scorer:
+def _scorer(key: str, shared, cache_words: int = 250_000) -> Scorer:
     """The worker's scorer of a broadcast model; its word cache outlives the task."""
-    return sole_cache(f"scorer {key}", lambda: Scorer(shared.value))
+    return sole_cache(f"scorer {cache_words} {key}", lambda: Scorer(shared.value, cache_words))
 
 
 def _decide(scorer: Scorer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -281,19 +281,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(score), f"k {kind}, lang_pred string, score double").withColumnRenamed("k", id_col)
 
 
-def keep_languages(docs: DataFrame, model: Model, languages: set[str] | None = None, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_languages(docs: DataFrame, model: Model, languages: set[str] | None = None, min_score: float = 0.5, text_col: str = "text", cache_words: int = 250_000, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows, as they are, whose text has a language: not undetermined, of the wanted ``languages`` (null: any)
     and with at least ``min_score``. Rows pass through whole, so nothing is joined back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = _model_key(model)
 
     def run(batches):
-        scorer = _scorer(key, shared)
+        scorer = _scorer(key, shared, cache_words)
         names = [*scorer.model.languages, UNDETERMINED]
         wanted = np.asarray([n != UNDETERMINED and (languages is None or n in languages) for n in names])
         for batch in batches:
             texts = as_arrow_string(batch.column(text_col))
-            for i, j in slices(texts):
+            for i, j in slices(texts, slice_bytes):
                 best, top = _decide(scorer, texts[i:j])
                 yield batch.slice(i, j - i).filter(pa.array(wanted[best] & (top >= min_score)))
 

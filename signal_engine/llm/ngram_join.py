@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import as_arrow_string, Scratch, slices, sole_cache, tidy
+from signal_engine.llm.common import as_arrow_string, Scratch, SLICE_BYTES, slices, sole_cache, tidy
 
 SHINGLE = 5
 FREQUENT = 24
@@ -236,21 +236,21 @@ def near_pairs(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarra
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int):
+    def __init__(self, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int, slice_bytes: int):
         if not 50 < percent <= 100:
             raise ValueError("percent must be above 50: partners are of less than twice the size")
-        self.spark, self.scratch, self.percent = docs.sparkSession, scratch, percent
+        self.spark, self.scratch, self.percent, self.slice_bytes = docs.sparkSession, scratch, percent, slice_bytes
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"), row_key(id_col, text_col).alias("row"))
 
     def whole(self) -> DataFrame:
         """(doc, row, n, sid, low, sketch) of every document; low: the counted tokens."""
-        percent = self.percent
+        percent, limit = self.percent, self.slice_bytes
 
         def run(batches):
             sole_cache("none", lambda: None)
             for batch in batches:
                 texts = as_arrow_string(batch.column(1))
-                for i, j in slices(texts):
+                for i, j in slices(texts, limit):
                     flat, sizes = shingle_sets(texts[i:j])
                     ends = np.cumsum(sizes)
                     own = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -265,7 +265,7 @@ class _Join:
         most other documents the work."""
         reps = chosen.select(F.col("rep").alias("x"), F.lit(0).alias("level")).distinct()
         [(bits, bitmap)] = self.bitmaps(reps, [reps.count()], hashed=False)
-        shared = self.spark.sparkContext.broadcast(bitmap)
+        shared, limit = self.spark.sparkContext.broadcast(bitmap), self.slice_bytes
 
         def run(batches):
             for batch in batches:
@@ -273,7 +273,7 @@ class _Join:
                 keep = pa.array(_is_set(shared.value, bits, mix(ids)) & np.asarray(batch.column(0).is_valid()))
                 rows = batch.filter(keep)
                 texts = as_arrow_string(rows.column(1))
-                for i, j in slices(texts):
+                for i, j in slices(texts, limit):
                     flat, sizes = shingle_sets(texts[i:j])
                     ends = np.cumsum(sizes)
                     own = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -495,10 +495,10 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def group_rows(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def group_rows(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(id, row, n_shingles, component_id, first_row) for every document: row is its row_key, first_row that of the
     row of the smallest id (of these, the smallest key) in its component, its own where it links with nothing."""
-    return _Join(docs, scratch, id_col, text_col, percent).run().withColumnRenamed("doc", id_col)
+    return _Join(docs, scratch, id_col, text_col, percent, slice_bytes).run().withColumnRenamed("doc", id_col)
 
 
 def join_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

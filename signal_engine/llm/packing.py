@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import as_arrow_string, Scratch, slices, tidy, word_tokenizer
+from signal_engine.llm.common import as_arrow_string, CACHE_WORDS, Scratch, SLICE_BYTES, slices, tidy, word_tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, seq long, offset long"
 
@@ -87,15 +87,16 @@ class Bins:
         self.open, self.last, self.room = {}, [], 0
 
 
-def pack_documents(docs: DataFrame, scratch: Scratch, tokenizer_file: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, scratch: Scratch, tokenizer_file: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Smaller caches and slices
+    take less memory and more time."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
     def pieces(batches):
         from pyspark import TaskContext
 
-        tok, part = word_tokenizer(tokenizer_file), TaskContext.get().partitionId()
+        tok, part = word_tokenizer(tokenizer_file, cache_words), TaskContext.get().partitionId()
         rows: list[tuple] = []
         bins = Bins(capacity, lambda p, seq, at: rows.append((p[0], p[1], len(p[2]), zlib.crc32(p[2]), p[3], part, seq, at)))
 
@@ -107,7 +108,7 @@ def pack_documents(docs: DataFrame, scratch: Scratch, tokenizer_file: str, end_i
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), as_arrow_string(batch.column(1))
-            for i, j in slices(texts):
+            for i, j in slices(texts, slice_bytes):
                 ids, counts = tok.encode(texts[i:j])
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 ends = np.cumsum(counts + 1).tolist()
