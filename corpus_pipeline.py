@@ -20,6 +20,8 @@ from signal_engine.llm import decontaminate, langid, ngram_join, packing
 from signal_engine.llm.common import Scratch
 
 BROADCAST_IDS = 1_000_000
+#: Python workers pass from stage to stage, so each stage's caches and slices are small; no result depends on them.
+CACHE_WORDS, SLICE_BYTES = 100_000, 1 << 20
 
 
 KEY = "_corpus_pipeline_row_key"
@@ -35,13 +37,13 @@ def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language learned from the labelled ones."""
     model = langid.fit(docs.where(~langid.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
-    return langid.keep_languages(docs, model)
+    return langid.keep_languages(docs, model, cache_words=CACHE_WORDS, slice_bytes=SLICE_BYTES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of every group of documents linked by a shingle similarity of 0.8 or more."""
     scratch = Scratch(spark, "near-duplicates")
-    rows = scratch.write(ngram_join.group_rows(docs, scratch), "rows")
+    rows = scratch.write(ngram_join.group_rows(docs, scratch, slice_bytes=SLICE_BYTES), "rows")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row") == F.col("first_row"))
     copies = scratch.write(rows.where(~stays).select(F.col("row").alias(KEY)).distinct(), "copies")
     kept = without(docs.withColumn(KEY, ngram_join.row_key()), copies)
@@ -62,7 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
-    return packing.pack_documents(docs, Scratch(spark, "pack"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048)
+    return packing.pack_documents(docs, Scratch(spark, "pack"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, cache_words=CACHE_WORDS, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
