@@ -14,6 +14,8 @@ def _cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir")
         if where is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             import atexit
             import shutil
             import tempfile

@@ -54,18 +54,19 @@ def normalize_engagement(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 #: Weights and penalties of the rerank policies.
+ENTITY_MISS, ENTITY_MISS_OF_RESEARCH = 0.25, 0.2  # the second comes on top of the first
 POLICIES = {
     "research": {
         "weights": {"model": 0.6, "rrf": 0.2, "relevance": 0.0, "freshness": 0.1, "source_quality": 0.05, "engagement": 0.05, "verification": 0.0, "corroboration": 0.0},
-        "entity_miss": 0.25 + 0.2, "low_below": 0.2, "low_factor": 0.3,
+        "entity_miss": ENTITY_MISS + ENTITY_MISS_OF_RESEARCH, "low_below": 0.2, "low_factor": 0.3,
     },
     "entity": {
         "weights": {"model": 0.55, "rrf": 0.25, "relevance": 0.1, "freshness": 0.05, "source_quality": 0.0, "engagement": 0.0, "verification": 0.0, "corroboration": 0.05},
-        "entity_miss": 0.25,
+        "entity_miss": ENTITY_MISS,
     },
     "verified_entity": {
         "weights": {"model": 0.35, "rrf": 0.15, "relevance": 0.1, "freshness": 0.05, "source_quality": 0.0, "engagement": 0.0, "verification": 0.2, "corroboration": 0.15},
-        "entity_miss": 0.25, "verification_floor": 0.5,
+        "entity_miss": ENTITY_MISS, "verification_floor": 0.5,
     },
 }
 

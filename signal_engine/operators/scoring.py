@@ -27,6 +27,7 @@ def exclusion_reason(df: DataFrame, domain: str, lists: DataFrame) -> DataFrame:
     return df.join(best, domain, "left")
 
 
+# Fixed values.
 PATH_WEIGHTS = {"direct_intro": 60, "work_overlap": 30, "school_city_community": 15, "role_industry": 7, "investor": 3, "relationship": 3}
 
 
@@ -75,6 +76,7 @@ def icp_band(score: Column, high: int = 60, middle: int = 35) -> Column:
     return F.when(score >= high, "high").when(score >= middle, "medium").otherwise("low")
 
 
+# Fixed values.
 VERIFY_FLAGS = (
     "invalid_email_format", "invalid_linkedin_url", "title_equals_company", "profile_stale", "profile_freshness_missing", "email_verification_stale",
     "email_verification_missing", "identity_unconfirmed", "email_invalid", "email_validation_unknown", "missing_email",

@@ -20,11 +20,11 @@ def events(s, d):
 
 
 # joins
-_SPANS = "sp AS (SELECT o_custkey AS id, c_nationkey AS k, min(o_orderdate)::DATE AS st, max(o_orderdate)::DATE AS en FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 7 = 0 GROUP BY 1, 2)"
+_SPANS = "sp AS (SELECT o_custkey AS id, c_nationkey AS k, min(o_orderdate)::DATE AS st, max(o_orderdate)::DATE AS en FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
 
 
 def _spans(s, d):
-    o = table(s, d, "orders").where("o_custkey % 7 = 0").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return o.groupBy(F.col("o_custkey").alias("id"), F.col("c_nationkey").alias("k")).agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("end")).withColumn("is_current", F.lit(False))
 
 
@@ -49,15 +49,15 @@ register("fk_violations", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_pa
 )
 register(
     "array_remap",
-    "SELECT o_custkey, list_sort(list_distinct(list(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey // 2 ELSE o_orderkey END))) AS ids FROM orders WHERE o_custkey < 200 GROUP BY 1",
+    "SELECT o_custkey, list_sort(list_distinct(list(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey // 2 ELSE o_orderkey END))) AS ids FROM orders GROUP BY 1",
 )(
     lambda s, d: (lambda o: joins.remap_array(o.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("ids")), "o_custkey", "ids", table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("alias"), F.floor(F.col("o_orderkey") / 2).cast("long").alias("canonical"))))(
-        table(s, d, "orders").where("o_custkey < 200")
+        table(s, d, "orders")
     )
 )
 register(
     "evidence_errors",
-    "WITH e AS (SELECT o_orderkey AS edge_id, o_custkey AS ow, o_custkey % 11 AS tg, o_orderkey AS ev FROM orders WHERE o_orderkey < 800) SELECT edge_id, CASE WHEN ev % 5 = 0 THEN ['unknown_evidence'] WHEN ev % 7 = 0 THEN ['no_interaction'] WHEN ev % 3 = 0 AND ow <> tg THEN ['participants_missing'] ELSE [] END AS errors FROM e",
+    "WITH e AS (SELECT o_orderkey AS edge_id, o_custkey AS ow, o_custkey % 11 AS tg, o_orderkey AS ev FROM orders) SELECT edge_id, CASE WHEN ev % 5 = 0 THEN ['unknown_evidence'] WHEN ev % 7 = 0 THEN ['no_interaction'] WHEN ev % 3 = 0 AND ow <> tg THEN ['participants_missing'] ELSE [] END AS errors FROM e",
 )(
     lambda s, d: (
         lambda o: joins.evidence_errors(
@@ -65,7 +65,7 @@ register(
             o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("evidence_id")),
             o.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("evidence_id"), F.when(F.col("o_orderkey") % 3 == 0, F.array("o_custkey")).otherwise(F.array("o_custkey", F.col("o_custkey") % 11)).alias("participant_ids")),
         )
-    )(table(s, d, "orders").where("o_orderkey < 800"))
+    )(table(s, d, "orders"))
 )
 register("lookup_list", "SELECT n_nationkey, x.keys FROM nation LEFT JOIN (SELECT s_nationkey, list_sort(list(s_suppkey)) AS keys FROM supplier GROUP BY 1) x ON n_nationkey = s_nationkey")(
     lambda s, d: joins.lookup_list(table(s, d, "nation"), table(s, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey", ["s_suppkey"], "m").select("n_nationkey", F.col("m.s_suppkey").alias("keys"))
@@ -250,7 +250,7 @@ def seniority(spark, sf_dir):
 
 @register(
     "accuracy_flags_action",
-    f"""WITH c AS (SELECT o_orderkey AS k, o_orderdate::DATE AS pa, o_orderkey % 4 = 0 AS changed, CASE o_orderkey % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'catch-all' WHEN 2 THEN 'invalid' WHEN 3 THEN '' ELSE 'valid' END AS v, date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') AS age FROM orders WHERE o_orderkey < 2000),
+    f"""WITH c AS (SELECT o_orderkey AS k, o_orderdate::DATE AS pa, o_orderkey % 4 = 0 AS changed, CASE o_orderkey % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'catch-all' WHEN 2 THEN 'invalid' WHEN 3 THEN '' ELSE 'valid' END AS v, date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') AS age FROM orders),
     f AS (SELECT k, list_sort(list_filter([CASE WHEN changed THEN 'job_changed' END, CASE WHEN k % 6 = 0 THEN 'missing_email' END, CASE WHEN age > 30 THEN 'profile_stale' END, 'email_verification_missing',
       CASE WHEN k % 3 = 0 THEN 'identity_unconfirmed' END, CASE WHEN v = 'catch-all' THEN 'catch_all_not_corroborated' END, CASE WHEN v = 'invalid' THEN 'email_invalid' END, CASE WHEN v = '' THEN 'email_validation_unknown' END], lambda x: x IS NOT NULL)) AS flags,
       CASE v WHEN 'catch-all' THEN 'HIGH' WHEN 'invalid' THEN 'HIGH' WHEN '' THEN 'MED' ELSE 'LOW' END AS email_risk FROM c)
@@ -258,7 +258,7 @@ def seniority(spark, sf_dir):
 )
 def accuracy_flags_action(spark, sf_dir):
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(
+    rows = table(spark, sf_dir, "orders").select(
         k.alias("k"), F.concat(F.lit("p"), k.cast("string")).alias("person"), F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("u"), k.cast("string"), F.when(k % 4 == 0, "@new.com").otherwise("@acme.com"))).alias("email"), F.lit("Acme").alias("company"),
         F.when(k % 4 == 0, "Newco").otherwise("Acme").alias("current_company"), F.lit("Engineer").alias("title"), F.when(k % 4 == 0, "new.com").otherwise("acme.com").alias("domain"), F.lit("").alias("linkedin"), F.col("o_orderdate").cast("date").alias("profile_at"),
         F.lit(None).cast("date").alias("verified_at"), F.when(k % 3 == 0, "none").otherwise("match").alias("identity"), F.when(k % 5 == 1, "catch-all").when(k % 5 == 2, "invalid").when(k % 5 == 3, "").otherwise("valid").alias("validation"), F.lit(0).alias("corroboration"), F.lit("").alias("confidence"),
@@ -281,20 +281,20 @@ register("source_confidence", "SELECT user_id, CASE WHEN count(DISTINCT event_ty
 
 @register(
     "fact_gates",
-    """WITH f AS (SELECT user_id AS item, event_type AS field, (floor(value) % 2)::BIGINT::VARCHAR AS v FROM events WHERE event_id < 400),
+    """WITH f AS (SELECT user_id AS item, event_type AS field, (floor(value) % 2)::BIGINT::VARCHAR AS v FROM events),
     p AS (SELECT item, field, count(DISTINCT v) AS n, min(v) AS v FROM f GROUP BY 1, 2),
     g AS (SELECT item, list_sort(list_concat(list_concat(list_filter(list(CASE WHEN n > 1 THEN 'conflict:' || field END), lambda x: x IS NOT NULL), list_filter(list(CASE WHEN field = 'view' AND v <> '1' THEN 'not_allowed:view' END), lambda x: x IS NOT NULL)), list_filter(['missing:click', 'missing:purchase'], lambda x: NOT list_contains(list(field), x[9:])))) AS reasons, bool_or(n > 1) AS conflict FROM p GROUP BY item)
     SELECT item, CASE WHEN conflict THEN 'conflict' WHEN len(reasons) > 0 THEN 'rejected' ELSE 'eligible' END AS status, array_to_string(reasons, ',') AS reasons FROM g""",
 )
 def fact_gates(spark, sf_dir):
-    facts = events(spark, sf_dir).where("event_id < 400").select(F.col("user_id").alias("item"), F.col("event_type").alias("field"), (F.floor("value") % 2).cast("string").alias("value"))
+    facts = events(spark, sf_dir).select(F.col("user_id").alias("item"), F.col("event_type").alias("field"), (F.floor("value") % 2).cast("string").alias("value"))
     return scoring.fact_gates(facts, ["click", "purchase"], {"view": ["1"]}).withColumn("reasons", F.array_join("reasons", ","))
 
 
 register(
     "claim_status",
-    "WITH p AS (SELECT user_id AS claim, count(*) AS n, count(DISTINCT event_type) AS vs, count(DISTINCT event_id % 2) AS sr, max(ts)::DATE AS l FROM events WHERE event_id < 300 GROUP BY 1), r AS (SELECT claim, CASE WHEN n = 0 THEN 'no_evidence' WHEN vs > 1 THEN 'contradiction' WHEN n < 2 THEN 'too_little_evidence' WHEN sr < 2 THEN 'not_independent' WHEN date_diff('day', l, DATE '2026-01-01') > 365 THEN 'too_old' ELSE '' END AS reason FROM p) SELECT claim, CASE WHEN reason = '' THEN 'verified' ELSE 'abstained' END AS status, reason FROM r",
-)(lambda s, d: scoring.claim_status(events(s, d).where("event_id < 300").select(F.col("user_id").alias("claim"), F.col("event_type").alias("value"), (F.col("event_id") % 2).alias("source"), F.col("ts").cast("date").alias("observed")), F.to_date(F.lit("2026-01-01"))))
+    "WITH p AS (SELECT user_id AS claim, count(*) AS n, count(DISTINCT event_type) AS vs, count(DISTINCT event_id % 2) AS sr, max(ts)::DATE AS l FROM events GROUP BY 1), r AS (SELECT claim, CASE WHEN n = 0 THEN 'no_evidence' WHEN vs > 1 THEN 'contradiction' WHEN n < 2 THEN 'too_little_evidence' WHEN sr < 2 THEN 'not_independent' WHEN date_diff('day', l, DATE '2026-01-01') > 365 THEN 'too_old' ELSE '' END AS reason FROM p) SELECT claim, CASE WHEN reason = '' THEN 'verified' ELSE 'abstained' END AS status, reason FROM r",
+)(lambda s, d: scoring.claim_status(events(s, d).select(F.col("user_id").alias("claim"), F.col("event_type").alias("value"), (F.col("event_id") % 2).alias("source"), F.col("ts").cast("date").alias("observed")), F.to_date(F.lit("2026-01-01"))))
 register(
     "contradiction_flags",
     "WITH p AS (SELECT user_id AS identity, event_id % 3 AS claim, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2, 3) SELECT identity, claim, value, evidence, contradiction FROM (SELECT identity, claim, value, n AS evidence, count(*) OVER w > 1 AS contradiction, row_number() OVER (PARTITION BY identity, claim ORDER BY n DESC, value) AS r FROM p WINDOW w AS (PARTITION BY identity, claim)) WHERE r = 1",
@@ -340,12 +340,12 @@ _SET_ROUTES = ["click", "purchase", "view", "signup"]
 
 @register(
     "set_cover_masks",
-    """WITH u AS (SELECT DISTINCT user_id AS unit, CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 4 ELSE 8 END AS b FROM events WHERE event_id % 11 = 0 AND event_type IN ('click', 'purchase', 'view', 'signup')),
+    """WITH u AS (SELECT DISTINCT user_id AS unit, CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 4 ELSE 8 END AS b FROM events WHERE event_type IN ('click', 'purchase', 'view', 'signup')),
     g AS (SELECT unit, bit_or(b) AS bits FROM u GROUP BY 1), m AS (SELECT unnest(range(1, 16)) AS mask)
     SELECT mask, (mask & 1)::DOUBLE + 2.0 * ((mask >> 1) & 1) + 3.0 * ((mask >> 2) & 1) + 4.0 * ((mask >> 3) & 1) AS cost, (SELECT count(*) FROM g WHERE bits & mask <> 0) AS covered FROM m""",
 )
 def set_cover_masks(spark, sf_dir):
-    units = events(spark, sf_dir).where("event_id % 11 = 0").where(F.col("event_type").isin(*_SET_ROUTES)).select(F.col("user_id").alias("unit"), F.col("event_type").alias("route"))
+    units = events(spark, sf_dir).where(F.col("event_type").isin(*_SET_ROUTES)).select(F.col("user_id").alias("unit"), F.col("event_type").alias("route"))
     costs = spark.createDataFrame([(r, float(i + 1)) for i, r in enumerate(_SET_ROUTES)], "route string, credits double")
     return portfolio.set_covers(units, costs, _SET_ROUTES).withColumn("mask", F.col("mask").cast("long"))
 
@@ -379,9 +379,9 @@ register("props_variant", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM ev
     lambda s, d: events(s, d).select("event_id", variant.path(variant.parse(F.col("props")), "$.k", kind="bigint").alias("k")).where("k IS NOT NULL")
 )
 register("envelope_coalesce", "SELECT event_id, coalesce(props->>'$.missing', props->>'$.k') AS v FROM events")(lambda s, d: events(s, d).select("event_id", variant.path(variant.parse(F.col("props")), "$.missing", "$.k").alias("v")))
-register("explode_json", "SELECT user_id, unnest(['a' || user_id, 'b' || user_id]) AS person FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 50)")(
+register("explode_json", "SELECT user_id, unnest(['a' || user_id, 'b' || user_id]) AS person FROM (SELECT DISTINCT user_id FROM events)")(
     lambda s, d: variant.explode_persons(
-        events(s, d).where("user_id < 50").select("user_id").distinct().withColumn("j", F.format_string('{"data": {"persons": [{"n": "a%d"}, {"n": "b%d"}]}}', "user_id", "user_id")), "j"
+        events(s, d).select("user_id").distinct().withColumn("j", F.format_string('{"data": {"persons": [{"n": "a%d"}, {"n": "b%d"}]}}', "user_id", "user_id")), "j"
     ).select("user_id", F.try_variant_get("person", "$.n", "string").alias("person"))
 )
 
@@ -437,7 +437,9 @@ def _stream(spark, sf_dir):
     base = table(spark, sf_dir, "events")
     raw = spark.readStream.schema(base.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     name, shared = f"s{uuid.uuid4().hex}", spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    # the folder all executors share; an own one only where none is set
+    # the folder all executors share; an own one only where none is set, in local runs
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     where = f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="signal-engine-")
 
     def run(df, mode):

@@ -96,13 +96,13 @@ _TOKENS_SQL = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower
 
 @register(
     "jaccard_pairs",
-    f"""WITH a AS (SELECT p_partkey, {_TOKENS_SQL.format("p_name", "")} AS t, p_brand FROM part WHERE p_size = 7),
+    f"""WITH a AS (SELECT p_partkey, {_TOKENS_SQL.format("p_name", "")} AS t, p_brand FROM part),
     b AS (SELECT p_partkey AS other, t AS u, p_brand FROM a)
     SELECT p_partkey, other, round(len(list_intersect(t, u))::DOUBLE / len(list_distinct(list_concat(t, u))), 6) AS similarity
     FROM a JOIN b USING (p_brand) WHERE p_partkey < other""",
 )
 def jaccard_pairs(spark, sf_dir):
-    a = table(spark, sf_dir, "part").where("p_size = 7").select("p_partkey", "p_brand", tx.tokens(F.col("p_name")).alias("t"))
+    a = table(spark, sf_dir, "part").select("p_partkey", "p_brand", tx.tokens(F.col("p_name")).alias("t"))
     b = a.select(F.col("p_partkey").alias("other"), "p_brand", F.col("t").alias("u"))
     return a.join(b, "p_brand").where("p_partkey < other").select("p_partkey", "other", F.round(tx.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
 

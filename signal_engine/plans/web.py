@@ -69,12 +69,12 @@ def fuzzy_name_match(spark, sf_dir):
 
 @register(
     "token_subset_match",
-    """WITH t AS (SELECT p_partkey AS id, p_size, list_distinct(string_split(p_name, ' ')) AS w FROM part WHERE p_size IN (3, 4))
-    SELECT a.id AS left_id, b.id AS right_id FROM t a, t b WHERE a.p_size = 3 AND b.p_size = 4 AND len(list_intersect(a.w, b.w)) = least(len(a.w), len(b.w))""",
+    """WITH t AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS w FROM part)
+    SELECT a.id AS left_id, b.id AS right_id FROM t a, t b WHERE a.id < b.id AND len(list_intersect(a.w, b.w)) = least(len(a.w), len(b.w))""",
 )
 def token_subset_match(spark, sf_dir):
-    side = lambda k: table(spark, sf_dir, "part").where(F.col("p_size") == k).select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tokens"))
-    return joins.token_subset(side(3), side(4))
+    side = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tokens"))
+    return joins.token_subset(side, side).where("left_id < right_id")
 
 
 _EMAIL = "lower(replace(c_name, '#', '.')) || '@' || lower(c_mktsegment) || '.com'"
@@ -170,11 +170,14 @@ register("run_if_gate", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN u
 )
 
 # entities
-_EDGES = "SELECT DISTINCT l_partkey AS a, 1000000000 + l_orderkey AS b FROM lineitem WHERE l_partkey % 9 = 0 AND l_quantity > 45"
+# a customer is linked to its orders and to its block of five customers
+_EDGES = "SELECT o_custkey AS a, 1000000000 + o_orderkey AS b FROM orders UNION SELECT c_custkey, 2000000000 + c_custkey // 5 FROM customer"
 
 
 def _edges(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_partkey % 9 = 0 AND l_quantity > 45").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1000000000).alias("b")).distinct()
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_orderkey") + 1000000000).cast("long").alias("b"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("a"), (F.floor(F.col("c_custkey") / 5) + 2000000000).cast("long").alias("b"))
+    return orders.unionByName(customers)
 
 
 register(
@@ -186,15 +189,15 @@ register(
 register(
     "neighbourhood_3hop",
     f"""WITH RECURSIVE e AS ({_EDGES}), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
-    r AS (SELECT DISTINCT a AS node, 0 AS hop FROM e WHERE a % 90 = 0 UNION SELECT n.y, r.hop + 1 FROM r JOIN n ON r.node = n.x WHERE r.hop < 3)
+    r AS (SELECT c_custkey AS node, 0 AS hop FROM customer WHERE c_acctbal < 0 UNION SELECT n.y, r.hop + 1 FROM r JOIN n ON r.node = n.x WHERE r.hop < 3)
     SELECT node, min(hop) AS hop FROM r GROUP BY node""",
-)(lambda s, d: entity.neighbourhood(_edges(s, d).withColumn("edge_id", F.concat_ws("-", "a", "b")), _edges(s, d).where("a % 90 = 0").select(F.col("a").alias("node"))).select("node", "hop"))
+)(lambda s, d: entity.neighbourhood(_edges(s, d).withColumn("edge_id", F.concat_ws("-", "a", "b")), table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("long").alias("node"))).select("node", "hop"))
 register(
     "component_merge",
-    "SELECT c_nationkey AS component, min(c_custkey) AS canonical, list_sort(list(c_custkey)) AS aliases, arg_min(CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END) AS name FROM customer WHERE c_custkey < 500 GROUP BY 1",
+    "SELECT c_nationkey AS component, min(c_custkey) AS canonical, list_sort(list(c_custkey)) AS aliases, arg_min(CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END) AS name FROM customer GROUP BY 1",
 )(
     lambda s, d: entity.merge(
-        table(s, d, "customer").where("c_custkey < 500").select(F.col("c_nationkey").alias("component"), "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("name")), "component", "c_custkey", ["name"]
+        table(s, d, "customer").select(F.col("c_nationkey").alias("component"), "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("name")), "component", "c_custkey", ["name"]
     )
 )
 register(

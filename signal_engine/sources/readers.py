@@ -60,7 +60,7 @@ def read_config(text: str) -> dict:
     return json.loads(text, parse_float=Decimal)
 
 
-def marked_columns(columns: Sequence[str], marker: str = "__dl_full_result__") -> list[int]:
+def marked_columns(columns: Sequence[str], marker: str) -> list[int]:
     """Places of the columns whose header holds the marker."""
     return [i for i, c in enumerate(columns) if marker in c]
 
