@@ -92,7 +92,7 @@ def source_plan(needs: Sequence[str], sources: Mapping[str, tuple[Sequence[str],
 def run_campaign(accounts: DataFrame, contacts: DataFrame, experiences: DataFrame, as_of: Column, owner_contact: int, include: int, review: int) -> dict[str, DataFrame]:
     """Accounts (account, domain, points), contacts (contact, account, linkedin, email, name, title) and experiences
     (contact, company, start, end, is_current) to ranked accounts, canonical contacts, a committee, warm paths from the
-    owner's past colleagues, and contacts for direct outreach. Each stage is a lazy table."""
+    owner's past colleagues, and contacts for direct outreach. Each stage is a table; the ranking is written once, the others are lazy."""
     ranked = ranking.rank_all(accounts.withColumn("decision", scoring.decision(F.col("points"), F.lit(None).cast("string"), include, review)), F.col("decision") == "exclude", F.desc("points"), "domain")
     keyed = contacts.withColumn("li", tx.normalize_linkedin_url(F.col("linkedin"))).withColumn("em", tx.normalize_email(F.col("email")))
     comp = entity.resolve(keyed, "contact", ["li", "em"])

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signal_engine.operators.ordered import fold_in_order
+
 
 def waterfall(df: DataFrame, legs: Mapping[str, Column], column: str) -> DataFrame:
     """The first leg with a value wins; ``{column}_source`` names it. Legs are columns, so none is computed twice."""
@@ -61,20 +63,25 @@ def accepted(status: Column, catch_all: bool = False) -> Column:
 
 def authorize(requests: DataFrame, campaign_cap: float, provider_caps: Mapping[str, float], campaign: str = "campaign") -> DataFrame:
     """Authorise requests (campaign, seq, provider, credits, cached) in order: a cached one costs nothing; else the
-    provider's cap, then the campaign's must hold. (campaign, seq, decision). A provider without cap is unbounded."""
-    providers = sorted(provider_caps)
-    rows = requests.groupBy(campaign).agg(F.array_sort(F.collect_list(F.struct("seq", "provider", F.col("credits").cast("double").alias("credits"), "cached"))).alias("rows"))
-    zero = F.struct(F.lit(0.0).alias("total"), F.array(*[F.lit(0.0) for _ in providers]).cast("array<double>").alias("spent"), F.array().cast("array<struct<seq:bigint,decision:string>>").alias("out"))
-    names, caps = F.array(*[F.lit(p) for p in providers]).cast("array<string>"), F.array(*[F.lit(float(provider_caps[p])) for p in providers]).cast("array<double>")
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(names, x["provider"]).cast("int")
-        over_provider = (at > 0) & (F.get(acc["spent"], at - 1) + x["credits"] > F.get(caps, at - 1))
-        verdict = F.when(x["cached"], "cache_hit").when(over_provider, "provider_cap").when(acc["total"] + x["credits"] > campaign_cap, "campaign_cap").otherwise("authorized")
-        paid = F.when(verdict == "authorized", x["credits"]).otherwise(0.0)
-        return F.struct((acc["total"] + paid).alias("total"), F.transform(acc["spent"], lambda s, i: s + F.when(i == at - 1, paid).otherwise(0.0)).alias("spent"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), verdict.alias("decision")))).alias("out"))
-
-    return rows.select(campaign, F.inline(F.aggregate("rows", zero, step)["out"]))
+    provider's cap, then the campaign's must hold. (campaign, seq, decision). A provider without cap is
+    unbounded; unknown credits count as 0."""
+    caps = {p: float(c) for p, c in provider_caps.items()}
+
+    def decide(spent: dict, row: dict) -> tuple[dict, str]:
+        provider, credits = row["provider"], row["credits"] or 0.0
+        if row["cached"]:
+            return spent, "cache_hit"
+        if provider in caps and spent.get(provider, 0.0) + credits > caps[provider]:
+            return spent, "provider_cap"
+        if spent.get(None, 0.0) + credits > campaign_cap:
+            return spent, "campaign_cap"
+        # None holds the campaign's total
+        for at in (None, provider) if provider in caps else (None,):
+            spent[at] = spent.get(at, 0.0) + credits
+        return spent, "authorized"
+
+    rows = requests.select(campaign, F.col("seq").cast("bigint").alias("seq"), "provider", F.col("credits").cast("double").alias("credits"), "cached")
+    return fold_in_order(rows, campaign, ["seq", "provider", "credits", "cached"], dict, decide, "decision", "string", [campaign, "seq"])
 
 
 def outbox_state(events: DataFrame, now: Column, ttl: int = 3600) -> DataFrame:

@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: a checkpoint in the session's checkpoint folder (an own one where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            import atexit
-            import shutil
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix=f"signal-engine-{uuid.uuid4().hex[:6]}-")
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
+from signal_engine.operators.ordered import cut_lineage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable; alternating large and small stars until nothing changes."""
-    now = _cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    now = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     alone = edges.select(F.col(a).alias("node")).unionByName(edges.select(F.col(b).alias("node"))).distinct()
     seen = None
     while True:
@@ -37,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = _cut(small.where("u <> v").distinct())
+        now = cut_lineage(small.where("u <> v").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -90,7 +72,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFram
     front = seen
     for hop in range(1, hops + 1):
         found = front.select("node").join(both, "node").groupBy(F.col("next").alias("node")).agg(F.min("edge_id").alias("edge_id"))
-        front = _cut(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop"), "edge_id"))
+        front = cut_lineage(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop"), "edge_id"))
         seen = seen.unionByName(front)
     return seen
 

@@ -8,29 +8,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLUSTERS = "topic string, unit string, value double, figures long, sources long"
-
+from signal_engine.operators.ordered import fold_in_order
 
 def corroborate(figures: DataFrame, band: float = 0.02) -> DataFrame:
     """Clusters of figures (topic, ordinal, unit, value, domain): in order, a figure joins the first cluster of its
-    unit whose first value lies within the band; sources are distinct domains. One topic is one group."""
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        found: list[list] = []
-        for r in rows.sort_values("ordinal").itertuples():
-            for c in found:
-                if c[0] == r.unit and abs(r.value - c[1]) <= band * abs(c[1]):
-                    break
-            else:
-                c = [r.unit, r.value, 0, set()]
-                found.append(c)
-            c[2] += 1
-            if r.domain:
-                c[3].add(r.domain)
-        topic = rows["topic"].iloc[0]
-        return pd.DataFrame([(topic, c[0], c[1], c[2], len(c[3])) for c in found], columns=["topic", "unit", "value", "figures", "sources"])
-
-    return figures.groupBy("topic").applyInPandas(cluster, CLUSTERS)
+    unit whose first value lies within the band; sources are distinct domains. A topic's figures stream through one
+    task that holds its clusters' first values only."""
+
+    def place(found: list, row: dict) -> tuple[list, int]:
+        for at, (unit, value) in enumerate(found):
+            if unit == row["unit"] and abs(row["value"] - value) <= band * abs(value):
+                return found, at
+        found.append((row["unit"], row["value"]))
+        return found, len(found) - 1
+
+    rows = figures.where("value IS NOT NULL").select("topic", "ordinal", "unit", "value", "domain")
+    placed = fold_in_order(rows, "topic", ["ordinal", "unit", "value"], list, place, "cluster", "bigint", rows.columns)
+    named = F.when(F.col("domain") != "", F.col("domain"))
+    return placed.groupBy("topic", "cluster", "unit").agg(F.min_by("value", F.struct("ordinal", "value")).alias("value"), F.count("*").alias("figures"), F.count_distinct(named).alias("sources")).drop("cluster")
 
 
 def independent_sources(facts: DataFrame, key: str, domain: str) -> DataFrame:

@@ -40,9 +40,11 @@ def interval_overlap(left: DataFrame, right: DataFrame, key: str, as_of: Column)
         end = F.coalesce("end", F.when(F.col("is_current"), as_of))
         return df.select(F.col(key), F.col("id").alias(f"{p}_id"), F.col("start").alias(f"{p}_s"), F.when(end.isNotNull(), F.least(end, as_of)).alias(f"{p}_e")).where(f"{p}_s IS NOT NULL AND {p}_e IS NOT NULL")
 
-    both = side(left, "left").join(side(right, "right"), key)
+    # an interval goes to each of its years and a pair counts in the year its overlap starts: a hot key is split by year
+    by_year = lambda df, p: df.where(f"{p}_s <= {p}_e").withColumn("_year", F.explode(F.sequence(F.year(f"{p}_s"), F.year(f"{p}_e"))))
+    both = by_year(side(left, "left"), "left").join(by_year(side(right, "right"), "right"), [key, "_year"])
     both = both.withColumn("overlap_start", F.greatest("left_s", "right_s")).withColumn("overlap_end", F.least("left_e", "right_e"))
-    return both.where("overlap_start <= overlap_end").select(key, "left_id", "right_id", "overlap_start", "overlap_end")
+    return both.where((F.col("overlap_start") <= F.col("overlap_end")) & (F.year("overlap_start") == F.col("_year"))).select(key, "left_id", "right_id", "overlap_start", "overlap_end")
 
 
 def role_proximity(left: DataFrame, right: DataFrame, key: str, as_of: Column) -> DataFrame:
@@ -55,10 +57,17 @@ def role_proximity(left: DataFrame, right: DataFrame, key: str, as_of: Column) -
 
 
 def token_subset(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (left_id, right_id) where one token set holds the other. Sides: (id, tokens); joined by token."""
-    one = left.select(F.col("id").alias("left_id"), F.size(F.array_distinct("tokens")).alias("ln"), F.explode(F.array_distinct("tokens")).alias("token"))
-    two = right.select(F.col("id").alias("right_id"), F.size(F.array_distinct("tokens")).alias("rn"), F.explode(F.array_distinct("tokens")).alias("token"))
-    return one.join(two, "token").groupBy("left_id", "right_id", "ln", "rn").count().where(F.col("count") == F.least("ln", "rn")).select("left_id", "right_id")
+    """Pairs (left_id, right_id) where one token set holds the other. Sides: (id, tokens). A set held by another is
+    looked up by its rarest token alone, so that a frequent token only pairs sets that have nothing rarer."""
+    one, two = (df.select(F.col("id").alias(n), F.array_distinct("tokens").alias(f"{n}_tokens")).where(F.size(f"{n}_tokens") > 0) for df, n in ((left, "left_id"), (right, "right_id")))
+    words = lambda df, n: df.select(n, f"{n}_tokens", F.explode(f"{n}_tokens").alias("token"))
+    uses = words(one, "left_id").select("token").unionByName(words(two, "right_id").select("token")).groupBy("token").agg(F.count("*").alias("uses"))
+
+    def held(small: DataFrame, s: str, large: DataFrame, g: str) -> DataFrame:
+        rarest = words(small, s).join(uses, "token").groupBy(s, f"{s}_tokens").agg(F.min_by("token", F.struct("uses", "token")).alias("token"))
+        return rarest.join(words(large, g), "token").where(F.size(F.array_except(f"{s}_tokens", f"{g}_tokens")) == 0).select("left_id", "right_id")
+
+    return held(one, "left_id", two, "right_id").unionByName(held(two, "right_id", one, "left_id")).distinct()
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

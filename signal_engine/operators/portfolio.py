@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signal_engine.operators.ordered import cut_lineage
+
 
 def beta_posterior(hits: Column, trials: Column) -> tuple[Column, Column]:
     """Mean and standard deviation of Beta(1 + hits, 1 + misses)."""
@@ -29,10 +31,14 @@ def scorecard(trials: DataFrame, route: str, unit: str, relevant: Column, credit
 
 def pareto(df: DataFrame, id_col: str, gain: str, cost: str) -> DataFrame:
     """Rows that no other one dominates (at least the gain at no more cost, one of them strictly): by a running
-    maximum over cost, not by comparing pairs."""
-    before = Window.orderBy(F.asc(cost)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    points = df.groupBy(cost).agg(F.max(gain).alias("_g"))
-    best = points.withColumn("_m", F.max("_g").over(before)).withColumn("_p", F.lag("_m").over(Window.orderBy(cost)))
+    maximum over cost, not by comparing pairs. Range partitions of the costs keep their own running maximum and take
+    that of the cheaper ones. Rows without gain or cost take no part."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = df.where(F.col(gain).isNotNull() & F.col(cost).isNotNull()).groupBy(cost).agg(F.max(gain).alias("_g"))
+    parts = cut_lineage(points.repartitionByRange(n, cost).withColumn("_part", F.spark_partition_id()))
+    tops = parts.groupBy("_part").agg(F.max("_g").alias("_top")).select("_part", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_cheaper"))
+    within = F.max("_g").over(Window.partitionBy("_part").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    best = parts.withColumn("_own", within).join(tops, "_part").withColumn("_p", F.greatest("_own", "_cheaper"))
     good = best.where(F.col("_p").isNull() | (F.col("_g") > F.col("_p"))).select(cost, F.col("_g").alias(gain))
     return df.join(good, [cost, gain], "left_semi")
 

@@ -7,12 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signal_engine.operators.ordered import cut_lineage, fold_in_order
+
 
 def rank_all(df: DataFrame, *order: str | Column) -> DataFrame:
     """Global 1-based rank without a single-partition window: range partitions are ranked apart and offset by
-    the sizes of those before them. ``order`` must be total."""
+    the sizes of those before them. ``order`` must be total. The partitioned rows are written once, as two reads of a
+    range partitioning may sample other bounds."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    parts = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     within = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -122,13 +125,14 @@ def latest(df: DataFrame, key: str, value: Column, by: Column, alias: str = "lat
 
 
 def greedy_budget(df: DataFrame, key: str, order: str, cost: str, budget: float) -> DataFrame:
-    """Admit rows in order while they fit, skipping what does not: (key, order, cost, admitted)."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).alias("c")))).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<struct<o:bigint,c:double,admitted:boolean>>").alias("out"))
+    """Admit rows in order while they fit, skipping what does not: (key, order, cost, admitted). A row without a cost
+    is neither admitted nor refused (null) and spends nothing."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["spent"] + x["c"] <= budget
-        return F.struct((acc["spent"] + F.when(fits, x["c"]).otherwise(0.0)).alias("spent"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), x["c"].cast("double").alias("c"), fits.alias("admitted")))).alias("out"))
+    def admit(spent: float, row: dict) -> tuple[float, bool | None]:
+        if row[cost] is None:
+            return spent, None
+        fits = spent + row[cost] <= budget
+        return spent + (row[cost] if fits else 0.0), fits
 
-    folded = rows.withColumn("fold", F.aggregate("rows", start, step))
-    return folded.select(key, F.inline("fold.out")).toDF(key, order, cost, "admitted")
+    rows = df.select(key, F.col(order).cast("bigint").alias(order), F.col(cost).cast("double").alias(cost))
+    return fold_in_order(rows, key, [order, cost], float, admit, "admitted", "boolean", [key, order, cost])

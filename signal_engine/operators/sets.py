@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signal_engine.operators.ranking import rank_all
+
 
 def keep_first(df: DataFrame, key: str | Sequence[str], *order: str | Column) -> DataFrame:
     """The first row of each key in the given order."""
@@ -47,12 +49,14 @@ def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
 
 
 def chunks(df: DataFrame, order: Sequence[str | Column], size: int, least: int) -> DataFrame:
-    """Chunk numbers of ``size`` rows; a last chunk under ``least`` rows borrows from the one before."""
-    n, rn = F.count("*").over(Window.partitionBy()), F.row_number().over(Window.orderBy(*order))
+    """Chunk numbers of ``size`` rows; a last chunk under ``least`` rows borrows from the one before. ``order`` must be
+    total."""
+    ranked = rank_all(df, *order)
+    counted = ranked.join(ranked.agg(F.count("*").alias("_n")), F.lit(True))  # one row
     tail = F.pmod("_n", F.lit(size))
-    borrowed = (tail > 0) & (tail < least) & (F.col("_n") > size) & (F.col("_rn") > F.col("_n") - least)
-    base = F.floor((F.col("_rn") - 1) / size)
-    return df.withColumn("_n", n).withColumn("_rn", rn).withColumn("chunk", F.when(borrowed, F.floor((F.col("_n") - 1) / size)).otherwise(base).cast("long")).drop("_n", "_rn")
+    borrowed = (tail > 0) & (tail < least) & (F.col("_n") > size) & (F.col("rank") > F.col("_n") - least)
+    base = F.floor((F.col("rank") - 1) / size)
+    return counted.withColumn("chunk", F.when(borrowed, F.floor((F.col("_n") - 1) / size)).otherwise(base).cast("long")).drop("_n", "rank")
 
 
 def gated(df: DataFrame, condition: Column, column: str, value: Column) -> DataFrame:

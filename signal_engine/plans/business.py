@@ -135,9 +135,16 @@ register("rolling_capacity", "SELECT event_id, count(*) FILTER (event_type IN ('
 register("attempt_number", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events")(lambda s, d: ranking.attempts(events(s, d), "user_id", "ts", "event_id").select("event_id", "attempt"))
 
 
-@register("running_budget")
+@register(
+    "running_budget",
+    """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    r AS (SELECT o_custkey, o_orderkey, o_totalprice, n, o_totalprice <= 500000 AS admitted, CASE WHEN o_totalprice <= 500000 THEN o_totalprice ELSE 0.0 END AS spent FROM o WHERE n = 1
+      UNION ALL SELECT o.o_custkey, o.o_orderkey, o.o_totalprice, o.n, r.spent + o.o_totalprice <= 500000, r.spent + CASE WHEN r.spent + o.o_totalprice <= 500000 THEN o.o_totalprice ELSE 0.0 END
+      FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.n = r.n + 1)
+    SELECT o_custkey, o_orderkey, o_totalprice, admitted FROM r""",
+)
 def running_budget(spark, sf_dir):
-    """Greedy admission that skips what does not fit; rows-only (a fold)."""
+    """Greedy admission that skips what does not fit."""
     return ranking.greedy_budget(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice", 500000.0)
 
 
@@ -400,7 +407,16 @@ register(
     "layer_stats",
     f"WITH l AS ({_LEGS}), x AS (SELECT count(*) AS n, count(*) FILTER (a IS NOT NULL) AS h0, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS h1, count(*) FILTER (a IS NULL AND b IS NULL AND c IS NOT NULL) AS h2 FROM l) SELECT 'a' AS layer, n AS attempted, h0 AS hits, 0 AS skipped FROM x UNION ALL SELECT 'b', n - h0, h1, h0 FROM x UNION ALL SELECT 'c', n - h0 - h1, h2, h0 + h1 FROM x",
 )(lambda s, d: enrichment.layer_stats(_waterfall(s, d), "found_source", ["a", "b", "c"]))
-register("authorization_ledger")(
+register(
+    "authorization_ledger",
+    """WITH RECURSIVE e AS (SELECT user_id AS campaign, event_id AS seq, event_type = 'click' AS capped, coalesce(value, 0.0) AS c, event_id % 5 = 0 AS cached,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    r AS (SELECT DISTINCT campaign, NULL::BIGINT AS seq, NULL::VARCHAR AS decision, 0::BIGINT AS n, 0.0::DOUBLE AS total, 0.0::DOUBLE AS clicks FROM e
+      UNION ALL SELECT campaign, seq, decision, n, total + CASE WHEN decision = 'authorized' THEN c ELSE 0 END, clicks + CASE WHEN decision = 'authorized' AND capped THEN c ELSE 0 END
+      FROM (SELECT e.campaign, e.seq, e.n, e.c, e.capped, r.total, r.clicks, CASE WHEN e.cached THEN 'cache_hit' WHEN e.capped AND r.clicks + e.c > 100 THEN 'provider_cap' WHEN r.total + e.c > 300 THEN 'campaign_cap' ELSE 'authorized' END AS decision
+            FROM r JOIN e ON e.campaign = r.campaign AND e.n = r.n + 1))
+    SELECT campaign, seq, decision FROM r WHERE n > 0""",
+)(
     lambda s, d: enrichment.authorize(events(s, d).select(F.col("user_id").alias("campaign"), F.col("event_id").alias("seq"), F.col("event_type").alias("provider"), F.col("value").alias("credits"), (F.col("event_id") % 5 == 0).alias("cached")), 300.0, {"click": 100.0})
 )
 register("outbox_status", "WITH l AS (SELECT user_id AS \"key\", arg_max(event_type, ts) AS e, max(ts) AS ts FROM events GROUP BY 1) SELECT \"key\", CASE WHEN e = 'click' AND epoch(TIMESTAMP '2024-01-31') - floor(epoch(ts)) > 3600 THEN 'needs_reconciliation' WHEN e = 'click' THEN 'dispatching' ELSE e END AS state FROM l")(
@@ -428,6 +444,7 @@ register("window_frames", "SELECT o_orderkey, ntile(4) OVER w AS quartile, round
 
 # streams
 def _stream(spark, sf_dir):
+    import atexit
     import shutil
     import tempfile
     import uuid
@@ -436,17 +453,16 @@ def _stream(spark, sf_dir):
 
     base = table(spark, sf_dir, "events")
     raw = spark.readStream.schema(base.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name, shared = f"s{uuid.uuid4().hex}", spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     # the folder all executors share; an own one only where none is set, in local runs
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    where = f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="signal-engine-")
+    where = f"{shared.rstrip('/')}/s{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="signal-engine-")
+    if not shared:
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
 
     def run(df, mode):
-        out = feeds.run_to_table(df, name, mode, where)
-        if not shared:
-            shutil.rmtree(where, ignore_errors=True)
-        return out
+        return feeds.run_to_table(df, f"{where}/table", mode, f"{where}/checkpoint")
 
     return raw, run
 

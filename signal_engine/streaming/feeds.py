@@ -45,11 +45,19 @@ def fan_out(events: DataFrame, listeners: Mapping[str, tuple[Column, Callable[[D
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(handle)
 
 
-def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run over what is there and return the result table (small results and tests)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_table(df: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run over what is there into a Parquet table and return it. A batch writes its own folder, so one that is run
+    again after a failure replaces what it wrote; in complete mode each batch replaces the table."""
+    if mode not in ("append", "complete"):
+        raise ValueError(f"no table of mode {mode}")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_number={batch if mode == 'append' else 0}")
+
+    spark, names = df.sparkSession, df.columns
+    spark.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{path}/batch_number=-1")
+    df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path).select(*names)
 
 
 OUTBOX = "key string, state string, at timestamp"

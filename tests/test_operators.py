@@ -109,7 +109,7 @@ def test_outbox_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "id string, event string, t string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = feeds.read_feed(spark, str(tmp_path / "in"), "id string, event string, ts timestamp")
-    got = feeds.run_to_table(feeds.outbox(stream, "id", "ts", "event"), "outbox_test", "append", str(tmp_path / "cp")).collect()
+    got = feeds.run_to_table(feeds.outbox(stream, "id", "ts", "event"), str(tmp_path / "out"), "append", str(tmp_path / "cp")).orderBy("at").collect()
     assert got[-1]["state"] == "sent"
 
 
