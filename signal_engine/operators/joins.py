@@ -40,11 +40,15 @@ def interval_overlap(left: DataFrame, right: DataFrame, key: str, as_of: Column)
         end = F.coalesce("end", F.when(F.col("is_current"), as_of))
         return df.select(F.col(key), F.col("id").alias(f"{p}_id"), F.col("start").alias(f"{p}_s"), F.when(end.isNotNull(), F.least(end, as_of)).alias(f"{p}_e")).where(f"{p}_s IS NOT NULL AND {p}_e IS NOT NULL")
 
-    # an interval goes to each of its years and a pair counts in the year its overlap starts: a hot key is split by year
-    by_year = lambda df, p: df.where(f"{p}_s <= {p}_e").withColumn("_year", F.explode(F.sequence(F.year(f"{p}_s"), F.year(f"{p}_e"))))
-    both = by_year(side(left, "left"), "left").join(by_year(side(right, "right"), "right"), [key, "_year"])
-    both = both.withColumn("overlap_start", F.greatest("left_s", "right_s")).withColumn("overlap_end", F.least("left_e", "right_e"))
-    return both.where((F.col("overlap_start") <= F.col("overlap_end")) & (F.year("overlap_start") == F.col("_year"))).select(key, "left_id", "right_id", "overlap_start", "overlap_end")
+    # the interval that starts later goes to the year of its start, the other one to each of its years: a pair meets
+    # once, and a hot key is split by year
+    one, two = (side(df, p).where(f"{p}_s <= {p}_e") for df, p in ((left, "left"), (right, "right")))
+    starts = lambda df, p: df.withColumn("_year", F.year(f"{p}_s"))
+    covers = lambda df, p: df.withColumn("_year", F.explode(F.sequence(F.year(f"{p}_s"), F.year(f"{p}_e"))))
+    later_left = starts(one, "left").join(covers(two, "right"), [key, "_year"]).where("right_s <= left_s AND right_e >= left_s")
+    later_right = covers(one, "left").join(starts(two, "right"), [key, "_year"]).where("left_s < right_s AND left_e >= right_s")
+    both = later_left.unionByName(later_right)
+    return both.select(key, "left_id", "right_id", F.greatest("left_s", "right_s").alias("overlap_start"), F.least("left_e", "right_e").alias("overlap_end"))
 
 
 def role_proximity(left: DataFrame, right: DataFrame, key: str, as_of: Column) -> DataFrame:
