@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signal_engine.llm import ann, chat_format, decontaminate, html_extract, langid, license_scan, ngram_join, packing, token_io, url_filter
+from signal_engine.llm import ann, centroids, chat_format, decontaminate, html_extract, langid, license_scan, ngram_join, packing, periodic_runs, secret_scan, token_io, url_filter
 from signal_engine.llm.common import Scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -84,6 +84,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), Scratch(spark, "op11"), k=8, rounds=OP11_ROUNDS, seed=3)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents"), Scratch(spark, "op12")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.plant(table(spark, sf_dir, "documents"))))
+
+
+OP11_ROUNDS = 10
+
 OP6_SQL = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -114,9 +128,30 @@ FROM e GROUP BY conv_id
 """
 
 
+
+
+def _op11_sql() -> str:
+    """Lloyd's rounds, one after the other, in integers."""
+    steps = [
+        "v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::HUGEINT) AS p FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), p) - 1 AS j, p AS c FROM v QUALIFY j < 8)",
+    ]
+    near = "SELECT vec_id, p, j, d FROM (SELECT vec_id, p, j, list_sum(list_transform(list_zip(p, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::HUGEINT AS d FROM v, c{0}) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, j) = 1"
+    for r in range(OP11_ROUNDS):
+        steps += [
+            f"a{r} AS MATERIALIZED ({near.format(r)})",
+            f"s{r} AS (SELECT j, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT j, unnest(p) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY j, i)",
+            f"c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY j) USING (j))",
+        ]
+    return f"""WITH {", ".join(steps)}, z AS ({near.format(OP11_ROUNDS)})
+SELECT vec_id, j::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM z JOIN c{OP11_ROUNDS} USING (j)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_neighbours": op2_neighbours, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op6_ngram_join": op6_ngram_join, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing, "op10_chat_format": op10_chat_format}
+    return {"op1_decontaminate": op1_decontaminate, "op2_neighbours": op2_neighbours, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_license_scan": op5_license_scan, "op6_ngram_join": op6_ngram_join, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_packing": op9_packing, "op10_chat_format": op10_chat_format, "op11_centroids": op11_centroids, "op12_secrets": op12_secrets, "op13_periodic_runs": op13_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_join": OP6_SQL, "op10_chat_format": OP10_SQL}
+    return {"op6_ngram_join": OP6_SQL, "op10_chat_format": OP10_SQL, "op11_centroids": _op11_sql()}
