@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix=f"signal-engine-{uuid.uuid4().hex[:6]}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; where that is unset an own one, in local runs only."""
+    if where := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the session's checkpoint folder (an own one where none is set)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            import atexit
-            import shutil
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix=f"signal-engine-{uuid.uuid4().hex[:6]}-")
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
