@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +42,40 @@ def resolve(contacts: DataFrame, id_col: str, identities: list[str]) -> DataFram
     return contacts.select(id_col).join(comp.withColumnRenamed("node", id_col), id_col, "left").withColumn("component", F.coalesce("component", id_col))
 
 
-def unsafe_components(members: DataFrame, component: str, exact: list[str], title: str) -> DataFrame:
-    """Components whose members differ in an exact field or have no title word in common: (component, reasons)."""
-    words = F.array_distinct(F.split(F.lower(title), r"\W+"))
-    pairs = F.collect_list(words)
-    disjoint = F.exists(pairs, lambda x: F.exists(pairs, lambda y: ~F.arrays_overlap(x, y)))
-    marks = [F.when(F.count_distinct(c) > 1, F.lit(f"conflicting_{c}")) for c in exact]
-    return members.groupBy(component).agg(F.array_compact(F.array(*marks, F.when(disjoint, F.lit("disjoint_titles")))).alias("reasons")).where(F.size("reasons") > 0)
+MOST_WORDS = 10  # sets of more words are compared by their words
+
+
+def unsafe_components(members: DataFrame, component: str, exact: list[str], title: str, noise: Sequence[str] = ()) -> DataFrame:
+    """(component, reasons): components whose members differ in an exact field (case and white space aside) or two of
+    whose titles have no word in common (``noise`` words aside). Blank values and titles without words say nothing.
+
+    No pairs are made: each component keeps its distinct word sets, and a set meets all of them if as many contain one
+    of its words as there are. How many do comes from counts of sets by contained words, with alternating signs over
+    the subsets of its words; sets of more than MOST_WORDS words meet the others by their words instead. Components
+    with a word in all sets are safe at once."""
+    text = lambda c: F.nullif(F.lower(F.trim(F.regexp_replace(F.col(c).cast("string"), r"\s+", " "))), F.lit(""))
+    marks = [F.when(F.count_distinct(text(c)) > 1, F.lit(f"conflicting_{c}")) for c in exact]
+    differ = members.groupBy(component).agg(F.array_compact(F.array(*marks) if marks else F.array().cast("array<string>")).alias("reasons")).select(F.col(component).alias("_c"), F.explode("reasons").alias("reason"))
+
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}_]+"), lambda w: (w != "") & ~w.isin(list(noise)))))
+    sets = members.select(F.col(component).alias("_c"), words.alias("w")).where(F.size("w") > 0).distinct()
+    sizes = sets.groupBy("_c").agg(F.count("*").alias("n"), F.count_if(F.size("w") <= MOST_WORDS).alias("short")).where("n > 1")
+    shared = sets.select("_c", F.explode("w").alias("x")).groupBy("_c", "x").agg(F.count("*").alias("m"))
+    common = shared.join(sizes, "_c").where("m = n").select("_c").distinct()
+    open_ones = cut_lineage(sets.join(sizes, "_c").join(common, "_c", "left_anti"))
+
+    short = open_ones.where(F.size("w") <= MOST_WORDS)
+    subsets = F.transform(F.sequence(F.lit(1), F.expr("shiftleft(1, size(w)) - 1")), lambda mask: F.filter("w", lambda _, i: F.call_function("getbit", mask, i) == 1))
+    held = short.select("_c", "w", "short", F.explode(subsets).alias("part"))
+    counts = held.groupBy("_c", "part").agg(F.count("*").alias("m"))
+    met = held.join(counts, ["_c", "part"]).groupBy("_c", "w").agg(F.sum(F.when(F.size("part") % 2 == 1, F.col("m")).otherwise(-F.col("m"))).alias("met"), F.first("short").alias("short"))
+    apart = met.where("met < short").select("_c")
+
+    long = open_ones.where(F.size("w") > MOST_WORDS)
+    near = long.select("_c", "n", F.col("w").alias("v"), F.explode("w").alias("x")).join(open_ones.select("_c", "w", F.explode("w").alias("x")), ["_c", "x"]).select("_c", "n", "v", "w").distinct()
+    apart = apart.unionByName(near.groupBy("_c", "n", "v").agg(F.count("*").alias("met")).where("met < n").select("_c")).distinct()
+    found = differ.unionByName(apart.select("_c", F.lit("disjoint_titles").alias("reason")))
+    return found.groupBy(F.col("_c").alias(component)).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
 def split_unsafe(members: DataFrame, unsafe: DataFrame, component: str, id_col: str) -> DataFrame:

@@ -86,15 +86,39 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def _characters(names: DataFrame, floor: float) -> DataFrame:
-    """(name, bag, token) with the characters of each name, numbered by occurrence, and of these the rarest: two names
-    of a ratio of at least floor share one of them, as 2 x common >= floor x (both lengths)."""
-    places = lambda: F.sequence(F.lit(1), F.length("name"))
-    chars = names.select("name", F.transform(places(), lambda i: F.col("name").substr(i, F.lit(1))).alias("chars"))
-    bag = chars.select("name", F.transform("chars", lambda c, i: F.concat(c, F.size(F.filter(F.slice(F.col("chars"), F.lit(1), i + 1), lambda x: x == c)).cast("string"))).alias("bag"))
-    # common <= the other's length, so the other has at least floor / (2 - floor) of this one's characters in common
-    kept = F.size("bag") - F.ceil(F.size("bag") * (floor / (2 - floor)) - 1e-6) + 1
-    return bag.select("name", "bag", F.explode(F.slice(F.array_sort("bag", lambda a, b: F.when(a == b, 0).when(F.xxhash64(a) < F.xxhash64(b), -1).otherwise(1)), F.lit(1), kept.cast("int"))).alias("token"))
+def _bigrams(names: DataFrame) -> DataFrame:
+    """(name, n, token): a name's length and its bigrams, each numbered by occurrence."""
+    grams = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda i: F.col("name").substr(i, F.lit(2))))
+    each = names.select("name", F.length("name").alias("n"), grams.alias("gram")).groupBy("name", "n", "gram").agg(F.count("*").alias("times"))
+    return each.select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: F.concat("gram", k.cast("string")))).alias("token"))
+
+
+def name_candidates(one: DataFrame, two: DataFrame, floor: float) -> DataFrame:
+    """(name, other): pairs of the tables' distinct names (name) that can reach a matching-block ratio of floor; all
+    pairs that reach it are among them.
+
+    A ratio of floor leaves at most D = (1 - floor) x (both lengths) characters unmatched, of which the lengths tell
+    how many are left out of one name (x) and of the other (y); leaving one out costs at most two bigrams, putting one
+    in at most one. So for each pair of lengths it is known how many bigrams are common, and one of a name's
+    2x + y + 1 rarest bigrams must be among the other's 2y + x + 1 rarest ones. Pairs meet by (lengths, bigram), rarest
+    by the counts over both tables; then their common bigrams are counted. Equal names meet as they are."""
+    left, right = one.select("name").where("name <> ''").distinct(), two.select("name").where("name <> ''").distinct()
+    tokens = [_bigrams(side) for side in (left, right)]
+    uses = tokens[0].select("token").unionByName(tokens[1].select("token")).groupBy("token").agg(F.count("*").alias("uses"))
+
+    def prefixes(side: DataFrame) -> DataFrame:
+        bags = side.join(uses, "token").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("bag")).select("name", "n", F.transform("bag", lambda t: t["token"]).alias("bag"))
+        lengths = F.sequence(F.ceil(F.col("n") * floor / (2 - floor) - 1e-6).cast("int"), F.floor(F.col("n") * (2 - floor) / floor + 1e-6).cast("int"))
+        near = bags.select("*", F.explode(lengths).alias("m"))
+        room = F.floor((1 - floor) * (F.col("n") + F.col("m")) + 1e-6).cast("int")
+        near = near.withColumn("d", room - (room + F.col("n") + F.col("m")) % 2).where("d >= abs(n - m) AND d > 0")
+        near = near.withColumn("cost", ((3 * F.col("d") + F.col("n") - F.col("m")) / 2).cast("int")).withColumn("least", F.col("n") - 1 - F.col("cost"))
+        # lengths that guarantee no common bigram meet as they are
+        return near.select("name", "n", "m", "bag", "least", F.explode(F.when(F.col("least") > 0, F.slice("bag", 1, F.col("cost") + 1)).otherwise(F.array(F.lit("")))).alias("token"))
+
+    a, b = prefixes(tokens[0]), prefixes(tokens[1]).select(F.col("name").alias("other"), F.col("n").alias("m"), F.col("m").alias("n"), F.col("bag").alias("other_bag"), "token")
+    met = a.join(b, ["n", "m", "token"]).where(F.size(F.array_intersect("bag", "other_bag")) >= F.col("least")).select("name", "other").distinct()
+    return met.unionByName(left.join(right, "name").select("name", F.col("name").alias("other"))).distinct()
 
 
 def layered_match(rows: DataFrame, known: DataFrame, floor: float = 0.85) -> DataFrame:
@@ -103,9 +127,7 @@ def layered_match(rows: DataFrame, known: DataFrame, floor: float = 0.85) -> Dat
     by_apex = rows.where("apex <> ''").join(known.where("apex <> ''").groupBy("apex").agg(F.min("known_id").alias("known_id")), "apex").select("id", "known_id", F.lit("apex").alias("reason"), F.lit(1.0).alias("ratio"))
     rest = rows.join(by_apex.select("id"), "id", "left_anti").where("name <> ''")
     first = known.where("name <> ''").groupBy("name").agg(F.min("known_id").alias("known_id"))
-    one, two = _characters(rest.select("name").distinct(), floor), _characters(first, floor).withColumnsRenamed({"name": "other", "bag": "other_bag"})
-    enough = 2 * F.size(F.array_intersect("bag", "other_bag")) >= floor * (F.size("bag") + F.size("other_bag")) - 1e-6
-    pairs = one.join(two, "token").where(enough).select("name", "other").distinct()
+    pairs = name_candidates(rest, first, floor)
     scored = pairs.withColumn("ratio", sequence_ratio(F.col("name"), F.col("other"))).where(F.col("ratio") >= floor).join(first.withColumnRenamed("name", "other"), "other")
     best = scored.groupBy("name").agg(F.max_by(F.struct("known_id", "ratio"), F.struct("ratio", -F.col("known_id"))).alias("best"))
     by_name = rest.join(best, "name").select("id", "best.known_id", F.lit("name").alias("reason"), "best.ratio").distinct()

@@ -61,49 +61,6 @@ def best_cover(covers: DataFrame) -> DataFrame:
     return covers.orderBy(F.desc("covered"), F.asc("cost"), F.asc("mask")).limit(1)
 
 
-def farthest_sample(rows: list[tuple[int, frozenset]], size: int) -> list[int]:
-    """Farthest-point sample of few token sets: the rarest first, then the largest least Jaccard distance."""
-    from collections import Counter
-
-    counts = Counter(t for _, s in rows for t in s)
-    left = {i: s for i, s in rows}
-    if not left:
-        return []
-    first = min(left, key=lambda i: (-sum(1 / counts[t] for t in left[i]), i))
-    chosen, near = [first], {i: 1.0 for i in left}
-    sets = dict(left)
-    while len(chosen) < min(size, len(sets)):
-        last = sets[chosen[-1]]
-        for i, s in sets.items():
-            near[i] = min(near[i], 1 - len(s & last) / len(s | last) if s | last else 0.0)
-        chosen.append(min((i for i in sets if i not in chosen), key=lambda i: (-near[i], i)))
-    return chosen
-
-
-def greedy_cover(sets: dict[str, set], size: int) -> list[str]:
-    """Greedy choice of the sets that add most."""
-    have: set = set()
-    out: list[str] = []
-    while len(out) < size and (best := min((k for k in sets if k not in out), key=lambda k: (-len(sets[k] - have), k), default=None)) and sets[best] - have:
-        out.append(best)
-        have |= sets[best]
-    return out
-
-
-def topological_order(edges: list[tuple[str, str]]) -> list[str]:
-    """Nodes with every predecessor first; raises on a cycle."""
-    from graphlib import CycleError, TopologicalSorter
-
-    graph: dict[str, set] = {}
-    for before, after in edges:
-        graph.setdefault(after, set()).add(before)
-        graph.setdefault(before, set())
-    try:
-        return list(TopologicalSorter(graph).static_order())
-    except CycleError as e:
-        raise ValueError(f"cycle: {e.args[1]}") from e
-
-
 def cost_receipt(calls: DataFrame, operation: str, credits: str, hit: Column) -> DataFrame:
     """Per operation: calls, credits (unknown if any call's is), hits, credits per hit, and whether to cut it."""
     from signal_engine.operators.signals import null_sum

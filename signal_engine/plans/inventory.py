@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from signal_engine.catalogue import register, table
 from signal_engine.functions import text as tx
-from signal_engine.operators import enrichment, evidence, joins, portfolio, ranking, scoring, sets, signals
+from signal_engine.operators import enrichment, evidence, joins, ranking, scoring, sets, signals
 from signal_engine.sources import readers, writers
 from signal_engine.streaming import feeds
 
@@ -99,9 +99,6 @@ register("icp_bands", "SELECT c_custkey, CASE WHEN c_acctbal / 100 >= 60 THEN 'h
 register("fallback_rank", "SELECT p_partkey, round(0.6 * p_size / 50.0 + 0.25 * (p_partkey % 10) / 10.0 + 0.15 * (p_partkey % 3) / 3.0, 6) AS score FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", F.round(ranking.fallback_score(F.col("p_size") / 50.0, F.col("p_partkey") % 10 / 10.0, F.col("p_partkey") % 3 / 3.0), 6).alias("score"))
 )
-register("best_cover", "SELECT 7 AS mask, 6.0::DOUBLE AS cost, 3 AS covered")(
-    lambda s, d: portfolio.best_cover(portfolio.set_covers(s.createDataFrame([("u1", "a"), ("u2", "b"), ("u3", "c")], "unit string, route string"), s.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "route string, credits double"), ["a", "b", "c"]))
-)
 register("role_similarity", "SELECT p_partkey, 0.5::DOUBLE AS s FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", tx.role_similarity(F.lit("Senior Engineer"), F.lit("Software Engineer")).alias("s")))
 register("suspicious_domains", "SELECT page_id FROM pages WHERE false")(lambda s, d: table(s, d, "pages").where(tx.suspicious_domain(tx.host_of(F.col("url"))) == "content_platform").select("page_id"))
 register("set_dedupe_keep_order", "SELECT c_custkey, ['a', 'B', 'c'] AS kept FROM customer")(

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from signal_engine.operators import enrichment, entity, joins, portfolio, ranking, scoring, sets
+from signal_engine.operators import enrichment, entity, joins, ranking, scoring, sets
 from signal_engine.sources import readers, writers
 
 
@@ -66,12 +66,7 @@ def test_receipts_and_ttl(spark):
     assert sorted(r["call_key"] for r in answered.collect()) == ["a", "c"] and sorted(r["call_key"] for r in to_run.collect()) == ["b", "d"]
 
 
-def test_driver_side_choices():
-    assert portfolio.greedy_cover({"a": {1, 2}, "b": {2, 3, 4}, "c": {1}}, 3) == ["b", "a"]
-    assert portfolio.topological_order([("a", "b"), ("b", "c")]) == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        portfolio.topological_order([("a", "b"), ("b", "a")])
-    assert portfolio.farthest_sample([(1, frozenset("ab")), (2, frozenset("ab")), (3, frozenset("xyz"))], 2) == [3, 1]
+def test_path_weights_are_checked():
     with pytest.raises(ValueError):
         scoring.check_path_weights({**scoring.PATH_WEIGHTS, "work_overlap": 5})
 
