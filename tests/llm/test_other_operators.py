@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def test_neighbours(spark, scratch):
     rows += [(800, None, "x"), (801, [0.0] * 8, "x"), (802, [float("nan")] + [1.0] * 7, "x"), (803, [None] + [1.0] * 7, "x"), (804, [1.0, 2.0], "x"), (900, rows[0][1], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string")
     got = {}
-    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, scratch("t2"), leaf_rows=20, trees=8, search_points=3000, block_queries=3).collect():
+    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, scratch("t2"), leaf_rows=20, trees=8, search_points=3000, block_leaves=300).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     good = {i: np.asarray(v) for i, v, _ in rows if i < 800 or i == 900}
     hits = total = 0
@@ -133,6 +134,46 @@ def test_neighbours_at_the_registered_settings(spark, scratch):
     assert hits / 800 >= 0.9
 
 
+def recall_of(spark, scratch, vectors, step, **settings):
+    ids = np.arange(len(vectors))
+    df = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), vectors.shape[1]).cast(pa.list_(pa.float32()))}))
+    report, got = {}, {}
+    for r in ann.neighbours(df, F.col("vec_id") % step == 0, scratch("t2"), report=report, **settings).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q in range(0, len(vectors), step):
+        d = ((vectors - vectors[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(set(np.argpartition(d, 10)[:10].tolist()) & got[q]) / 10)
+    return np.asarray(hits), report
+
+
+def test_recall_holds_on_a_larger_table_without_structure(spark, scratch):
+    vectors = np.random.default_rng(4).normal(size=(50_000, 64)).astype(np.float32)
+    hits, report = recall_of(spark, scratch, vectors, 500)
+    assert hits.mean() >= 0.9 and np.mean(hits < 0.7) < 0.1, (hits.mean(), report)
+
+
+def test_the_budget_is_small_where_vectors_have_structure(spark, scratch):
+    rng = np.random.default_rng(6)
+    vectors = (rng.normal(size=(50_000, 4)) @ rng.normal(size=(4, 64))).astype(np.float32)
+    hits, report = recall_of(spark, scratch, vectors, 500)
+    assert hits.mean() >= 0.9 and report["budget"] < 20_000, (hits.mean(), report)
+
+
+def test_needed_points_are_those_of_the_search():
+    rng = np.random.default_rng(8)
+    sample = rng.normal(size=(900, 6)).astype(np.float32)
+    forest = ann.grow_forest(sample, 5, 9)
+    leaves = ann.leaves_of(forest, sample)
+    sizes = np.bincount(leaves.ravel(), minlength=len(forest.leaf_tree))
+    for q in range(20):
+        needed = ann.needed_points(forest, sample[q], sizes, leaves[100:140])
+        for budget in (1, 50, 400):
+            taken = set(ann.search(forest, sample[q], sizes, budget))
+            assert [bool(taken & set(row)) for row in leaves[100:140].tolist()] == (needed <= budget).tolist()
+
+
 PAGE = (
     '<html><head><title>T</title><style>p{}</style></head><body><nav><a>Home</a> <a>News</a></nav><div class="cookie-notice">We use cookies here for you</div>'
     '<article><h1>A &amp; B</h1><p>First   para<b>graph</b> &eacute;.<br>Next.<p>Short.</p><aside>Advert</aside><script>x="</p>"</script><div id="comments"><p>I am a reader with many words to say here</p></div>'
