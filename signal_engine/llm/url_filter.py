@@ -1,34 +1,34 @@
-"""URL filtering by rules, and beyond them by a path-template tree.
-
-Every url becomes a host and a path. Rules (host, path prefix, verdict) come first. The urls that a rule
-judged are the labelled rows of the method: per host, paths form a tree of segments; segments that look
-variable (numbers, identifiers, dates, long slugs) and rare children of very broad nodes become wildcards;
-labelled branches whose block rates do not differ significantly from their siblings' are merged. Hosts without
-a rule learn from the others: the deepest path prefix that rules judged on at least ``MIN_HOSTS`` hosts (an inner
-one only if it was judged in two branches or a variable one: one branch says nothing of its siblings) gives the
-pooled rate r, with one vote a host (its block rate), smoothed as (votes + a) / (hosts + 2 a), else r is 1/2. A
-url is rejected when its template's purity with r as prior, (blocked + 2 a r) / (labelled + 2 a), reaches a
-threshold. Only counts per template are shuffled; urls meet their template again by a join on host and
-generalised path.
-
-Defined results: a null url or one without ``://`` has empty host and path, no rule and the verdict allow;
-a url whose template and pooled prefixes are without labelled urls is allowed; equal urls get equal rows; an empty table gives an empty
-result; other columns are ignored.
+"""URL filtering by rules, and beyond them by a path-template tree for each host.
+
+Every url becomes a host and a path. Rules (host, path prefix, verdict) come first; the urls that a rule judged are
+the labelled rows of the method. Per host, paths form a tree of segments; segments that look variable (numbers,
+identifiers, dates, long slugs) are wildcards from the start. From the root down, a node's branches are grouped by
+what follows them most (a variable segment, the end, or a certain name), and those of a group are merged into one
+wildcard if they are statistically like the others of it: what follows them is distributed alike (a chi-square test
+over the shapes of the next segment, the end being one) and, where both sides have labelled urls, their block rates do
+not differ significantly. A merged branch has the urls and the labels of all its parts, so labels reach branches
+that no rule judges. A template is rejected when it has labels and their purity, smoothed by the rate of its parent
+node, (blocked + 2 a r) / (labelled + 2 a) with r = (parent's blocked + a) / (parent's labelled + 2 a), reaches a
+threshold. Hosts without a judged url keep the verdict allow: no label speaks for them.
+
+Only counts per shape are shuffled. The tree takes a round of joins for each level at which a host has two different
+segments; levels of plain chains cost nothing.
+
+Defined results: a null url or one without ``://`` has empty host and path, no rule and the verdict allow; equal urls
+get equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signal_engine.llm.common import Scratch
 
-MIN_HOSTS = 3
-MAX_CHILDREN = 50
-RARE_SHARE = 0.02
 Z_SIMILAR = 1.96
+END = "/"  # what follows a path's last segment; no segment holds a slash
 PRIOR = 1.0
 REJECT_AT = 0.8
 
@@ -68,21 +68,30 @@ def shape_of(path: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(path, r"^/", ""), "/"), segment_shape)
 
 
-def _wildcard_at(segments: Column, level: int) -> Column:
-    return F.transform(segments, lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))
-
-
-def pooled_rates(tree: DataFrame) -> DataFrame:
-    """(host, shape, pooled) from rows (host, shape, k, b): the rate of the deepest prefix judged on enough hosts."""
-    ended = F.concat("shape", F.array(F.lit("/")))  # the end is a branch of its own; no segment holds a slash
-    prefixes = F.aggregate(ended, F.array().cast("array<bigint>"), lambda acc, s: F.concat(acc, F.array(F.xxhash64(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")), s))))
-    each = tree.select("host", "shape", "k", "b", ended.alias("ended"), F.posexplode(prefixes).alias("depth", "prefix"))
-    each = each.select("host", "shape", "k", "b", "depth", "prefix", F.get("ended", F.col("depth") + 1).alias("branch"))
-    votes = each.where("k > 0").groupBy("prefix", "host").agg((F.sum("b") / F.sum("k")).alias("vote"), F.min("branch").alias("first"), F.max("branch").alias("last"))
-    votes = votes.groupBy("prefix").agg(F.count("*").alias("hosts"), F.sum("vote").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    broad = F.col("first").isNull() | (F.col("first") != F.col("last")) | F.col("first").startswith("*")
-    votes = votes.where((F.col("hosts") >= MIN_HOSTS) & broad).select("prefix", ((F.col("votes") + PRIOR) / (F.col("hosts") + 2 * PRIOR)).alias("rate"))
-    return each.join(votes, "prefix").groupBy("host", "shape").agg(F.max_by("rate", "depth").alias("pooled"))
+def _merged(rows: DataFrame) -> DataFrame:
+    """(host, parent, child, wild) of the branches of a level that become the wildcard ``wild``. rows: (host, parent,
+    child, next, n, k, b)."""
+    kind = F.when(F.col("next").startswith("*"), "*").otherwise(F.col("next"))
+    mostly = rows.groupBy("host", "parent", "child", kind.alias("kind")).agg(F.sum("n").alias("n")).groupBy("host", "parent", "child").agg(F.min(F.struct((-F.col("n")).alias("n"), "kind")).alias("m")).select("host", "parent", "child", F.col("m.kind").alias("kind"))
+    rows = rows.join(mostly, ["host", "parent", "child"])
+    group = ["host", "parent", "kind"]
+    node = rows.groupBy(group).agg(F.sum("n").alias("pn"), F.sum("k").alias("pk"), F.sum("b").alias("pb"), F.count_distinct("next").alias("kinds"), F.count_distinct("child").alias("children")).where("children > 1")
+    after = rows.groupBy(*group, "next").agg(F.sum("n").alias("nn"))
+    cells = rows.groupBy(*group, "child", "next").agg(F.sum("n").alias("o"), F.sum("k").alias("k"), F.sum("b").alias("b"))
+    cells = cells.withColumn("cn", F.sum("o").over(Window.partitionBy(*group, "child"))).join(after, [*group, "next"]).join(node, group)
+    # chi-square of a branch against its siblings: all shapes as if absent, corrected for those it has
+    rest = F.col("pn") - F.col("cn")
+    expected = F.col("cn") * F.col("nn") / F.col("pn")
+    seen = (F.col("o") * F.col("o") - 2 * F.col("o") * expected) * F.col("pn") * F.col("pn") / (F.col("nn") * F.col("cn") * rest)
+    branch = cells.groupBy(*group, "child", "cn", "pn", "pk", "pb", "kinds").agg(F.sum("k").alias("ck"), F.sum("b").alias("cb"), F.sum(seen).alias("seen"))
+    free = F.col("kinds") - 1
+    alike = F.col("cn") * F.col("pn") / rest + F.col("seen") <= free + Z_SIMILAR * F.sqrt(2.0 * free) + 1e-9
+    rest_k, rest_b, rate = F.col("pk") - F.col("ck"), F.col("pb") - F.col("cb"), F.try_divide("pb", "pk")
+    spread = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), F.col("ck")) + F.try_divide(F.lit(1), rest_k)))
+    apart = F.abs(F.try_divide("cb", "ck") - F.try_divide(rest_b, rest_k))
+    agree = F.when((F.col("ck") > 0) & (rest_k > 0), apart <= Z_SIMILAR * spread + 1e-9).otherwise(True)
+    similar = branch.where(alike & agree).select(*group, "child").withColumn("m", F.count("*").over(Window.partitionBy(*group)))
+    return similar.where("m > 1").select("host", "parent", "child", F.when(F.col("kind") == "*", "*").otherwise(F.concat(F.lit("*>"), "kind")).alias("wild"))
 
 
 def templates(labelled: DataFrame, scratch: Scratch) -> DataFrame:
@@ -91,29 +100,22 @@ def templates(labelled: DataFrame, scratch: Scratch) -> DataFrame:
         labelled.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("verdict").alias("k"), F.count_if(F.col("verdict") == "block").alias("b")).withColumn("template", F.col("shape")),
         "shapes",
     )
-    shapes, level = tree, 0
-    while True:
-        level += 1
-        here = F.col("template")
-        parent = F.array_join(F.slice(here, 1, level - 1), "/")
-        # deeper than the last node with two templates below it nothing can be merged
-        if not tree.where(F.size(here) >= level).groupBy("host", parent).agg(F.count_distinct(here).alias("c")).where("c > 1").head(1):
-            break
-        keyed = tree.withColumn("parent", parent).withColumn("child", F.when(F.size(here) >= level, F.element_at(here, level)))
-        child = keyed.where("child IS NOT NULL").groupBy("host", "parent", "child").agg(F.sum("n").alias("cn"), F.sum("k").alias("ck"), F.sum("b").alias("cb"))
-        node = child.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("cn").alias("pn"), F.sum("ck").alias("pk"), F.sum("cb").alias("pb"))
-        rest_k, rest_b, rate = F.col("pk") - F.col("ck"), F.col("pb") - F.col("cb"), F.try_divide("pb", "pk")
-        spread = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), F.col("ck")) + F.try_divide(F.lit(1), rest_k)))
-        apart = F.abs(F.try_divide("cb", "ck") - F.try_divide(rest_b, rest_k))
-        similar = F.when((F.col("ck") > 0) & (rest_k > 0), apart <= Z_SIMILAR * spread)
-        variable = (F.col("children") > MAX_CHILDREN) & (F.col("cn") < RARE_SHARE * F.col("pn"))
-        merged = child.join(node, ["host", "parent"]).where(F.coalesce(similar, variable)).select("host", "parent", "child", F.lit(True).alias("wild"))
-        new = F.when(F.col("wild"), _wildcard_at(here, level)).otherwise(here)
-        tree = scratch.write(keyed.join(merged, ["host", "parent", "child"], "left").select("host", "shape", "n", "k", "b", new.alias("template")), f"level-{level}")
+    here = F.col("template")
+    # levels at which a host has two segments; a path's end is no segment, and no branch
+    by_level = tree.select("host", F.posexplode("shape").alias("level", "s")).groupBy("host", "level").agg((F.min("s") != F.max("s")).alias("open")).where("open")
+    for r in by_level.select("level").distinct().orderBy("level").toLocalIterator():  # one row a level
+        level = r["level"] + 1
+        keyed = tree.withColumn("parent", F.array_join(F.slice(here, 1, level - 1), "/")).withColumn("child", F.get(here, F.lit(level - 1))).withColumn("next", F.coalesce(F.get(here, F.lit(level)), F.lit(END)))
+        wild = _merged(keyed.where("child IS NOT NULL"))
+        new = F.when(F.col("wild").isNotNull(), F.transform(here, lambda s, i: F.when(i == level - 1, F.col("wild")).otherwise(s))).otherwise(here)
+        tree = scratch.write(keyed.join(wild, ["host", "parent", "child"], "left").select("host", "shape", "n", "k", "b", new.alias("template")), f"level-{level}")
     stats = tree.groupBy("host", "template").agg(F.sum("k").alias("labelled"), F.sum("b").alias("blocked"))
-    purity = (F.col("blocked") + 2 * PRIOR * F.coalesce("pooled", F.lit(0.5))) / (F.col("labelled") + 2 * PRIOR)
-    rows = tree.select("host", "shape", "template").join(stats, ["host", "template"]).join(pooled_rates(shapes), ["host", "shape"], "left")
-    return rows.withColumn("purity", purity).drop("pooled")
+    above = F.slice(here, 1, F.greatest(F.size(here) - 1, F.lit(0)))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(here)), lambda i: F.xxhash64(F.slice(here, 1, i)))
+    parents = tree.where("k > 0").select("host", "k", "b", F.explode(prefixes).alias("above")).groupBy("host", "above").agg(F.sum("k").alias("pk"), F.sum("b").alias("pb"))
+    rows = tree.select("host", "shape", "template", F.xxhash64(above).alias("above")).join(stats, ["host", "template"]).join(parents, ["host", "above"], "left")
+    r = (F.coalesce("pb", F.lit(0)) + PRIOR) / (F.coalesce("pk", F.lit(0)) + 2 * PRIOR)
+    return rows.select("host", "shape", "template", "labelled", "blocked", ((F.col("blocked") + 2 * PRIOR * r) / (F.col("labelled") + 2 * PRIOR)).alias("purity"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], scratch: Scratch, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -121,7 +123,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], scratch: Scra
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("k"), host.alias("host"), path.alias("path")).withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path")))
     known = templates(rows.select("host", "shape", F.col("found.verdict").alias("verdict")), scratch)
-    verdict = F.coalesce(F.col("found.verdict"), F.when((F.col("purity") >= REJECT_AT) & (F.col("host") != ""), F.lit("block")).otherwise("allow"))
+    verdict = F.coalesce(F.col("found.verdict"), F.when((F.col("labelled") > 0) & (F.col("purity") >= REJECT_AT - 1e-9) & (F.col("host") != ""), F.lit("block")).otherwise("allow"))
     return rows.join(known, ["host", "shape"], "left").select(
         F.col("k").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), F.array_join("template", "/").alias("template"), "purity"
     )

@@ -254,18 +254,111 @@ def test_url_filter(spark, scratch):
     assert got[0] == ("a.example.com", "/en/1", "com/en/", "block") and got[1] == ("a.example.com", "/en/77", "example.com/en/7", "allow")
     assert got[2] == ("x.example.net", "/de/81", "example.net/de/8", "block") and got[3] == ("xcom", "/en/1", None, "allow") and got[4][2:] == ("org/es/", "block")
     assert got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow") and got[7] == ("h.com", "", None, "allow") and got[8][2] == "net/de/" and got[9][:2] == ("", "")
-    assert got[19] == ("big.com", "/fr/1", None, "allow")
+    assert got[19] == ("big.com", "/fr/1", None, "block")  # followed like /en/ on its host, whose urls are all blocked
     assert url_filter.judge(df.where("false"), rules, scratch("t7")).count() == 0
 
 
-def test_url_filter_reaches_urls_without_a_rule(spark, scratch):
-    rules = (("com", "/en/", "block"), ("net", "/de/", "allow"), ("org", "/a/b/c/d/e/bad", "block"))
-    urls = [f"http://h{i}.com/en/{j}" for i in range(8) for j in range(3)] + [f"http://h{i}.net/de/{j}" for i in range(8) for j in range(3)] + [f"http://h{i}.org/a/b/c/d/e/bad/{j}" for i in range(8) for j in range(3)]
-    asked = ["http://casino.info/en/5", "http://casino.info/fr/5", "http://casino.info/de/5", "http://h1.net/en/9", "http://x.info/a/b/c/d/e/bad/1", "http://x.info/a/b/c/d/e/good/1", "http://x.info/a/b/c/d/e/f/g/h/i/j/k"]
-    df = spark.createDataFrame(list(enumerate(asked + urls)), "page_id long, url string")
-    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules, scratch("t7")).collect()}
-    assert len(got) == len(df.collect()) and all(got[i][0] is None for i in range(len(asked)))
-    assert [got[i][1] for i in range(len(asked))] == ["block", "allow", "allow", "block", "block", "allow", "allow"]
+def brute_tree(rows):
+    """{(host, shape): (template, labelled, blocked, purity)} of rows (host, shape, verdict): the tree, node by node."""
+    out = {}
+    for host in {h for h, _, _ in rows}:
+        own = [(s, v, list(s)) for h, s, v in rows if h == host]
+        for level in range(max((len(s) for s, _, _ in own), default=0)):
+            nodes = {}
+            for row in own:
+                if len(row[2]) > level:
+                    nodes.setdefault(tuple(row[2][:level]), {}).setdefault(row[2][level], []).append(row)
+            grouped = {}
+            for parent, branches in nodes.items():
+                for c, rs in branches.items():
+                    kinds = Counter("*" if len(r[2]) > level + 1 and r[2][level + 1].startswith("*") else r[2][level + 1] if len(r[2]) > level + 1 else "/" for r in rs)
+                    grouped.setdefault((parent, min(kinds, key=lambda x: (-kinds[x], x))), {})[c] = rs
+            for (_, kind), branches in grouped.items():
+                if len(branches) < 2:
+                    continue
+                after = {c: Counter(r[2][level + 1] if len(r[2]) > level + 1 else "/" for r in rs) for c, rs in branches.items()}
+                kinds, wild = set().union(*after.values()), []
+                for c, rs in branches.items():
+                    others = [r for d, ds in branches.items() if d != c for r in ds]
+                    total = len(rs) + len(others)
+                    chi = 0
+                    for x in kinds:
+                        both = after[c][x] + sum(after[d][x] for d in branches if d != c)
+                        for size, seen in ((len(rs), after[c][x]), (len(others), both - after[c][x])):
+                            chi += (seen - size * both / total) ** 2 / (size * both / total)
+                    mine, theirs = [r[1] == "block" for r in rs if r[1]], [r[1] == "block" for r in others if r[1]]
+                    agree = True
+                    if mine and theirs:
+                        p = (sum(mine) + sum(theirs)) / (len(mine) + len(theirs))
+                        agree = abs(sum(mine) / len(mine) - sum(theirs) / len(theirs)) <= 1.96 * (p * (1 - p) * (1 / len(mine) + 1 / len(theirs))) ** 0.5 + 1e-9
+                    if agree and chi <= len(kinds) - 1 + 1.96 * (2 * (len(kinds) - 1)) ** 0.5 + 1e-9:
+                        wild.append(c)
+                if len(wild) > 1:
+                    for c in wild:
+                        for r in branches[c]:
+                            r[2][level] = "*" if kind == "*" else f"*>{kind}"
+
+        def rate(keep, own=own):
+            marks = [v == "block" for _, v, t in own if v and keep(t)]
+            return len(marks), sum(marks)
+
+        for s, _, t in own:
+            k, b = rate(lambda x, t=t: x == t)
+            pk, pb = rate(lambda x, t=t: x[: len(t) - 1] == t[:-1])
+            out[host, s] = (t, k, b, (b + 2 * (pb + 1) / (pk + 2)) / (k + 2))
+    return out
+
+
+def test_templates_equal_a_brute_force_tree(spark, scratch):
+    rng = __import__("random").Random(21)
+    rows = []
+    for h in range(12):
+        for section in rng.sample(["news", "shop", "item", "user", "tag", "a", "b"], rng.randint(1, 5)):
+            tails = rng.choice([[["*"]], [["*"], ["*.html"]], [["x"], ["y"], []], [["list", "*"], ["view", "*"], ["list"]]])
+            marks = rng.choice([[None], ["block"], ["allow"], ["block", "allow", None], [None, None, "block"]])
+            rows += [(f"h{h}", (section, *rng.choice(tails)), rng.choice(marks)) for _ in range(rng.randint(1, 25))]
+    df = spark.createDataFrame([(h, list(s), v) for h, s, v in rows], "host string, shape array<string>, verdict string")
+    got = {(r["host"], tuple(r["shape"])): (r["template"], r["labelled"], r["blocked"], r["purity"]) for r in url_filter.templates(df, scratch("t7")).collect()}
+    expected = brute_tree(rows)
+    assert set(got) == set(expected)
+    for key, (template, k, b, purity) in expected.items():
+        assert got[key][:3] == (template, k, b) and abs(got[key][3] - purity) < 1e-9, key
+    assert any("*" in t and t[0] == "*" for t, *_ in expected.values()) and any(t[0] != "*" for t, *_ in expected.values())
+
+
+def test_the_tree_decides_on_urls_without_a_rule(spark, scratch):
+    rules = (("com", "/en/", "block"), ("net", "/de/", "allow"), ("x.org", "/spam/", "block"), ("x.org", "/fine/", "allow"))
+    urls = [f"http://a.com/en/{j}" for j in range(9)] + [f"http://b.net/de/{j}" for j in range(9)] + [f"http://x.org/{p}/{j}.html" for p in ("spam", "fine") for j in range(9)]
+    asked = [f"http://a.com/fr/{j}" for j in range(4)] + [f"http://b.net/fr/{j}" for j in range(4)] + ["http://c.info/en/5", "http://a.com/about/us/team/jobs", "http://x.org/else/4.html"]
+    plain = [f"http://a.com/{w}/page/{w}" for w in ("docs", "help")] * 12
+    df = spark.createDataFrame(list(enumerate(asked + urls + plain)), "page_id long, url string")
+    rows = {r["page_id"]: r for r in url_filter.judge(df, rules, scratch("t7")).collect()}
+    assert len(rows) == len(asked + urls + plain) and all(rows[i]["rule"] is None for i in range(len(asked)))
+    # /fr/ is followed like /en/ on the same host, so the labels of /en/ reach it: blocked there, allowed on the other host
+    assert [rows[i]["verdict"] for i in range(8)] == ["block"] * 4 + ["allow"] * 4 and rows[0]["template"] == "*/*"
+    assert rows[8]["verdict"] == "allow"  # no label on its host
+    assert rows[10]["verdict"] == "allow"  # x.org's branches differ by their labels
+    assert {rows[len(asked) + len(urls) + j]["verdict"] for j in range(24)} == {"allow"} and rows[len(asked) + len(urls)]["template"] != "*/*"
+
+
+def test_long_paths_and_repeated_urls(spark, scratch):
+    deep = "http://h.com/" + "/".join(["seg"] * 3000)
+    urls = [deep, deep, deep + "/x", "http://h.com/" + "é" * 5000, "http://h.com/en/1", "http://h.com/en/1"]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), (("com", "/en/", "block"),), scratch("t7")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(6)) and [r["verdict"] for r in sorted(got, key=lambda r: r["page_id"])][4:] == ["block"] * 2
+
+
+def test_url_columns_equal_sql(spark, scratch):
+    import duckdb
+
+    from signal_engine.llm import queries
+
+    got = {(r["page_id"], r["host"], r["path"], r["rule"]) for r in queries.op7_url_filter(spark, "/root/testdata/sf0.01").collect()}
+    rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(queries.URL_RULES, key=lambda r: -len(r[0] + r[1]))) + " END"
+    sql = f"""WITH x AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] END AS r FROM '/root/testdata/sf0.01/pages.parquet'),
+    y AS (SELECT page_id, translate(coalesce(regexp_extract(r, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM x)
+    SELECT page_id, host, path, {rule} FROM y"""
+    assert got == set(duckdb.sql(sql).fetchall())
 
 
 def test_pipeline_stages(spark, tmp_path):
