@@ -234,7 +234,72 @@ def test_held_out_pages():
     assert sum(scores) / len(scores) > 0.97, scores
 
 
-@pytest.mark.parametrize("piece", ['<a x="', "<a x=", "<!x ", "</script", "<div>", "<p>a</b>", "<script></script", "<!-- ", "<div class='ad", "</p>"])
+def _words(name, n):
+    return " ".join(f"{name}{k}" for k in range(n))
+
+
+A, B, C, D = _words("alpha", 40), _words("beta", 25), _words("gamma", 18), _words("delta", 7)
+OTHER_LAYOUTS = (
+    # blog, byline link, tags, author box, comments with links
+    (f"<body><div id=top><a href=/>Blog</a></div><div class='post hentry'><h1>Soup day</h1><p class=meta>By <a href=/a>Ann Lee</a> on Monday</p><p>{A}</p><p>{D}</p><p>{B}</p><p class=tags><a>soup</a> <a>food</a></p></div><div class=thread><h3>Two replies</h3><div><a>Bob</a><p>{C}</p></div><div><a>Cy</a><p>{D}</p></div></div><footer>All rights</footer></body>", f"Soup day By Ann Lee on Monday {A} {D} {B}"),
+    # news: standfirst, figure, related inside, newsletter form in the article
+    (f"<body><header><a>Paper</a><nav><a>World</a><a>Sport</a></nav></header><main><article><h1>Flood warning eased</h1><p>{C}</p><figure><img src=x><figcaption>River at dawn</figcaption></figure><p>{A}</p><form><p>Get our mail every day</p><input><button>Join</button></form><p>{B}</p><p>{D}</p></article></main><footer><p>Printed somewhere</p><a>About</a></footer></body>", f"Flood warning eased {C} River at dawn {A} {B} {D}"),
+    # docs page with sidebar toc and code
+    (f"<body><div class=navbar><a>Docs</a></div><div class=sidebar><ul><li><a>Install</a><li><a>Use</a></ul></div><div role=main class=document><h1>Install</h1><p>{B}</p><pre>run it now</pre><p>{A}</p><h2>Next</h2><p>{D}</p></div><div class=pager><a>Previous</a> <a>Next</a></div></body>", f"Install {B} run it now {A} Next {D}"),
+    # plain old page with font tags and comments below
+    (f"<body><center><a>Home</a> | <a>Links</a></center><h1>My trip</h1>{A}<br><br>{B}<p>{C}</p><hr><a>back to the top</a></body>", f"My trip {A} {B} {C}"),
+    # forum-ish: question content, answers as readers' comments
+    (f"<body><nav><a>Q</a></nav><article class=question><h1>Why rain</h1><p>{A}</p><p>{D}</p></article><section id=comments><article class=comment><p>{B}</p></article></section></body>", f"Why rain {A} {D}"),
+    # teaser list after
+    (f"<body><article><h1>One thing</h1><p>{A}</p><p>{B}</p></article><h2>More stories</h2><ul><li><a>{_words('teaser', 6)}</a><p>{C}</p></li><li><a>{_words('other', 5)}</a><p>{D}</p></li></ul></body>", f"One thing {A} {B}"),
+    # cookie overlay, aria-hidden, hidden
+    (f"<body><div id=cookie-consent><p>{C}</p><button>OK</button></div><div hidden>{C}</div><div aria-hidden=true>{D}</div><div id=content><h2>Title two</h2><p>{A}</p><div class=ad-unit>{D}</div><p>{B}</p></div></body>", f"Title two {A} {B}"),
+    # table data in the article
+    (f"<body><main><h1>Prices</h1><p>{B}</p><table><tr><th>Item</th><th>Cost</th></tr><tr><td>Tea</td><td>2</td></tr></table><p>{A}</p></main><footer>x y z</footer></body>", f"Prices {B} Item Cost Tea 2 {A}"),
+    # list article
+    (f"<body><div class=menu><a>a</a></div><div class=entry-content><h1>Five tips</h1><ol><li>{D}</li><li>{C}</li><li>{D}</li></ol><p>{A}</p></div><div class=share>Share this with friends</div></body>", f"Five tips {D} {C} {D} {A}"),
+    # no containers with div soup & login form
+    (f"<body><form><p>Name and password please</p></form><div><div><h2>Notes of today</h2><div>{A}</div><div>{B}</div><div>{D}</div></div></div><div><a>imprint</a> <a>contact</a></div></body>", f"Notes of today {A} {B} {D}"),
+    # neutral with comments
+    (f"<body><h1>Small garden</h1><p>{A}</p><p>{B}</p><p>{C}</p><h3>Comments</h3><div><p><a>Ann Lee</a></p><p>{D}</p></div><div><p><a>Bob Ray</a></p><p>{C}</p></div></body>", f"Small garden {A} {B} {C}"),
+    # subscribe box between and legal notice
+    (f"<body><article><header><h1>Wind power</h1><p>{D}</p></header><p>{A}</p><div class='newsletter-box'><h3>Subscribe</h3><p>{C}</p></div><p>{B}</p><footer><a>tag one</a></footer></article><div class=legal-notice>{C}</div></body>", f"Wind power {D} {A} {B}"),
+)
+
+
+def test_other_layouts():
+    scores = []
+    for page, text in OTHER_LAYOUTS:
+        got, want = Counter(html_extract.main_text(page).split()), Counter(text.split())
+        scores.append(2 * sum((got & want).values()) / (sum(got.values()) + sum(want.values())))
+    assert sum(scores) / len(scores) > 0.98 and min(scores) > 0.9, scores
+
+
+ARTICLE = f"<article><h1>Title of it</h1><p>{A}</p><p>{B}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p><a>Home page</a></p><form><p>enter your address and send it</p></form>" + ARTICLE,
+        ARTICLE + "<p><a>Older</a></p><p>another story</p>",
+        ARTICLE + "<div class=thread><p><a>Ann Lee</a></p><p>I do not agree</p></div>",
+        ARTICLE.replace("<p>", "<p class=reply>", 1).replace("<article>", "<article><div class=ad-slot>buy this now</div>"),
+        ARTICLE.replace("<p>", '<p data-x="' + "a" * 5000 + ' > LEAKED">', 1),
+        ARTICLE.replace("<p>", "<p data-x='" + "b" * 200_000 + "> LEAKED'>", 1),
+        ARTICLE.replace("<p>", '<blockquote class="social">', 1).replace("</p>", "</blockquote>", 1),
+    ],
+)
+def test_only_the_article_is_kept(page):
+    assert html_extract.main_text(page) == f"Title of it {A} {B}"
+
+
+def test_an_open_quotation_ends_its_tag_at_the_first_mark():
+    assert html_extract.main_text(f'<article><p title="x>{A}</p><p>{B}</p></article>') == f"{A} {B}"
+    assert html_extract.main_text(f"<article><p>{A} <math><mi>x</mi></math></p></article>") == f"{A} x"
+
+
+@pytest.mark.parametrize("piece", ['<a ">" ', "<a '>' \" ", '<a x="', "<a x=", "<!x ", "</script", "<div>", "<p>a</b>", "<script></script", "<!-- ", "<div class='ad", "</p>"])
 def test_broken_markup_takes_linear_time(piece):
     import time
 
