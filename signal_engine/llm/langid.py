@@ -3,9 +3,10 @@
 Every language has a probability for each letter piece of a fixed public vocabulary. The probability of a
 word is the sum over all its segmentations into pieces, taken by a forward pass; a text's is the product
 over its words. Piece probabilities are estimated by expectation-maximisation (the same forward pass with a
-backward one) from word counts of labelled rows. Words are maximal runs of letters and marks, lower-cased;
-a run over ``MAX_WORD`` characters counts as several words. The passes run in numpy over the distinct words
-of a batch; a bounded cache in each worker keeps the words' log probabilities.
+backward one): each round is a Spark job over the word counts of a bounded sample of labelled rows, which takes as
+many rows of every label as it can; all their words count. Words are maximal runs of letters and marks, lower-cased,
+of any length. The passes run in numpy over the distinct words of a batch, those of long words on logarithms; a
+bounded cache in each worker keeps the log probabilities of the short ones.
 
 Defined results: null text or text without a letter is ``und`` with score 0; so is every text when no
 labelled row was given; ties go to the smaller language name; an empty table gives an empty result; other
@@ -20,13 +21,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signal_engine.llm.common import as_arrow_string, SLICE_BYTES, slices, sole_cache, tidy
+from signal_engine.llm.common import SLICE_BYTES, Scratch, as_arrow_string, slices, sole_cache, tidy
 
-MAX_WORD = 32
-MAX_PIECE = 8
+SHORT_WORD = 32  # characters up to which products of probabilities are far from underflow
+CELLS = 4_000_000  # numbers that a pass holds at once, but for single longer words
 UNKNOWN = 1e-7  # of a character that no piece covers
 UNDETERMINED = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -35,20 +36,23 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 @lru_cache(maxsize=2)
 def letter_pieces(file: str) -> tuple[str, ...]:
-    """The vocabulary's pieces of letters (a word's first piece starts with the word mark)."""
+    """The vocabulary's pieces of letters and marks (a word's first piece starts with the word mark)."""
+    import unicodedata
+
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=file)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return tuple(sorted(p for p in found if len(p) <= MAX_PIECE and (p.lstrip("▁").isalpha() or p == "▁")))
+    letters = lambda x: all(unicodedata.category(c)[0] in "LM" for c in x)
+    return tuple(sorted(p for p in found if p and letters(p.removeprefix("▁"))))
 
 
 class Lattice:
     """Finds the pieces at all places of many words at once, through a rolling hash and an open hash table."""
 
     def __init__(self, pieces: tuple[str, ...]):
-        self.n = len(pieces)
-        self.power = np.asarray([pow(int(_BASE), i, 1 << 64) for i in range(MAX_PIECE + 1)], np.uint64)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
+        self.power = np.asarray([pow(int(_BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
         keys = np.zeros(self.n, np.uint64)
         for k, p in enumerate(pieces):
             h = 0
@@ -83,7 +87,7 @@ class Lattice:
         prefix = np.zeros((words, length + 1), np.uint64)
         for t in range(length):
             prefix[:, t + 1] = prefix[:, t] * _BASE + (chars[:, t].astype(np.uint64) + np.uint64(1))
-        return [self._find((prefix[:, k:] - prefix[:, :-k] * self.power[k]) ^ np.uint64(k)) for k in range(1, min(MAX_PIECE, length) + 1)]
+        return [self._find((prefix[:, k:] - prefix[:, :-k] * self.power[k]) ^ np.uint64(k)) for k in range(1, min(self.longest, length) + 1)]
 
 
 def forward(edges: list[np.ndarray], p: np.ndarray) -> np.ndarray:
@@ -98,14 +102,56 @@ def forward(edges: list[np.ndarray], p: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def _by_length(words: list[str]):
-    """(places, words x length code points) for the words of each length, with the word mark before each."""
+def _ends(edges: list[np.ndarray]) -> np.ndarray:
+    """(length + 1) x piece lengths x words: the piece of each length that ends at each place; the last number's next where none."""
+    words, length = edges[0].shape
+    out = np.full((length + 1, len(edges), words), -1, np.int32)
+    for k, e in enumerate(edges, 1):
+        out[k : length + 1, k - 1] = e.T
+    return out
+
+
+def log_forward(ends: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """log alpha[t][word, language], for words of any length. logp: pieces + 1 x languages; row -1 is of no piece."""
+    steps, longest, words = ends.shape
+    alpha = np.full((steps, words, logp.shape[1]), -np.inf)
+    alpha[0] = 0
+    for t in range(1, steps):
+        m = min(longest, t)
+        e = logp[ends[t, :m]]
+        np.maximum(e[0], np.log(UNKNOWN), out=e[0])
+        e += alpha[t - m : t][::-1]
+        top = e.max(0)
+        alpha[t] = top + np.log(np.exp(e - top).sum(0))
+    return alpha
+
+
+def log_backward(ends: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """log beta[t][word, language]: of the characters from each place to the word's end."""
+    steps, longest, words = ends.shape
+    beta = np.full((steps, words, logp.shape[1]), -np.inf)
+    beta[-1] = 0
+    for t in range(steps - 2, -1, -1):
+        m = min(longest, steps - 1 - t)
+        lengths = np.arange(m)
+        e = logp[ends[t + 1 + lengths, lengths]]
+        np.maximum(e[0], np.log(UNKNOWN), out=e[0])
+        e += beta[t + 1 : t + 1 + m]
+        top = e.max(0)
+        beta[t] = top + np.log(np.exp(e - top).sum(0))
+    return beta
+
+
+def _by_length(words: list[str], wide: int = 1):
+    """(places, words x length code points) for the words of each length, with the word mark before each; so many at
+    once that CELLS are not passed with ``wide`` numbers for each character."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     order = np.argsort(sizes, kind="stable")
     for n in np.unique(sizes).tolist():
         at = order[np.searchsorted(sizes[order], n) : np.searchsorted(sizes[order], n, side="right")]
-        for i in range(0, len(at), 20_000):
-            part = at[i : i + 20_000]
+        step = max(1, min(20_000, CELLS // (n * wide)))
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
             yield part, np.frombuffer("".join("▁" + words[w] for w in part.tolist()).encode("utf-32-le"), "<u4").reshape(len(part), n)
 
 
@@ -122,18 +168,28 @@ def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nd
     per_text = np.diff(np.asarray(chunks.offsets)).astype(np.int64)
     coded = chunks.flatten().dictionary_encode()
     letters = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), r"[^\p{L}\p{M}]+", " "), characters=" ")
-    letters = pc.replace_substring_regex(letters, rf"([^ ]{{{MAX_WORD}}})", r"\1 ")
     words = pc.ascii_split_whitespace(letters)
     counts = np.diff(np.asarray(words.offsets)).astype(np.int64)
     flat = words.flatten().dictionary_encode()
     return flat.dictionary, np.asarray(flat.indices), counts, np.asarray(coded.indices), per_text
 
 
+def log_probabilities(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.ndarray:
+    """words x languages."""
+    out = np.zeros((len(words), p.shape[1]))
+    with np.errstate(divide="ignore"):
+        logp = np.log(p) if any(len(w) > SHORT_WORD for w in words) else None
+    for at, chars in _by_length(words, max(1, p.shape[1])):
+        edges = lattice.edges(chars)
+        out[at] = np.log(forward(edges, p)[-1]) if chars.shape[1] <= SHORT_WORD + 1 else log_forward(_ends(edges), logp)[-1]
+    return out
+
+
 class Scorer:
     """Log probabilities of texts in every language."""
 
     def __init__(self, model: Model, cache_words: int = 250_000):
-        self.model, self.cache_words = model, cache_words
+        self.model, self.cache_words = model, max(1000, min(cache_words, CELLS // max(1, len(model.languages))))
         self.lattice = Lattice(model.pieces)
         self.known: dict[str, int] = {"": 0}
         self.table = np.zeros((1024, len(model.languages)))
@@ -141,14 +197,16 @@ class Scorer:
     def _rows(self, words: list[str]) -> np.ndarray:
         if len(self.known) + len(words) > self.cache_words:
             self.known = {"": 0}
-        if missing := [w for w in words if w not in self.known]:
+        if missing := [w for w in words if w not in self.known and len(w) <= SHORT_WORD]:
             n = len(self.known)
             if n + len(missing) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((n + len(missing), self.table.shape[1]))])
-            for at, chars in _by_length(missing):
-                self.table[n + at] = np.log(forward(self.lattice.edges(chars), self.model.p)[-1])
+            self.table[n : n + len(missing)] = log_probabilities(self.lattice, self.model.p, missing)
             self.known.update(zip(missing, range(n, n + len(missing)), strict=True))
-        return self.table[np.fromiter((self.known[w] for w in words), np.int64, len(words))]
+        rows = self.table[np.fromiter((self.known[w] if len(w) <= SHORT_WORD else 0 for w in words), np.int64, len(words))]
+        if long := [i for i, w in enumerate(words) if len(w) > SHORT_WORD]:
+            rows[long] = log_probabilities(self.lattice, self.model.p, [words[i] for i in long])
+        return rows
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages log probabilities, number of words of each text)."""
@@ -178,46 +236,78 @@ def word_counts(texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return [w for w in names if w], counts[[i for i, w in enumerate(names) if w]]
 
 
-def estimate(pieces: tuple[str, ...], languages: dict[str, tuple[list[str], np.ndarray]], rounds: int = 4, smoothing: float = 0.02) -> Model:
-    """Fit piece probabilities by expectation-maximisation. languages: name -> (words, their counts)."""
-    lattice, names = Lattice(pieces), tuple(sorted(languages))
-    p = np.zeros((len(pieces) + 1, len(names)))
-    for col, name in enumerate(names):
-        words, counts = languages[name]
-        parts = [(at, lattice.edges(chars)) for at, chars in _by_length(words)]
-        q = None
-        for _ in range(rounds + 1):
-            expected = np.full(len(pieces) + 1, smoothing)
-            for at, edges in parts:
-                weight = counts[at].astype(float)
-                if q is None:  # start from how often each piece could be used
-                    for e in edges:
-                        expected += np.bincount(e.ravel(), weights=np.repeat(weight, e.shape[1]), minlength=len(expected))
-                    continue
-                alpha = forward(edges, q[:, None])[:, :, 0]
-                n = len(alpha) - 1
-                beta = np.zeros_like(alpha)
-                beta[n] = 1
-                share = weight / alpha[n]
-                for t in range(n - 1, -1, -1):
-                    for k in range(1, min(len(edges), n - t) + 1):
-                        e = q[edges[k - 1][:, t]]
-                        step = (np.maximum(e, UNKNOWN) if k == 1 else e) * beta[t + k]
-                        beta[t] += step
-                        expected += np.bincount(edges[k - 1][:, t], weights=alpha[t] * step * share, minlength=len(expected))
-            expected[-1] = 0
-            q = expected / expected.sum()
-        p[:, col] = q
-    return Model(pieces, names, p)
-
-
-def fit(labelled: DataFrame, vocabulary_file: str, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_rows: int = 20_000, train_words: int = 60_000, languages: int = 200) -> Model:
-    """Fit on a bounded sample: about ``train_rows`` labelled rows chosen by a hash of the id, and of these the
-    ``train_words`` most frequent words of each of the ``languages`` most frequent labels."""
-    rows = labelled.select(F.col(id_col).alias("k"), F.col(label_col).alias("lang"), F.col(text_col).cast("string").alias("t")).where("lang IS NOT NULL AND k IS NOT NULL")
-    n = rows.count()
-    if n > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * train_rows / n))
+def expected_pieces(lattice: Lattice, words: list[str], counts: np.ndarray, q: np.ndarray | None) -> np.ndarray:
+    """How often each piece is expected in counted words of a language with piece probabilities q; without q, how
+    often each could be used."""
+    n_pieces = lattice.n + 1
+    expected = np.zeros(n_pieces)
+    for at, chars in _by_length(words):
+        edges, weight = lattice.edges(chars), counts[at].astype(float)
+        if q is None:
+            for e in edges:
+                expected += np.bincount(e.ravel(), weights=np.repeat(weight, e.shape[1]), minlength=n_pieces)
+        elif chars.shape[1] > SHORT_WORD + 1:
+            with np.errstate(divide="ignore"):
+                logp = np.log(q)[:, None]
+            ends = _ends(edges)
+            alpha, beta = log_forward(ends, logp)[..., 0], log_backward(ends, logp)[..., 0]
+            for k, e in enumerate(edges, 1):
+                step = logp[e, 0].T
+                if k == 1:
+                    step = np.maximum(step, np.log(UNKNOWN))
+                share = np.exp(alpha[: len(alpha) - k] + step + beta[k:] - alpha[-1]) * weight
+                expected += np.bincount(e.T.ravel(), weights=share.ravel(), minlength=n_pieces)
+        else:
+            alpha = forward(edges, q[:, None])[:, :, 0]
+            n = len(alpha) - 1
+            beta = np.zeros_like(alpha)
+            beta[n] = 1
+            share = weight / alpha[n]
+            for t in range(n - 1, -1, -1):
+                for k in range(1, min(len(edges), n - t) + 1):
+                    e = q[edges[k - 1][:, t]]
+                    step = (np.maximum(e, UNKNOWN) if k == 1 else e) * beta[t + k]
+                    beta[t] += step
+                    expected += np.bincount(edges[k - 1][:, t], weights=alpha[t] * step * share, minlength=n_pieces)
+    return expected
+
+
+def maximised(expected: np.ndarray, smoothing: float) -> np.ndarray:
+    """Piece probabilities (pieces + 1, the last 0) from expected counts."""
+    q = expected + smoothing
+    q[-1] = 0
+    return q / q.sum()
+
+
+def _sampled(rows: DataFrame, train_rows: int) -> DataFrame:
+    """About ``train_rows`` of the rows (k, lang, t) in all, by a hash of the id: every label has the same bound, and
+    labels with fewer rows give all of theirs. A label's row with the smallest hash is always taken."""
+    at = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+    sizes = sorted((r["n"], r["lang"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(at).alias("least")).collect())  # one row a label
+    left, bound = train_rows, 0
+    for i, (n, *_) in enumerate(sizes):
+        bound = max(1, left // (len(sizes) - i))
+        if n > bound:
+            break
+        left -= n
+    rates = [(lang, max(least + 1, int((1 << 30) * min(1.0, bound / n)))) for n, lang, least in sizes]
+    if all(r >= 1 << 30 for _, r in rates):
+        return rows
+    # one row a label
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(rates, "lang string, rate long")), "lang").where(at < F.col("rate")).drop("rate")
+
+
+_UNIT = 1 << 20  # parts of an expected count, which are added up exactly: every run gets the same model
+
+
+def fit(labelled: DataFrame, vocabulary_file: str, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_rows: int = 4_000, rounds: int = 4, smoothing: float = 0.02) -> Model:
+    """Fit on a bounded sample of about ``train_rows`` labelled rows, chosen by a hash of the id; all labels are
+    learned, from all words of the sampled rows. Rows without a label or id take no part."""
+    scratch = Scratch(labelled.sparkSession, "langid")
+    rows = labelled.select(F.col(id_col).alias("k"), F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t")).where("lang IS NOT NULL AND k IS NOT NULL")
+    sample = _sampled(rows, train_rows)
+    names = tuple(sorted(r["lang"] for r in sample.select("lang").distinct().collect()))
+    pieces = letter_pieces(vocabulary_file)
 
     def count(batches):
         for batch in batches:
@@ -229,19 +319,32 @@ def fit(labelled: DataFrame, vocabulary_file: str, label_col: str = "lang", text
                     words, counts = word_counts(own[i:j])
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(words), pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(counts)})
 
-    counted = rows.select("lang", "t").mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= train_words)
-    found: dict[str, tuple[list[str], list[int]]] = {}
-    for r in top.select("lang", "word", "n").toLocalIterator():
-        words, counts = found.setdefault(r["lang"], ([], []))
-        words.append(r["word"])
-        counts.append(r["n"])
-    if len(found) > languages:
-        found = dict(sorted(found.items(), key=lambda x: (-sum(x[1][1]), x[0]))[:languages])
-    # a fixed order, so that the fitted sums are the same in every run
-    ordered = {k: sorted(zip(*v, strict=True), key=lambda x: (-x[1], x[0])) for k, v in found.items()}
-    return estimate(letter_pieces(vocabulary_file), {k: ([w for w, _ in v], np.asarray([c for _, c in v], np.int64)) for k, v in ordered.items()})
+    counted = scratch.write(sample.select("lang", "t").mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    code = {name: i for i, name in enumerate(names)}
+    p = np.zeros((len(pieces) + 1, len(names)))
+    for r in range(rounds + 1 if names else 0):
+        shared = labelled.sparkSession.sparkContext.broadcast(None if r == 0 else p)
+
+        def expect(batches, shared=shared):
+            lattice, total = Lattice(pieces), {}
+            for batch in batches:
+                langs = batch.column(0).dictionary_encode()
+                for at, name in enumerate(langs.dictionary.to_pylist()):
+                    own = pc.equal(langs.indices, at)
+                    q = None if shared.value is None else shared.value[:, code[name]]
+                    found = expected_pieces(lattice, batch.column(1).filter(own).to_pylist(), np.asarray(batch.column(2).filter(own)), q)
+                    total[name] = total.get(name, 0) + np.rint(found * _UNIT).astype(np.int64)
+            for name, found in total.items():
+                used = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(found[used])], ["lang", "piece", "n"])
+
+        parts = counted.mapInArrow(tidy(expect), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        found = parts.toArrow()  # at most the numbers of the model
+        expected = np.zeros_like(p)
+        expected[np.asarray(found["piece"]), [code[x] for x in found["lang"].to_pylist()]] = np.asarray(found["n"]) / _UNIT
+        p = np.stack([maximised(expected[:, i], smoothing) for i in range(len(names))], 1)
+        shared.unpersist()
+    return Model(pieces, names, p)
 
 
 def _model_key(model: Model) -> str:
@@ -263,6 +366,11 @@ def _decide(scorer: Scorer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return best, np.where(words > 0, 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1), 0.0)
 
 
+def _slice_bytes(model: Model, limit: int = SLICE_BYTES) -> int:
+    """Text handled at once: less with many languages, as every word has a number for each."""
+    return max(1 << 14, min(limit, 4 * limit // max(1, len(model.languages))))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): the most probable language of every text and its posterior under equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -273,7 +381,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         names = np.asarray([*scorer.model.languages, UNDETERMINED], object)
         for batch in batches:
             texts = as_arrow_string(batch.column(1))
-            for i, j in slices(texts):
+            for i, j in slices(texts, _slice_bytes(scorer.model)):
                 best, top = _decide(scorer, texts[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(names[best], pa.string()), pa.array(top)], ["k", "lang_pred", "score"])
 
@@ -293,7 +401,7 @@ def keep_languages(docs: DataFrame, model: Model, languages: set[str] | None = N
         wanted = np.asarray([n != UNDETERMINED and (languages is None or n in languages) for n in names])
         for batch in batches:
             texts = as_arrow_string(batch.column(text_col))
-            for i, j in slices(texts, slice_bytes):
+            for i, j in slices(texts, _slice_bytes(scorer.model, slice_bytes)):
                 best, top = _decide(scorer, texts[i:j])
                 yield batch.slice(i, j - i).filter(pa.array(wanted[best] & (top >= min_score)))
 

@@ -258,6 +258,74 @@ def test_forward_sums_all_segmentations():
     assert abs(langid.forward(lattice.edges(chars), p)[-1][0, 0] - every("▁ab")) < 1e-12
 
 
+def brute_text(text, pieces, p, language):
+    """A text's log probability: every segmentation of every word, character by character, in plain floats."""
+    import math
+
+    prob = {x: float(p[i, language]) for i, x in enumerate(pieces)}
+
+    def word(w):
+        rest = [0.0] * len(w) + [0.0]
+        for at in range(len(w) - 1, -1, -1):
+            terms = [math.log(x) + rest[at + k] for k in range(1, min(20, len(w) - at) + 1) if (x := max(prob.get(w[at : at + k], 0.0), langid.UNKNOWN if k == 1 else 0.0))]
+            top = max(terms)
+            rest[at] = top + math.log(math.fsum(math.exp(x - top) for x in terms))
+        return rest[0]
+
+    return sum(word("▁" + w) for w in text.split())
+
+
+def test_texts_are_scored_over_all_segmentations_in_every_language():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    pieces = tuple(sorted({"▁", "▁a", "a", "b", "ab", "▁ab", "aab", "b\u0301", "bababababab", "▁abababababababab"}))
+    p = np.random.default_rng(13).random((len(pieces) + 1, 300)) + 1e-3
+    p[-1] = 0
+    model = langid.Model(pieces, tuple(f"l{i:03d}" for i in range(300)), p / p.sum(0))
+    texts = [" ".join("".join(rng.choice(["a", "b", "ab", "bababababab", "b\u0301", "c"]) for _ in range(rng.choice([1, 3, 40]))) for _ in range(rng.randint(1, 6))) for _ in range(8)] + ["ab" * 800]
+    logs, words = langid.Scorer(model).score(pa.array(texts, pa.large_string()))
+    assert words.tolist() == [len(t.split()) for t in texts]
+    for i, t in enumerate(texts):
+        for language in (0, 137, 299):
+            want = brute_text(t, pieces, model.p, language)
+            assert abs(logs[i, language] - want) < 1e-9 * abs(want) + 1e-9
+
+
+def test_expected_pieces_of_long_words_equal_those_of_short_ones(monkeypatch):
+    import numpy as np
+
+    pieces = tuple(sorted(("▁", "▁a", "a", "b", "ab", "▁ab", "aba")))
+    lattice, words, counts = langid.Lattice(pieces), ["abab", "b", "aabba" * 3], np.asarray([3, 2, 5])
+    q = np.asarray([0.1, 0.05, 0.2, 0.1, 0.3, 0.15, 0.1, 0.0])
+    short = langid.expected_pieces(lattice, words, counts, q)
+    monkeypatch.setattr(langid, "SHORT_WORD", 0)
+    assert np.allclose(langid.expected_pieces(lattice, words, counts, q), short, rtol=1e-12)
+    assert abs(sum(n * len(x) for n, x in zip(short, pieces, strict=False)) - 3 * 5 - 2 * 2 - 5 * 16) < 1e-9
+
+
+def test_the_vocabulary_is_whole():
+    import public_tokenizers
+
+    pieces = langid.letter_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) == 16 and "▁psychological" in pieces and any("\u0301" in x or "\u0300" <= x[-1] <= "\u036f" or not x.lstrip("▁").isalpha() for x in pieces)
+
+
+def test_every_label_is_learned_and_ties_go_to_the_smaller(spark):
+    import public_tokenizers
+
+    rows = [(i, f"word{chr(97 + i % 26)} zzz" * 3, f"l{i % 300:03d}") for i in range(3000)] + [(9000, "x" * 40 + " y", "rare"), (9001, "\u4e2d" * 500, "zh")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, public_tokenizers.path("piece_bpe_32k.model"), train_rows=700, rounds=1)
+    assert len(model.languages) == 302
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df.where("doc_id >= 9000"), model).collect()}
+    assert got[9001][0] == "zh" and got[9000][0] == "rare"
+    same = spark.createDataFrame([(1, "abc abc", "b"), (2, "abc abc", "a"), (3, "abc abc", "c")], "doc_id long, text string, lang string")
+    tied = langid.predict(same, langid.fit(same, public_tokenizers.path("piece_bpe_32k.model"), rounds=1)).collect()
+    assert {(r["lang_pred"], round(r["score"], 9)) for r in tied} == {("a", round(1 / 3, 9))}
+
+
 def test_chat_round_trip(spark, scratch):
     import hashlib
 
