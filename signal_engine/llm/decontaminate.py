@@ -2,20 +2,24 @@
 
 Words are maximal runs of letters and digits, lower-cased; shingles are of five words (an item with fewer
 words is one shingle of all its words). A window of an item's length (cut to the document's) is fingerprinted
-wherever it begins, in whatever order its shingles are, if it holds so many places of the item's shingles that it
-can reach the similarity. Such a window holds one of the item's rarest shingles, of which as many are looked
-up as the similarity allows to miss, and one more; each window is taken at the first of these that it holds.
-A 64-bit SimHash weights every shingle by its number of occurrences. Fingerprints are cut into radius + 1
-blocks; two within the radius agree in one block at least, so joining on (length, block, value) finds every
+wherever it begins, in whatever order its shingles are, if it lies in a range that holds enough places of the
+item's shingles to reach the similarity. Such a window holds one of the item's rarest shingles, of which as many are
+looked up as the similarity allows to miss, and one more; the windows around all of a document's hits are merged to
+ranges. A 64-bit SimHash weights every shingle by its number of occurrences. Fingerprints are cut into radius + 1
+blocks; two within the radius agree in one block at least, so joining on (item, block, value) finds every
 pair within the radius, and each pair is kept at its first common block only. Candidates are verified by the
 weighted Jaccard similarity of the two shingle multisets.
 
+Windows are never cut out: the bit counts of a range's places are summed up once, and a window's are the difference of
+two sums; its common shingles are those places whose last occurrences before it leave room for them, which is an
+interval of window beginnings for each place. So a range takes time in proportion to its length, whatever the item's.
+
 A window is joined to the items whose shingles led to it only: at a similarity of 0.8, fingerprints differ in ten of
 64 bits on the average, so a radius that loses none (20) leaves blocks of three bits, which alone select little. The
 shingles' index is what keeps candidates few; the blocks and the radius then hold for every pair.
 
-The benchmark is handled in blocks of at most ``block_rows`` shingles; each is broadcast to one pass over
-the documents, so documents are neither shuffled nor collected; only verified matches are.
+The benchmark is handled in blocks of at most ``block_rows`` shingles; each is broadcast to a pass over
+the documents, so documents are neither shuffled nor collected, but those that hold ranges; these are read once more.
 
 Defined results: null or empty texts and items match nothing; a repeated document row or item row gives its
 match once; several windows give the most similar, then the first; an empty table gives an empty result;
@@ -32,9 +36,15 @@ from signal_engine.llm.common import Scratch
 
 SHINGLE = 5
 RADIUS = 20
+BROADCAST_RANGES = 1_000_000  # ranges up to which they are sent to the documents; more are joined by document
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where use refers to it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """The words of a text, an empty array for null or none."""
     trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"^{NOT_WORD}|{NOT_WORD}$", "")
@@ -51,11 +61,6 @@ def shingles(w: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: gram(w, i, k))
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value computed once, also where use refers to it inside a lambda."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _lanes(hashes: Column) -> Column:
     """How often each bit is set; bits j and j + 32 share a 64-bit counter."""
     ones = F.lit((1 << 32) | 1)
@@ -70,6 +75,15 @@ def simhash(hashes: Column) -> Column:
     return let(hashes, lambda h: let(_lanes(h), lambda lanes: _signs(lanes, F.size(h).cast("long"))))
 
 
+_LANES = range(32)
+_ONES = (1 << 32) | 1
+
+
+def _lane(h: Column, j: int) -> Column:
+    """Bits j and j + 32 of a hash, as counts of a lane."""
+    return F.call_function("shiftrightunsigned", h, F.lit(j)).bitwiseAND(F.lit(_ONES))
+
+
 def _signs(lanes: Column, n: Column) -> Column:
     def bit(count: Column, at: Column) -> Column:
         return F.when(2 * count > n, F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
@@ -81,11 +95,6 @@ def _signs(lanes: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), add)
 
 
-def numbered(hashes: Column) -> Column:
-    """A multiset as a set: each hash is hashed with the number of its occurrence."""
-    return let(F.array_sort(hashes), lambda ordered: F.transform(ordered, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(ordered, h))))
-
-
 def block_bounds(radius: int) -> list[tuple[int, int]]:
     """(first bit, bits) of radius + 1 blocks that cover 64 bits."""
     n = radius + 1
@@ -97,6 +106,52 @@ def block_value(fp: Column, first: int, bits: int) -> Column:
     return F.call_function("shiftrightunsigned", fp, F.lit(first)).bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def _ranges(hit: DataFrame, k: int) -> DataFrame:
+    """(rid, doc, th, key, len, s, places, lo, hi): the window beginnings from lo to hi around the hits (doc, th, n,
+    key, len, s, pos) of a document and item, overlapping ones merged; places: shingles of a window."""
+    size = F.least("len", "n")
+    lo, hi = F.greatest(F.lit(0), F.col("pos") - size + k), F.least(F.col("pos"), F.col("n") - size)
+    own = Window.partitionBy("doc", "th", "key").orderBy("lo", "hi")
+    spans = hit.select("doc", "th", "key", "len", "s", (size - k + 1).alias("places"), lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    new = F.coalesce(F.max("hi").over(own.rowsBetween(Window.unboundedPreceding, -1)) + 1 < F.col("lo"), F.lit(True))
+    spans = spans.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = spans.groupBy("doc", "th", "key", "len", "s", "places", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.drop("island").withColumn("rid", F.monotonically_increasing_id())
+
+
+def _window_matches(read: DataFrame, ranges: DataFrame, number: int, counted: DataFrame, scratch: Scratch, label: str, k: int, percent: int) -> DataFrame:
+    """(doc, key, len, s, places, start, common, wfp): every window of the ranges that can reach the similarity, its
+    shingles in common with the item's and its fingerprint. read: documents (doc, th, w)."""
+    sent = F.broadcast if number <= BROADCAST_RANGES else lambda df: df
+    held = read.join(sent(ranges.select("doc", "th").distinct()), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).join(sent(ranges), ["doc", "th"])
+    hashes = let(F.col("w"), lambda w: F.transform(F.sequence("lo", F.col("hi") + F.col("places") - 1), lambda i: gram(w, i, k)))
+    rows = held.select("rid", "key", "s", "places", "lo", "hi", F.posexplode(hashes).alias("at", "h")).withColumn("pos", F.col("lo") + F.col("at")).drop("at")
+    # at most block_rows rows
+    rows = scratch.write(rows.join(F.broadcast(counted), ["key", "h"], "left"), f"range-places-{label}")
+    enough = rows.groupBy("rid", "s", "places").agg(F.count("c").alias("shared")).where((100 + percent) * F.col("shared") >= percent * (F.col("s") + F.col("places"))).select("rid")
+    good = rows.join(enough, "rid")
+
+    so_far = Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sums = good.select("rid", "lo", "hi", "places", "pos", *[F.sum(_lane(F.col("h"), j)).over(so_far).alias(f"l{j}") for j in _LANES])
+    # a window's counts: the sum up to its last place less that before its first one
+    ends = F.array(F.struct((F.col("pos") - F.col("places") + 1).alias("start"), F.lit(1).alias("sign")), F.struct((F.col("pos") + 1).alias("start"), F.lit(-1).alias("sign")))
+    parts = sums.select("*", F.explode(ends).alias("e")).where("e.start BETWEEN lo AND hi")
+    lanes = parts.groupBy("rid", "places", F.col("e.start").alias("start")).agg(*[F.sum(F.col("e.sign") * F.col(f"l{j}")).alias(f"l{j}") for j in _LANES])
+    prints = lanes.select("rid", "start", F.lit(0).alias("delta"), let(F.array(*[f"l{j}" for j in _LANES]), lambda x: _signs(x, F.col("places").cast("long"))).alias("wfp"))
+
+    # a place is in common with the windows that hold it, but not all the occurrences that the item has, before it
+    same = good.where("c IS NOT NULL").groupBy("rid", "h", "c", "lo", "hi", "places").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
+    each = same.select("rid", "lo", "hi", "places", F.explode(F.transform("ps", lambda p, i: F.struct(p.alias("p"), F.get(F.col("ps"), i - F.col("c")).alias("before")))).alias("x")).select("rid", "lo", "hi", "places", "x.*")
+    since = F.greatest("lo", F.col("p") - F.col("places") + 1, F.coalesce(F.col("before") + 1, F.col("lo")))
+    steps = each.select("rid", "hi", F.explode(F.array(F.struct(since.alias("start"), F.lit(1).alias("delta")), F.struct((F.col("p") + 1).alias("start"), F.lit(-1).alias("delta")))).alias("e")).where("e.start <= hi")
+    changes = steps.groupBy("rid", F.col("e.start").alias("start")).agg(F.sum("e.delta").alias("delta")).select("rid", "start", "delta", F.lit(None).cast("long").alias("wfp"))
+
+    at = changes.unionByName(prints).groupBy("rid", "start").agg(F.sum("delta").alias("delta"), F.max("wfp").alias("wfp"))
+    common = F.sum("delta").over(Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    found = at.withColumn("common", common).where("wfp IS NOT NULL").join(sent(ranges.select("rid", "doc", "key", "len", "s", "places")), "rid")
+    return found.where((100 + percent) * F.col("common") >= percent * (F.col("s") + F.col("places"))).select("doc", "key", "len", "s", "places", "start", "common", "wfp")
+
+
 def find_matches(
     docs: DataFrame,
     items: DataFrame,
@@ -123,42 +178,31 @@ def find_matches(
     found = None
     for row in sorted(sizes, key=lambda r: -r["k"]):
         k, parts = row["k"], -(-row["n"] // block_rows)
-        own = item.where(F.col("k") == k).withColumn("hs", shingles(F.col("iw"), k)).withColumn("fp", simhash(F.col("hs"))).withColumn("set", numbered(F.col("hs")))
-        text = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w")).where(F.size("w") >= k)
-        place = text.select("doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("pos"))
-        place = place.select("doc", "w", "pos", gram(F.col("w"), F.col("pos"), k).alias("h"))
+        own = item.where(F.col("k") == k).withColumn("hs", let(F.col("iw"), lambda w: shingles(w, k))).withColumn("fp", simhash(F.col("hs")))
+        read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("w")).where(F.size("w") >= k)
+        # hashed before they are exploded, so that no row carries its document's words
+        place = read.select("doc", "th", F.size("w").alias("n"), F.posexplode(let(F.col("w"), lambda w: shingles(w, k))).alias("pos", "h"))
         for part in range(parts):
             block = own.where(F.pmod(F.xxhash64("item", "iw"), F.lit(parts)) == part) if parts > 1 else own
             block = block.withColumn("key", F.xxhash64("item", "iw")).withColumn("s", F.size("hs"))
             each = block.select("key", "len", "s", F.explode("hs").alias("h"))
+            counted = each.groupBy("key", "h").agg(F.count("*").cast("int").alias("c"))
             each = each.join(each.groupBy("h").agg(F.count("*").alias("times")), "h")
-            least = F.ceil(F.col("s") * percent / 100)
             rarest = Window.partitionBy("key").orderBy("times", "h")
-            index = each.withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("s") - least + 1).select("h", "key", "len").distinct()
-            # the words that any window of the item's length around the place can hold
-            n, left = F.size("w"), F.greatest(F.lit(0), F.col("pos") - F.col("len") + k)
-            hit = place.join(F.broadcast(index), "h").select("doc", "key", "pos", n.alias("n"), left.alias("left"), F.slice("w", left + 1, F.col("pos") + F.col("len") - left).alias("near"))
+            index = each.withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("s") - F.ceil(F.col("s") * percent / 100) + 1).select("h", "key", "len", "s").distinct()
             # written, so that no later expression moves into the pass over all places
-            hit = scratch.write(hit, f"places-{k}-{part}")
-            known = block.select("key", "len", "s", F.col("hs").alias("own"), F.col("set").alias("own_set")).join(index.groupBy("key").agg(F.collect_list("h").alias("rare")), "key")
-            around = hit.join(F.broadcast(known), "key").withColumn("g", shingles(F.col("near"), k)).where(F.size(F.array_intersect(numbered(F.col("g")), "own_set")) >= least)
-            here = F.col("pos") - F.col("left")
-            passed = F.array_max(F.transform("g", lambda h, i: F.when((i < here) & F.array_contains(F.col("rare"), h), i)))
-            around = around.withColumn("first", F.coalesce(passed + 1, F.lit(0))).withColumn("last", F.least(here, F.greatest(F.lit(0), F.col("n") - F.col("len")) - F.col("left")))
-            around = around.where("first <= last").withColumn("shared", F.transform("g", lambda h: F.array_contains(F.col("own"), h)))
-            around = around.withColumn("size", F.least("len", "n")).select("*", F.explode(F.sequence("first", "last")).alias("from"))
-            places = F.col("size") - k + 1
-            around = around.where((100 + percent) * F.size(F.filter(F.slice("shared", F.col("from") + 1, places), lambda x: x)) >= percent * (F.col("s") + places))
-            window = around.select("doc", "key", (F.col("left") + F.col("from")).alias("start"), F.slice("near", F.col("from") + 1, F.col("size")).alias("ww"))
-            window = scratch.write(window, f"windows-{k}-{part}")
-            window = window.withColumn("whs", shingles(F.col("ww"), k)).withColumn("wfp", simhash(F.col("whs"))).withColumn("wset", numbered(F.col("whs")))
-            keyed = window.select("*", F.posexplode(F.array(*[block_value(F.col("wfp"), a, b) for a, b in bounds])).alias("block", "value"))
-            entry = block.select("item", "key", "len", "fp", "set", F.posexplode(F.array(*[block_value(F.col("fp"), a, b) for a, b in bounds])).alias("block", "value"))
+            hit = scratch.write(place.join(F.broadcast(index), "h").select("doc", "th", "n", "key", "len", "s", "pos"), f"places-{k}-{part}")
+            ranges = scratch.write(_ranges(hit, k), f"ranges-{k}-{part}")
+            if not (number := ranges.count()):
+                continue
+            near = _window_matches(read, ranges, number, counted, scratch, f"{k}-{part}", k, percent)
+            keyed = near.select("*", F.posexplode(F.array(*[block_value(F.col("wfp"), a, b) for a, b in bounds])).alias("block", "value"))
+            entry = block.select("item", "key", "fp", F.posexplode(F.array(*[block_value(F.col("fp"), a, b) for a, b in bounds])).alias("block", "value"))
             pair = keyed.join(F.broadcast(entry), ["key", "block", "value"])
             first = F.coalesce(*[F.when(block_value(F.col("wfp"), a, b) == block_value(F.col("fp"), a, b), F.lit(i)) for i, (a, b) in enumerate(bounds)])
             hamming = F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp")))
-            common, total = F.size(F.array_intersect("wset", "set")), F.size("wset") + F.size("set")
-            similarity = F.when((F.col("block") == first) & (hamming <= radius), let(common, lambda c: F.when(100 * c >= percent * (total - c), c / (total - c))))
+            both = F.col("s") + F.col("places") - F.col("common")
+            similarity = F.when((F.col("block") == first) & (hamming <= radius) & (100 * F.col("common") >= percent * both), F.col("common") / both)
             one = pair.select("doc", "item", "start", "len", similarity.alias("similarity"), hamming.alias("hamming")).where("similarity IS NOT NULL")
             found = one if found is None else found.unionByName(one)
     if found is None:
@@ -166,8 +210,7 @@ def find_matches(
         return docs.sparkSession.createDataFrame([], f"`{id_col}` {kinds[id_col]}, `{item_col}` {kinds[item_col]}, start_word long, n_words long, similarity double, hamming int")
     best = F.max_by(F.struct("start", "len", "similarity", "hamming"), F.struct("similarity", -F.col("start"), -F.col("len"))).alias("best")
     return (
-        found.where("doc IS NOT NULL")
-        .groupBy("doc", "item")
+        found.groupBy("doc", "item")
         .agg(best)
         .select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("best.start").cast("long").alias("start_word"), F.col("best.len").cast("long").alias("n_words"), "best.similarity", F.col("best.hamming").cast("int").alias("hamming"))
     )

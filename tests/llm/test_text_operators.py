@@ -188,6 +188,28 @@ def test_decontamination_finds_reordered_items(spark, scratch):
     assert all(got[k][0] == expected[k][0] and abs(got[k][1] - expected[k][1]) < 1e-12 for k in got)
 
 
+def test_long_items_take_time_in_proportion_to_their_length(spark, scratch):
+    import time
+
+    rng = random.Random(17)
+    words = [f"w{rng.randint(0, 3000)}" for _ in range(20_000)]
+    text = " ".join(["x"] * 300 + words[9_000:] + words[:9_000] + ["y"] * 300)  # the item with its halves swapped
+    docs = spark.createDataFrame([(1, text), (2, " ".join(words[:12_000])), (3, " ".join(words))], "doc_id long, text string")
+    items = spark.createDataFrame([("i", " ".join(words))], "item_id string, text string")
+    at = time.perf_counter()
+    got = {r["doc_id"]: (r["start_word"], r["similarity"]) for r in decontaminate.find_matches(docs, items, scratch("t1")).collect()}
+    assert set(got) == {1, 3} and got[3] == (0, 1.0) and got[1][0] == 300 and got[1][1] > 0.99
+    assert time.perf_counter() - at < 60
+
+
+def test_decontamination_with_repeats_ties_and_null_ids(spark, scratch):
+    item = "a b c d e f g h a b c d e f g h a b c"
+    docs = spark.createDataFrame([(1, f"{item} {item}"), (1, f"z {item}"), (2, f"q q {item} q {item}"), (2, f"q q {item} q {item}"), (None, item), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("x", item), ("x", item), ("y", item.upper()), (None, item), ("e", ""), ("n", None)], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in decontaminate.find_matches(docs, items, scratch("t1")).collect()}
+    assert got == {(d, i): (0 if d == 1 else 2, 1.0) for d in (1, 2) for i in "xy"}
+
+
 def test_decontamination_empty(spark, scratch):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_matches(docs, items, scratch("t1")).count() == 0
