@@ -8,10 +8,10 @@ of its own whose every hit is a whole place.
 
 Texts are cut into words after A-Z are lower-cased; a word is a run of ASCII letters and digits and of
 characters beyond ASCII. The join is with a table of a few hundred places, so documents are not shuffled;
-only votes are. A document also sends one row with its word count, so that all documents come back.
+only votes are. A row also sends one vote with its word count, so that all rows come back, as often as they are there.
 
-Defined results: null or empty text has no words and no spans; rows of equal id and text give one row, rows
-of equal id and other text one each; an empty table gives an empty result; other columns are ignored.
+Defined results: null or empty text has no words and no spans; each row gives its own row, also those of equal id
+and text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = BASE_PHRASES, tem
     votes = (
         hit.select("doc", "th", "template", "label", "base", "grams", "pos", "off", "k", F.size("w").alias("n"))
         .groupBy("doc", "th", "template", "label", "base", "grams", (F.col("pos") - F.col("off")).alias("diagonal"))
-        .agg(F.max("n").alias("n"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("off"))).alias("offs"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("k")).alias("end"))
+        .agg(F.max("n").alias("n"), F.count("*").alias("hits"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("off"))).alias("offs"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("k")).alias("end"))
     )
     by_template = Window.partitionBy("doc", "th", "template").orderBy("diagonal")
     apart = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(by_template) > NEAR), 1).otherwise(0)
@@ -106,7 +106,7 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = BASE_PHRASES, tem
         votes.withColumn("new", apart)
         .withColumn("span", F.sum("new").over(by_template))
         .groupBy("doc", "th", "template", "label", "base", "grams", "span")
-        .agg(F.max("n").alias("n"), F.bit_or("offs").alias("offs"), F.min("first").alias("first"), F.max("end").alias("end"))
+        .agg(F.max("n").alias("n"), F.sum("hits").alias("hits"), F.bit_or("offs").alias("offs"), F.min("first").alias("first"), F.max("end").alias("end"))
         .withColumn("cover", F.bit_count("offs") / F.col("grams"))
     )
     is_doc = F.col("template") == _DOCUMENT
@@ -115,8 +115,9 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = BASE_PHRASES, tem
     span = F.when(verified, F.struct("label", F.col("first").cast("long").alias("first_word"), F.col("end").cast("long").alias("end_word"), "cover"))
     return (
         spans.groupBy("doc", "th")
-        .agg(F.max(F.when(is_doc, F.col("n"))).cast("long").alias("n_words"), F.array_sort(F.collect_list(base)).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
-        .select(F.col("doc").alias(id_col), "n_words", "base", "spans")
+        .agg(F.max(F.when(is_doc, F.col("n"))).cast("long").alias("n_words"), F.max(F.when(is_doc, F.col("hits"))).alias("rows"), F.array_sort(F.collect_list(base)).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
+        .select(F.col("doc").alias(id_col), "n_words", "base", "spans", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
+        .drop("copy")
     )
 
 

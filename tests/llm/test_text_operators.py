@@ -232,8 +232,9 @@ def test_license_scan(spark):
     text = "Under the MIT License. Or the mit-license; GNU General Public License"
     rows = [(1, text), (2, None), (3, ""), (4, "Licensed under CC BY-NC 4.0."), (5, "general license public"), (6, "K mit license İ"), (7, "w " * 40_000 + "apache license"), (1, text)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, label string")
-    got = {r["doc_id"]: r for r in license_scan.digest(license_scan.scan(df)).collect()}
-    assert len(got) == 7
+    rows = license_scan.digest(license_scan.scan(df)).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(got) == 7 and len(rows) == 8
     assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (12, 3, 2, 9, "gpl,mit")
     assert (got[2]["n_words"], got[2]["n_base"], got[2]["first_word"], got[2]["labels"], got[2]["score"]) == (0, 0, None, "", 0.0)
     assert got[4]["labels"] == "cc-by-nc" and got[4]["base_labels"] == "" and got[5]["n_base"] == 0 and got[6]["n_base"] == 1
@@ -241,6 +242,69 @@ def test_license_scan(spark):
     assert license_scan.digest(license_scan.scan(df.where("false"))).count() == 0
 
 
+def brute_scan(text, phrases, templates):
+    """(n_words, base places, verified spans) of one text, template by template."""
+    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if x]
+    base = sorted((label, i) for label, phrase in phrases for p in [phrase.split()] for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p)
+    spans = []
+    for label, phrase in templates:
+        t = phrase.split()
+        k = min(4, len(t))
+        votes = {}
+        for i in range(len(w) - k + 1):
+            for off in range(len(t) - k + 1):
+                if w[i : i + k] == t[off : off + k]:
+                    votes.setdefault(i - off, []).append((i, off))
+        groups, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > 3:
+                groups.append([])
+            groups[-1] += votes[d]
+            last = d
+        for g in groups:
+            cover = len({off for _, off in g}) / (len(t) - k + 1)
+            if cover >= 0.6:
+                spans.append((label, min(i for i, _ in g), max(i for i, _ in g) + k, cover))
+    return len(w), base, sorted(spans)
+
+
+def test_license_spans_equal_brute_force(spark):
+    rng = random.Random(23)
+    texts = [None, "", "...", "MIT license mit-license MIT  license"]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            t = rng.choice(license_scan.TEMPLATES)[1].split()
+            a = rng.randint(0, len(t) - 1)
+            t = t[: rng.randint(a, len(t))] if rng.random() < 0.3 else t  # cut near the cover that is asked for
+            for _ in range(rng.randint(0, 4)):  # near copies: a word in, out or changed, so that neighbouring diagonals vote
+                if t:
+                    i = rng.randrange(len(t))
+                    t = t[:i] + rng.choice([[], [t[i], "extra"], ["other"]]) + t[i + 1 :]
+            parts += [rng.choice(["so", "it", "The", "é"])] * rng.randint(0, 5) + [x.upper() if rng.random() < 0.2 else x for x in t]
+        texts.append(rng.choice([" ", ", ", "\n* "]).join(parts))
+    rows = list(enumerate(texts)) + [(7, texts[7]), (7, texts[7]), (7, texts[9])]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n long, label string").repartition(4)
+    got = sorted((r["doc_id"], r["n_words"], [tuple(x) for x in r["base"]], [tuple(x) for x in r["spans"]]) for r in license_scan.scan(df).collect())
+    expected = sorted((i, *brute_scan(t, license_scan.BASE_PHRASES, license_scan.TEMPLATES)) for i, t in rows)
+    assert got == expected and sum(len(s) for *_, s in got) > 100
+
+
+def test_license_base_columns_equal_sql(spark):
+    import duckdb
+
+    from signal_engine.llm import queries
+
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    got = sorted(tuple(r[c] for c in columns) for r in queries.op5_license_scan(spark, "/root/testdata/sf0.01").collect())
+    phrases = ", ".join(f"('{label}', '{phrase}')" for label, phrase in license_scan.BASE_PHRASES)
+    sql = rf"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM '/root/testdata/sf0.01/documents.parquet'),
+    p(label, phrase) AS (VALUES {phrases}), q AS (SELECT label, string_split(phrase, ' ') AS v FROM p),
+    h AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(v)] = v)) AS i FROM t, q)
+    SELECT t.doc_id, any_value(len(w)), count(i), min(i), max(i), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM t LEFT JOIN h USING (doc_id) GROUP BY 1 ORDER BY 1"""
+    assert got == duckdb.sql(sql).fetchall()
+
+
 def test_language_identification(spark):
     import public_tokenizers
 
