@@ -11,25 +11,65 @@ from signal_engine.functions import text as tx
 from signal_engine.operators import entity, joins, ranking, scoring
 
 
-def names_match(first: Column, last: Column, full: Column, nicknames: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """Whether a source's first and last name fit a profile's full name: equal, prefix of three letters, nickname,
-    initial, any part of a multi-part or hyphenated name, or containment of last names."""
+#: First names and their short forms.
+NICKNAMES = {
+    "mike": ("michael",), "michael": ("mike",),
+    "bob": ("robert", "rob"), "robert": ("bob", "rob"), "rob": ("robert", "bob"),
+    "bill": ("william", "will"), "william": ("bill", "will"), "will": ("william", "bill"),
+    "liz": ("elizabeth", "beth"), "elizabeth": ("liz", "beth"), "beth": ("elizabeth", "liz"),
+    "jim": ("james", "jimmy"), "james": ("jim", "jimmy"), "jimmy": ("james", "jim"),
+    "joe": ("joseph",), "joseph": ("joe",),
+    "dan": ("daniel", "danny"), "daniel": ("dan", "danny"), "danny": ("daniel", "dan"),
+    "dave": ("david",), "david": ("dave",),
+    "chris": ("christopher",), "christopher": ("chris",),
+    "matt": ("matthew",), "matthew": ("matt",),
+    "tom": ("thomas",), "thomas": ("tom",),
+    "tony": ("anthony",), "anthony": ("tony",),
+    "nick": ("nicholas", "nico"), "nicholas": ("nick", "nico"),
+    "rick": ("richard",), "richard": ("rick", "dick"), "dick": ("richard",),
+    "steve": ("steven", "stephen"), "steven": ("steve", "stephen"), "stephen": ("steve", "steven"),
+    "andy": ("andrew", "drew"), "andrew": ("andy", "drew"), "drew": ("andrew", "andy"),
+    "alex": ("alexander", "oleksandr", "aleksandr"), "alexander": ("alex", "oleksandr"), "oleksandr": ("alex", "alexander"),
+    "sam": ("samuel", "samantha"), "samuel": ("sam",), "samantha": ("sam",),
+    "ben": ("benjamin", "benny"), "benjamin": ("ben", "benny"),
+    "jon": ("jonathan", "john"), "jonathan": ("jon", "john"), "john": ("jon", "jonathan"),
+    "ed": ("edward", "ted"), "edward": ("ed", "ted"), "ted": ("edward", "theodore"), "theodore": ("ted",),
+    "pat": ("patrick", "patricia"), "patrick": ("pat",), "patricia": ("pat",),
+    "kate": ("katherine", "katie", "kathy"), "katherine": ("kate", "katie", "kathy"), "kat": ("katherine", "kate", "kathy"),
+    "jen": ("jennifer", "jenny"), "jennifer": ("jen", "jenny"),
+    "sara": ("sarah",), "sarah": ("sara",),
+    "meg": ("megan",), "megan": ("meg",),
+    "mandy": ("amanda",), "amanda": ("mandy",),
+    "ron": ("ronald",), "ronald": ("ron",),
+    "charlie": ("charles", "chuck"), "charles": ("charlie", "chuck"),
+    "greg": ("gregory",), "gregory": ("greg",),
+    "jeff": ("jeffrey",), "jeffrey": ("jeff",),
+    "doug": ("douglas",), "douglas": ("doug",),
+    "nate": ("nathan", "nathaniel"), "nathan": ("nate",), "nathaniel": ("nate",),
+    "zach": ("zachary",), "zachary": ("zach",),
+    "max": ("maxwell", "maximilian"), "maxwell": ("max",), "maximilian": ("max",),
+}
+
+
+def names_match(first: Column, last: Column, full: Column, nicknames: Mapping[str, Sequence[str]] = NICKNAMES) -> Column:
+    """Whether a source's first and last name fit a profile's full name. First names: equal, one the beginning of the
+    other (from three letters on), short forms, an initial, a part of several first names, or a short form in quotes
+    in the profile. Last names: equal, a common part, or one contained in the other. Marks other than letters, spaces
+    and hyphens do not count."""
     clean = lambda c: F.trim(F.regexp_replace(F.lower(tx.strip_accents(tx.text(c))), r"[^a-z\- ]", ""))
-    parts = F.split(F.trim(F.regexp_replace(tx.text(full), r"\s+", " ")), " ")
-    pf, pl = clean(F.element_at(parts, 1)), clean(F.array_join(F.slice(parts, 2, 20), " "))
+    shown = F.trim(F.regexp_replace(F.regexp_replace(tx.text(full), r"[^\p{L}\p{M}\p{N}_\s'-]", ""), r"\s+", " "))
+    parts = F.split(shown, " ")
+    pf, pl = clean(F.element_at(parts, 1)), clean(F.array_join(F.slice(parts, 2, 1000), " "))
     sf, sl = clean(first), clean(last)
-    table = nicknames or {}
-    variants = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))]) if table else None
-
-    def alike(a: Column, b: Column) -> Column:
-        same = (a == b) | ((F.length(a) >= 3) & (a.startswith(b) | b.startswith(a))) | ((F.length(a) == 1) & b.startswith(a)) | ((F.length(b) == 1) & a.startswith(b))
-        if variants is None:
-            return same
-        none = F.array().cast("array<string>")
-        return same | F.arrays_overlap(F.concat(F.array(a), F.coalesce(F.try_element_at(variants, a), none)), F.concat(F.array(b), F.coalesce(F.try_element_at(variants, b), none)))
-
-    first_ok = (sf != "") & (pf != "") & (alike(sf, pf) | F.exists(F.split(sf, " "), lambda p: (p != "") & alike(p, pf)))
-    words = lambda c: F.split(F.regexp_replace(c, "-", " "), " ")
+    short = F.create_map(*[x for k, v in nicknames.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if nicknames else F.create_map().cast("map<string,array<string>>")
+    forms = lambda c: F.concat(F.array(c), F.coalesce(F.try_element_at(short, c), F.array().cast("array<string>")))
+    begins = lambda a, b: (F.length(a) >= 3) & (a.startswith(b) | b.startswith(a))
+    initial = ((F.length(sf) == 1) & pf.startswith(sf)) | ((F.length(pf) == 1) & sf.startswith(pf))
+    part = F.contains(sf, F.lit(" ")) & F.exists(F.split(sf, " +"), lambda p: (p == pf) | begins(p, pf) | F.arrays_overlap(forms(p), forms(pf)))
+    quoted = clean(F.regexp_extract(shown, r"'([\p{L}\p{N}_]+)'", 1))
+    in_quotes = (quoted != "") & (F.array_contains(forms(sf), quoted) | F.array_contains(forms(quoted), sf))
+    first_ok = (sf != "") & (((pf != "") & ((sf == pf) | begins(sf, pf) | F.arrays_overlap(forms(sf), forms(pf)) | initial | part)) | in_quotes)
+    words = lambda c: F.filter(F.split(F.regexp_replace(c, "-", " "), " +"), lambda w: w != "")
     last_ok = (sl != "") & (pl != "") & (F.arrays_overlap(words(sl), words(pl)) | sl.contains(pl) | pl.contains(sl))
     return (F.size(parts) >= 2) & first_ok & last_ok
 

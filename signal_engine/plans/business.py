@@ -246,15 +246,6 @@ def contact_priority(spark, sf_dir):
     return rows.select("k", "level", p.alias("priority"), scoring.champion_band(F.col("ch")).alias("champion"))
 
 
-@register(
-    "seniority",
-    """SELECT t.title, t.r AS rank FROM (VALUES ('CEO', 0), ('Chief Data Officer', 1), ('EVP Sales', 2), ('Senior Vice President', 3), ('VP Marketing', 4), ('Senior Director', 5), ('Head of Ops', 6), ('Senior Manager', 7), ('Manager', 8), ('Staff Engineer', 9), ('Tech Lead', 10), ('Senior Engineer', 11), ('Engineer', 12)) AS t(title, r)""",
-)
-def seniority(spark, sf_dir):
-    titles = ["CEO", "Chief Data Officer", "EVP Sales", "Senior Vice President", "VP Marketing", "Senior Director", "Head of Ops", "Senior Manager", "Manager", "Staff Engineer", "Tech Lead", "Senior Engineer", "Engineer"]
-    return spark.createDataFrame([(t,) for t in titles], "title string").select("title", tx.seniority_rank(F.col("title")).alias("rank"))
-
-
 @register(
     "accuracy_flags_action",
     f"""WITH c AS (SELECT o_orderkey AS k, o_orderdate::DATE AS pa, o_orderkey % 4 = 0 AS changed, CASE o_orderkey % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'catch-all' WHEN 2 THEN 'invalid' WHEN 3 THEN '' ELSE 'valid' END AS v, date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') AS age FROM orders),

@@ -5,15 +5,6 @@ from pyspark.sql import functions as F
 from signal_engine.catalogue import register, table
 from signal_engine.operators import campaign
 
-register(
-    "names_match",
-    "SELECT v.k, v.ok FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true), (6, true), (7, false)) AS v(k, ok)",
-)(
-    lambda s, d: s.createDataFrame(
-        [(1, "José", "Pérez", "Jose Perez"), (2, "Rob", "Smith", "Robert Smith-Jones"), (3, "Bill", "Gates", "William Gates"), (4, "Anna", "Lee", "Mary Lee"), (5, "J", "Doe", "Jane Doe"), (6, "J Ryan", "Poe", "Ryan Poe"), (7, "Ann", "Lee", "Ann")],
-        "k int, first string, last string, full string",
-    ).select("k", campaign.names_match(F.col("first"), F.col("last"), F.col("full"), {"bill": ["william"]}).alias("ok"))
-)
 register(
     "connector_scores",
     "WITH s AS (SELECT DISTINCT c_nationkey AS contact, CASE WHEN c_custkey % 2 = 0 THEN 'company' ELSE 'school' END AS kind, lower(c_mktsegment) AS key FROM customer) SELECT contact, sum(CASE kind WHEN 'company' THEN 50 ELSE 20 END)::BIGINT AS score, list_sort(list(DISTINCT kind)) AS kinds FROM s GROUP BY 1",

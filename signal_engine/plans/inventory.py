@@ -24,9 +24,6 @@ register("email_permutations", "SELECT c_custkey, unnest(['ada.c' || c_custkey |
 register("path_templates", "SELECT regexp_replace('/v1/orders/' || o_orderkey || '/lines', '/\\d+(/|$)', '/{NUM_ID}\\1', 'g') AS template, list_sort(list(DISTINCT o_orderstatus)) AS methods, list_sort(list(DISTINCT o_orderpriority)) AS statuses, count(*) AS calls FROM orders GROUP BY 1")(
     lambda s, d: readers.route_inventory(table(s, d, "orders").select(F.concat(F.lit("/v1/orders/"), F.col("o_orderkey").cast("string"), F.lit("/lines")).alias("path"), F.col("o_orderstatus").alias("method"), F.col("o_orderpriority").alias("status")))
 )
-register("error_classes", "SELECT m.message, m.class AS class FROM (VALUES ('schema mismatch', 'schema-drift'), ('HTTP 429', 'rate-limited'), ('401 Unauthorized', 'auth-failed'), ('Request timed out', 'timeout'), ('dns failure', 'unreachable'), ('???', 'error')) AS m(message, class)")(
-    lambda s, d: s.createDataFrame([(m,) for m in ("schema mismatch", "HTTP 429", "401 Unauthorized", "Request timed out", "dns failure", "???")], "message string").select("message", tx.error_class(F.col("message")).alias("class"))
-)
 register(
     "entity_frequency",
     "WITH u AS (SELECT regexp_extract(lower(url), 'https?://(?:www\\.)?([\\w.-]+)', 1) AS entity FROM pages WHERE regexp_matches(lower(url), 'https?://(?:www\\.)?([\\w.-]+)')), c AS (SELECT 'domain' AS kind, entity, count(*) AS \"count\" FROM u GROUP BY 2), r AS (SELECT *, row_number() OVER (ORDER BY \"count\" DESC, entity) AS rank FROM c) SELECT * FROM r WHERE rank <= 5",
@@ -67,12 +64,6 @@ register("stable_ids", "SELECT c_custkey, 'path-' || substr(sha256('[\"' || c_cu
 register("previous_state", "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("previous"))
 )
-register(
-    "query_variants",
-    "SELECT t.topic, r.source, trim(r.prefix || ' ' || t.subject || ' ' || r.suffix) AS query FROM (VALUES ('acme pricing', 'product', 'acme pricing'), ('what is best crm', 'concept', 'crm')) AS t(topic, type, subject) JOIN (VALUES ('product', 'web', 'site', 'plans'), ('concept', 'web', 'top', '2024'), ('concept', 'forum', '', 'thread')) AS r(type, source, prefix, suffix) ON t.type = r.type",
-)(
-    lambda s, d: enrichment.query_variants(s.createDataFrame([("acme pricing",), ("what is best crm",)], "topic string"), s.createDataFrame([("product", "web", "site", "plans"), ("concept", "web", "top", "2024"), ("concept", "forum", "", "thread")], "type string, source string, prefix string, suffix string"))
-)
 register(
     "common_evidence",
     "SELECT source, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY phase) AS r FROM (SELECT 'a' AS source, 'x.com/' || (c_custkey % 50) AS url, 0 AS phase FROM customer WHERE c_custkey <= 40 UNION ALL SELECT 'b', 'x.com/' || (c_custkey % 50), 1 FROM customer)) WHERE r = 1",
@@ -99,11 +90,6 @@ register("icp_bands", "SELECT c_custkey, CASE WHEN c_acctbal / 100 >= 60 THEN 'h
 register("fallback_rank", "SELECT p_partkey, round(0.6 * p_size / 50.0 + 0.25 * (p_partkey % 10) / 10.0 + 0.15 * (p_partkey % 3) / 3.0, 6) AS score FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", F.round(ranking.fallback_score(F.col("p_size") / 50.0, F.col("p_partkey") % 10 / 10.0, F.col("p_partkey") % 3 / 3.0), 6).alias("score"))
 )
-register("role_similarity", "SELECT p_partkey, 0.5::DOUBLE AS s FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", tx.role_similarity(F.lit("Senior Engineer"), F.lit("Software Engineer")).alias("s")))
-register("suspicious_domains", "SELECT page_id FROM pages WHERE false")(lambda s, d: table(s, d, "pages").where(tx.suspicious_domain(tx.host_of(F.col("url"))) == "content_platform").select("page_id"))
-register("set_dedupe_keep_order", "SELECT c_custkey, ['a', 'B', 'c'] AS kept FROM customer")(
-    lambda s, d: customers(s, d).select("c_custkey", F.aggregate(F.array(*[F.lit(x) for x in ("a", "B", "A", "c", "b")]), F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x)))).alias("kept"))
-)
 register(
     "grouping_sets", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))"
 )(lambda s, d: table(s, d, "lineitem").groupingSets([["l_returnflag"], ["l_linestatus"]], "l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("q")))

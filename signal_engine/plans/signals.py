@@ -123,16 +123,6 @@ def token_overlap_relevance(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.token_overlap_relevance(F.lit("the edion latest erthat"), F.col("text")), 6).alias("relevance"))
 
 
-@register(
-    "query_types",
-    """SELECT t.topic, t.type FROM (VALUES ('Postgres vs MySQL', 'comparison'), ('how to scale spark', 'how_to'), ('acme pricing', 'product'), ('should i trust it', 'opinion'),
-      ('forecast for rain', 'prediction'), ('what is an apex domain', 'concept'), ('latest on ai', 'breaking_news'), ('plain topic', 'breaking_news')) AS t(topic, type)""",
-)
-def query_types(spark, sf_dir):
-    topics = ["Postgres vs MySQL", "how to scale spark", "acme pricing", "should i trust it", "forecast for rain", "what is an apex domain", "latest on ai", "plain topic"]
-    return spark.createDataFrame([(t,) for t in topics], "topic string").select("topic", tx.query_type(F.col("topic")).alias("type"))
-
-
 register(
     "semantic_metric_by_quarter",
     """SELECT date_trunc('quarter', o_orderdate) AS quarter, o_orderstatus AS status, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue

@@ -82,3 +82,19 @@ def test_variant_and_evidence(spark):
     assert one(spark, evidence.collect_keys(F.lit('{"a": {"email": "x"}, "b": [{"workEmail": "y"}]}'), "(?i)email")) == ["x", "y"]
     assert one(spark, evidence.people_in_prose(F.lit("We met Ada Lovelace, Chief Engineer at X.")))[0]["name"] == "Ada Lovelace"
     assert one(spark, evidence.ascii_fold(F.lit("Café"))) == "Cafe"
+
+
+@pytest.mark.parametrize(
+    ("first", "last", "full", "fits"),
+    [
+        ("Jörg", "Núñez", "Jorg Nunez", True), ("Kate", "Brown", "Katherine Brown-Ross", True), ("Al", "Stone", "Alan Stone", False), ("Ala", "Stone", "Alan Stone", True), ("R", "Vale", "Rosa Vale", True),
+        ("Tim", "Vale", "T Vale, PhD", True), ("J Ryan", "Oak", "Ryan Oak", True), ("J Ryan", "Oak", "James Oak", False), ("Peggy", "Marsh", "Margaret 'Peggy' Marsh", True), ("Chuck", "Hill", "Carl 'Charlie' Hill", True),
+        ("Dana", "Reed", "Dana", False), ("", "Reed", "Dana Reed", False), ("Dana", None, "Dana Reed", False), ("Dana", "Reed", None, False), ("Dana", "Re", "Dana Reed", True), ("Dana", "Moss", "Dana Reed", False),
+        ("Bill", "O'Hara", "William OHara", True), ("Sara", "Ek", "Sarah (Ek) Berg", True), ("木", "林", "木 林", False),
+    ],
+)
+def test_names_match(spark, first, last, full, fits):
+    from signal_engine.operators import campaign
+
+    row = spark.createDataFrame([(first, last, full)], "f string, l string, p string").select(campaign.names_match(F.col("f"), F.col("l"), F.col("p")).alias("ok")).first()
+    assert bool(row["ok"]) == fits
