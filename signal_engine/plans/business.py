@@ -458,14 +458,6 @@ def _stream(spark, sf_dir):
     return raw, run
 
 
-@register("stream_net_new", "SELECT DISTINCT user_id FROM events")
-def stream_net_new(spark, sf_dir):
-    from signal_engine.streaming import feeds
-
-    raw, run = _stream(spark, sf_dir)
-    return run(feeds.net_new(raw.select("user_id", "ts"), "user_id", "ts", None).select("user_id"), "append")
-
-
 @register("tumbling_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, sf_dir):
     from signal_engine.streaming import feeds

@@ -27,6 +27,12 @@ def _run(spark, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         return feeds.run_to_table(df, f"{where}/table", mode, f"{where}/checkpoint")
 
 
+@register("stream_net_new", "SELECT DISTINCT user_id FROM events")
+def stream_net_new(spark, sf_dir):
+    where = _folder(spark, "net-new")
+    return feeds.net_new_table(_events_feed(spark, sf_dir), "user_id", f"{where}/table", f"{where}/checkpoint")
+
+
 _MOVES = {
     ("new", "view"): "visitor", ("new", "signup"): "trial", ("visitor", "signup"): "trial", ("visitor", "error"): "new", ("trial", "click"): "active", ("trial", "error"): "blocked",
     ("active", "purchase"): "customer", ("active", "error"): "blocked", ("blocked", "signup"): "trial", ("blocked", "view"): "closed", ("dormant", "click"): "active", ("dormant", "view"): "trial",

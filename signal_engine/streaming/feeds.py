@@ -19,6 +19,23 @@ def net_new(events: DataFrame, key: str, time: str, late: str | None = "1 day")
     return events.dropDuplicates([key]) if late is None else events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def net_new_table(events: DataFrame, key: str, path: str, checkpoint: str) -> DataFrame:
+    """Run over what is there and return the table of keys ever seen, each once. The table itself is what is known: a
+    batch adds the keys that no earlier batch has, so nothing grows in memory, and a batch that comes again replaces
+    what it wrote."""
+    spark = events.sparkSession
+    schema = events.select(key).schema
+
+    def admit(rows: DataFrame, batch: int) -> None:
+        known = spark.read.schema(f"{schema[0].simpleString().replace(':', ' ')}, batch_number long").parquet(path).where(F.col("batch_number") < batch)
+        new = rows.select(key).distinct()
+        new.join(known.withColumnRenamed(key, "_known"), F.col(key).eqNullSafe(F.col("_known")), "left_anti").write.mode("overwrite").parquet(f"{path}/batch_number={batch}")
+
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch_number=-1")
+    events.select(key).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(admit).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path).select(key)
+
+
 def tumbling(events: DataFrame, time: str, width: str, *keys: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).count()
 

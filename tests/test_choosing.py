@@ -182,3 +182,23 @@ def test_candidates_are_far_fewer_than_pairs(spark):
     names = sorted({" ".join("".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(2)) for _ in range(1500)})
     df = spark.createDataFrame([(n,) for n in names], "name string")
     assert joins.name_candidates(df, df, 0.85).count() < len(names) ** 2 / 100
+
+
+def test_connectors_name_the_strongest_signal(spark):
+    import datetime as dt
+
+    from signal_engine.operators import connectors
+
+    day = lambda y: dt.date(y, 1, 1)
+    roles = [("c", "r1", "Acme Inc.", day(2001), day(2004), False), ("t", "r2", "acme", day(2003), None, True), ("u", "r3", "Acme Labs", day(2003), None, False), ("v", "r4", "Pineacme", day(2001), day(2009), False)]
+    signals = [("c", "u", "city", "Ulm"), ("c", "v", "investor", "F1"), ("c", "v", "investor", "F2"), ("c", "w", "direct_intro", "e9"), ("c", "w", "investor", None)]
+    got = connectors.target_connectors(
+        spark.createDataFrame([("c", x, r) for x, r in (("t", "High"), ("u", "high"), ("v", " "), ("w", None))], "connector string, target string, confidence string"),
+        spark.createDataFrame(roles, "person string, role_id string, company string, start date, end date, is_current boolean"), spark.createDataFrame(signals, "connector string, target string, kind string, value string"), F.to_date(F.lit("2010-01-01")),
+    )
+    rows = {r["target"]: (r["score"], r["shared_signal"], r["shared_detail"], r["segment"], r["evidence_ids"]) for r in got.collect()}
+    assert rows == {
+        "t": (95.0, "verified_work_overlap", "Acme Inc., 2003-01-01 to 2004-01-01", "strong_warm_intro", ["r1", "r2"]),
+        "u": (55.0, "company_proximity", "Acme Inc.; employment dates unavailable or non-overlapping", "review_warm_intro", []),
+        "v": (2.0, "investor_overlap", "F1; F2", "no_strong_path", []), "w": (160.0, "direct_introduction", "e9", "review_warm_intro", ["e9"]),
+    }

@@ -109,3 +109,13 @@ def test_followed_by_gives_nulls_behind_the_watermark(spark, tmp_path):
     sides = [feeds.read_feed(spark, f"{tmp_path}/{n}", SCHEMA).select("k", "id", "ts") for n in "ab"]
     pairs = feeds.run_to_table(machines.followed_by(*sides, "k", "ts", "60 MINUTES", "10 minutes"), f"{tmp_path}/table", "append", f"{tmp_path}/checkpoint")
     assert shown(pairs, "id", "then_id") == [(1, 11), (1, 12), (2, 12), (3, None)]  # 4 may still be followed
+
+
+def test_keys_are_admitted_once_over_restarts(spark, tmp_path):
+    def run():
+        return sorted((r["k"] for r in feeds.net_new_table(feeds.read_feed(spark, f"{tmp_path}/feed", SCHEMA), "k", f"{tmp_path}/table", f"{tmp_path}/checkpoint").collect()), key=str)
+
+    feed(spark, f"{tmp_path}/feed", [("a", 1, "x", 0), ("a", 2, "x", 1), ("b", 3, "x", 2)])
+    assert run() == ["a", "b"]
+    feed(spark, f"{tmp_path}/feed", [("b", 4, "x", 9000), ("c", 5, "x", 0)])
+    assert run() == ["a", "b", "c"] and run() == ["a", "b", "c"]
