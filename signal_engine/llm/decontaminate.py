@@ -121,9 +121,10 @@ def _ranges(hit: DataFrame, k: int) -> DataFrame:
 
 def _window_matches(read: DataFrame, ranges: DataFrame, number: int, counted: DataFrame, scratch: Scratch, label: str, k: int, percent: int) -> DataFrame:
     """(doc, key, len, s, places, start, common, wfp): every window of the ranges that can reach the similarity, its
-    shingles in common with the item's and its fingerprint. read: documents (doc, th, w)."""
+    shingles in common with the item's and its fingerprint. read: documents (doc, th, t)."""
     sent = F.broadcast if number <= BROADCAST_RANGES else lambda df: df
-    held = read.join(sent(ranges.select("doc", "th").distinct()), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).join(sent(ranges), ["doc", "th"])
+    held = read.join(sent(ranges.select("doc", "th").distinct()), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
+    held = held.select("doc", "th", words(F.col("t")).alias("w")).join(sent(ranges), ["doc", "th"])
     hashes = let(F.col("w"), lambda w: F.transform(F.sequence("lo", F.col("hi") + F.col("places") - 1), lambda i: gram(w, i, k)))
     rows = held.select("rid", "key", "s", "places", "lo", "hi", F.posexplode(hashes).alias("at", "h")).withColumn("pos", F.col("lo") + F.col("at")).drop("at")
     # at most block_rows rows
@@ -179,9 +180,10 @@ def find_matches(
     for row in sorted(sizes, key=lambda r: -r["k"]):
         k, parts = row["k"], -(-row["n"] // block_rows)
         own = item.where(F.col("k") == k).withColumn("hs", let(F.col("iw"), lambda w: shingles(w, k))).withColumn("fp", simhash(F.col("hs")))
-        read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("w")).where(F.size("w") >= k)
-        # hashed before they are exploded, so that no row carries its document's words
-        place = read.select("doc", "th", F.size("w").alias("n"), F.posexplode(let(F.col("w"), lambda w: shingles(w, k))).alias("pos", "h"))
+        read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+        place = read.select("doc", "th", words(F.col("t")).alias("w")).where(F.size("w") >= k)
+        place = place.select("doc", "th", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("pos"))
+        place = place.select("doc", "th", F.size("w").alias("n"), "pos", gram(F.col("w"), F.col("pos"), k).alias("h"))
         for part in range(parts):
             block = own.where(F.pmod(F.xxhash64("item", "iw"), F.lit(parts)) == part) if parts > 1 else own
             block = block.withColumn("key", F.xxhash64("item", "iw")).withColumn("s", F.size("hs"))
