@@ -85,12 +85,17 @@ VERIFY_FLAGS = (
 
 def audit_contacts(df: DataFrame, as_of: Column) -> DataFrame:
     """Accuracy flags, e-mail risk and action per contact. Columns used: person, email, company, current_company,
-    title, domain, linkedin, profile_at, verified_at, identity, validation, corroboration, confidence."""
+    title, domain, linkedin, profile_at, verified_at, identity, validation, corroboration, confidence; and, where it is
+    there, allowed_email_domains, further domains of the account (split at commas, semicolons and blanks)."""
     norm = lambda c: F.lower(tx.squeeze(tx.text(F.col(c))))
     email, changed = F.trim(tx.text(F.col("email"))), (norm("current_company") != "") & (norm("company") != "") & (norm("current_company") != norm("company"))
     mail_domain, domain = tx.email_domain(F.col("email")), F.lower(tx.text(F.col("domain")))
     bad_format = ~email.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
-    wrong_domain = F.when(changed & (domain != "") & (mail_domain == domain), True).otherwise((domain != "") & (mail_domain != domain))
+    allowed = F.filter(F.array(domain), lambda d: d != "")
+    if "allowed_email_domains" in df.columns:
+        more = F.transform(F.split(F.lower(tx.text(F.col("allowed_email_domains"))), r"[,; ]+"), lambda d: F.regexp_replace(d, r"^(?:https?://)?(?:www\.)?|/.*$", ""))
+        allowed = F.concat(allowed, F.filter(more, lambda d: d != ""))
+    wrong_domain = F.when(changed & (domain != "") & (mail_domain == domain), True).otherwise((F.size(allowed) > 0) & ~F.array_contains(allowed, mail_domain))
     profile_age, email_age = F.datediff(as_of, "profile_at"), F.datediff(as_of, "verified_at")
     validation = F.lower(F.trim(tx.text(F.col("validation"))))
     catch_all = validation.contains("catch-all") | validation.contains("catch_all")
@@ -107,7 +112,7 @@ def audit_contacts(df: DataFrame, as_of: Column) -> DataFrame:
         flag(catch_all & ~corroborated, "catch_all_not_corroborated"), flag(~catch_all & invalid, "email_invalid"), flag(~catch_all & ~invalid & unknown, "email_validation_unknown"),
     ]
     w = Window.partitionBy("person")
-    differs = lambda c: F.size(F.collect_set(norm(c)).over(w)) > 1
+    differs = lambda c: F.coalesce(F.min(norm(c)).over(w) != F.max(norm(c)).over(w), F.lit(False))
     conflict = F.when(F.col("person").isNotNull() & (differs("email") | differs("title") | differs("current_company")), F.lit("duplicate_person_conflict"))
     out = df.withColumn("flags", F.array_sort(F.array_compact(F.array(*flags, conflict))))
     out = out.withColumn("email_risk", F.when(catch_all, F.when(corroborated, "MED").otherwise("HIGH")).when(invalid, "HIGH").when(unknown, "MED").otherwise("LOW"))

@@ -123,3 +123,14 @@ def test_scorecards_counts_and_identities(spark):
     reasons = spark.createDataFrame([(["a", "a", "b"],), ([],), (None,), (["b", ""],)], "r array<string>")
     assert {r["reason"]: r["rows"] for r in selection.exclusion_counts(reasons, F.col("r")).collect()} == {"a": 1, "b": 2}
     assert {r["value"]: r["rows"] for r in selection.counts_with_zeros(reasons.select(F.lit("x").alias("s")), "s", ["x", "y"]).collect()} == {"x": 4, "y": 0}
+
+
+def test_allowed_email_domains(spark):
+    from signal_engine.operators import scoring
+
+    columns = "person string, email string, company string, current_company string, title string, domain string, linkedin string, profile_at date, verified_at date, identity string, validation string, corroboration int, confidence string, allowed_email_domains string"
+    row = lambda p, email, domain, allowed, now="Acme": (p, email, "Acme", now, "CTO", domain, "", None, None, "name", "valid", 0, "high", allowed)
+    rows = [row("a", "x@acme.io", "acme.com", "acme.io; www.acme.de"), row("b", "x@acme.net", "acme.com", "acme.io"), row("c", "x@acme.com", "acme.com", None), row("d", "x@other.org", "", None), row("e", "x@other.org", "", "https://acme.io/x"), row("f", "x@acme.com", "acme.com", "acme.com", "Beta"), row("f", "y@acme.com", "acme.com", None, "Beta")]
+    got = {(r["person"], r["email"]): r["flags"] for r in scoring.audit_contacts(spark.createDataFrame(rows, columns), F.to_date(F.lit("2024-01-01"))).collect()}
+    assert {k[0] for k, v in got.items() if "email_domain_mismatch" in v} == {"b", "e", "f"}
+    assert {k[0] for k, v in got.items() if "duplicate_person_conflict" in v} == {"f"}
