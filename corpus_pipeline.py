@@ -21,7 +21,7 @@ from signal_engine.llm.common import Scratch
 
 BROADCAST_IDS = 1_000_000
 #: Python workers pass from stage to stage, so each stage's caches and slices are small; no result depends on them.
-CACHE_WORDS, SLICE_BYTES = 100_000, 1 << 20
+CACHE_WORDS, SLICE_BYTES = 60_000, 1 << 19
 
 
 KEY = "_corpus_pipeline_row_key"

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from signal_engine.llm.common import SLICE_BYTES, Scratch, as_arrow_string, slices, sole_cache, tidy
 
 SHORT_WORD = 32  # characters up to which products of probabilities are far from underflow
-CELLS = 4_000_000  # numbers that a pass holds at once, but for single longer words
+CELLS = 400_000  # numbers that a pass holds at once, but for single longer words
 UNKNOWN = 1e-7  # of a character that no piece covers
 UNDETERMINED = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -189,7 +189,7 @@ class Scorer:
     """Log probabilities of texts in every language."""
 
     def __init__(self, model: Model, cache_words: int = 250_000):
-        self.model, self.cache_words = model, max(1000, min(cache_words, CELLS // max(1, len(model.languages))))
+        self.model, self.cache_words = model, max(1000, min(cache_words, 1_000_000 // max(1, len(model.languages))))
         self.lattice = Lattice(model.pieces)
         self.known: dict[str, int] = {"": 0}
         self.table = np.zeros((1024, len(model.languages)))
