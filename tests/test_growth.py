@@ -13,3 +13,15 @@ def test_role_proximity_deals_a_hot_key(spark):
     pairs = joins.role_proximity(rows, rows, "k", F.to_date(F.lit("2022-01-01")))
     assert pairs.count() == 300 * 300
     assert pairs.select(F.spark_partition_id()).distinct().count() > 1  # few bytes, many pairs: not one task's work
+
+def test_similarity_is_computed_once_for_equal_rows(spark):
+    rng = random.Random(3)
+    side = [(i, rng.choice("xy"), rng.sample("abcd", rng.randint(0, 3))) for i in range(1200)]
+    df = spark.createDataFrame(side, "id long, k string, tokens array<string>")
+    got = {(r["id"], r["other"]): r["similarity"] for r in joins.similar_within(df, "k").collect()}
+    expected = {(a, b): len({*x} & {*y}) / len({*x} | {*y}) if x or y else None for (a, k, x), (b, j, y) in itertools.combinations(side, 2) if k == j}
+    assert got == expected
+    same = spark.range(5000).select("id", F.lit("x").alias("k"), F.array(F.lit("a")).alias("tokens"))
+    blocks = joins.id_blocks(same, "id", "k", "tokens").select(F.size("ids").alias("n")).collect()
+    assert len(blocks) <= 10 and sum(b["n"] for b in blocks) == 5000
+    assert joins.similar_within(same.where("id < 700"), "k").count() == 700 * 699 // 2  # over several blocks
