@@ -25,3 +25,9 @@ def test_similarity_is_computed_once_for_equal_rows(spark):
     blocks = joins.id_blocks(same, "id", "k", "tokens").select(F.size("ids").alias("n")).collect()
     assert len(blocks) <= 10 and sum(b["n"] for b in blocks) == 5000
     assert joins.similar_within(same.where("id < 700"), "k").count() == 700 * 699 // 2  # over several blocks
+
+def test_interval_overlap_deals_a_hot_year(spark):
+    rows = spark.range(300).groupBy("id").agg(F.lit(1).alias("k"), F.to_date(F.lit("2020-01-01")).alias("start"), F.to_date(F.lit("2020-02-01")).alias("end"), F.lit(False).alias("is_current"))
+    pairs = joins.interval_overlap(rows, rows, "k", F.to_date(F.lit("2022-01-01")))
+    assert pairs.count() == 300 * 300
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 1
