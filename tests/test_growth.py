@@ -31,3 +31,10 @@ def test_interval_overlap_deals_a_hot_year(spark):
     pairs = joins.interval_overlap(rows, rows, "k", F.to_date(F.lit("2022-01-01")))
     assert pairs.count() == 300 * 300
     assert pairs.select(F.spark_partition_id()).distinct().count() > 1
+
+def test_token_subset_does_not_shuffle_pairs(spark):
+    same = spark.range(1100).select("id", F.array((F.col("id") % 2).cast("string"), F.lit("a")).alias("tokens"))
+    pairs = joins.token_subset(same, same)
+    assert pairs.count() == 2 * 550 * 550
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "left_id" in line and "right_id" in line]
