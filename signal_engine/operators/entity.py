@@ -118,21 +118,36 @@ def edge_violations(edges: DataFrame, nodes: DataFrame, types: list[str], least:
     return joined.select("edge_id", F.explode(F.array_compact(F.array(*marks))).alias("problem"))
 
 
+def _managers(people: DataFrame) -> DataFrame:
+    """Those of people (company, rank, team, city, years, manager) who may be a person's best manager: among managers of
+    the same company, rank, team and city one with a smaller id and no fewer years is never worse, and few have none
+    such beside them."""
+    older = Window.partitionBy("company", "rank", "team", "city").orderBy(F.desc_nulls_last("years")).rowsBetween(Window.unboundedPreceding, -1)
+    return people.withColumn("_least", F.min("manager").over(older)).where("_least IS NULL OR manager < _least").drop("_least")
+
+
 def predict_manager(people: DataFrame, least: int = 5) -> DataFrame:
     """(person, manager, score) within a company by seniority gap, team, city and experience; the best of at least
     ``least``. people: (company, person, rank, team, city, years)."""
-    p, m = people.alias("p"), people.alias("m")
-    gap = F.col("p.rank") - F.col("m.rank")
-    team, other = F.lower("p.team"), F.lower("m.team")
+    traits = ["company", "rank", "team", "city", "years"]
+    rows = people.where("company IS NOT NULL AND rank IS NOT NULL").withColumn("team", F.lower("team"))
+    # persons of the same traits have the same best manager
+    alike = rows.groupBy(*traits).agg(F.min("person").alias("manager"))
+    m = _managers(alike).select("company", F.col("rank").alias("m_rank"), *[F.col(c).alias(f"m_{c}") for c in ("team", "city", "years")], "manager", F.explode(F.transform(F.array(*map(F.lit, range(3))), lambda i: F.floor("rank") + i)).alias("_near"))
+    gap = F.col("rank") - F.col("m_rank")
+    team, other = F.col("team"), F.col("m_team")
     score = (
         F.when(gap == 1, 10).when(gap == 2, 5).otherwise(0)
         + F.when(team == other, 8).when(team.contains(other) | other.contains(team), 3).otherwise(0)
-        + F.when(F.col("p.city") == F.col("m.city"), 2).otherwise(0)
-        + F.when(F.col("m.years") - F.col("p.years") >= 3, 2).otherwise(0)
+        + F.when(F.col("city") == F.col("m_city"), 2).otherwise(0)
+        + F.when(F.col("m_years") - F.col("years") >= 3, 2).otherwise(0)
     )
-    pairs = p.join(m, (F.col("p.company") == F.col("m.company")) & (F.col("m.rank") < F.col("p.rank")) & (F.col("m.rank") >= F.col("p.rank") - 2))
-    scored = pairs.select(F.col("p.person").alias("person"), F.col("m.person").alias("manager"), score.alias("score")).where(F.col("score") >= least)
-    return scored.groupBy("person").agg(F.max_by(F.struct("manager", "score"), F.struct("score", -F.col("manager"))).alias("b")).select("person", "b.manager", "b.score")
+    met = alike.select(*traits, F.floor("rank").alias("_near")).join(m, ["company", "_near"]).where("m_rank < rank AND m_rank >= rank - 2")
+    scored = met.select(*traits, "manager", score.alias("score")).where(F.col("score") >= least)
+    first = scored.groupBy(*traits, "score").agg(F.min("manager").alias("manager")).groupBy(*traits).agg(F.max_by(F.struct("manager", "score"), "score").alias("b"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in traits]
+    each = rows.alias("p").join(first.alias("f"), same).select("p.person", "f.b.manager", "f.b.score")
+    return each.groupBy("person").agg(F.max_by(F.struct("manager", "score"), F.struct("score", -F.col("manager"))).alias("b")).select("person", "b.manager", "b.score")
 
 
 def hiring_velocity(people: DataFrame, team: str, tenure_days: str) -> DataFrame:

@@ -38,3 +38,21 @@ def test_token_subset_does_not_shuffle_pairs(spark):
     assert pairs.count() == 2 * 550 * 550
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange" in line and "left_id" in line and "right_id" in line]
+
+def test_few_managers_are_candidates(spark):
+    rng = random.Random(5)
+    people = [(rng.choice([1, 2, None]), i, rng.choice([1.0, 1.5, 2.0, 3.0, None]), rng.choice(["A", "b", "Ab", None]), rng.choice([1, 2, None]), rng.choice([*range(9), None])) for i in range(150)]
+
+    def score(p, m):
+        gap, team, other = p[2] - m[2], (p[3] or "").lower(), (m[3] or "").lower()
+        near = 0 if None in (p[3], m[3]) else 8 if team == other else 3 if team in other or other in team else 0
+        return {1: 10, 2: 5}.get(gap, 0) + near + 2 * (p[4] is not None and p[4] == m[4]) + 2 * (None not in (p[5], m[5]) and m[5] - p[5] >= 3)
+
+    expected = set()
+    for p in people:
+        met = [(-score(p, m), m[1]) for m in people if None not in (p[0], p[2], m[2]) and p[0] == m[0] and p[2] - 2 <= m[2] < p[2] and score(p, m) >= 5]
+        expected |= {(p[1], min(met)[1], -min(met)[0])} if met else set()
+    df = spark.createDataFrame(people, "company int, person long, rank double, team string, city int, years int")
+    assert {tuple(r) for r in entity.predict_manager(df).collect()} == expected
+    many = spark.range(4000).select(F.lit(1).alias("company"), F.lit(1).alias("rank"), F.lit("a").alias("team"), F.lit(1).alias("city"), F.xxhash64("id").alias("years"), F.col("id").alias("manager"))
+    assert entity._managers(many).count() < 50  # of one group of 4,000; they alone meet its members
