@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from signal_engine.operators.ordered import cut_lineage
@@ -39,26 +39,32 @@ def row_tokens(rows: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame
 def farthest_sample(rows: DataFrame, id_col: str, size: int) -> DataFrame:
     """(rank, id): farthest-point traversal over token sets (id, tokens). A round takes the row with the largest
     1000 x least Jaccard distance to the rows taken plus the rarity (sum of 1 / rows that have it) of its tokens that
-    none of them has; ties go to the smaller id. Rows keep their least distance, so a round is one pass; lineage is
-    cut every CUT_EVERY rounds. Null tokens are an empty set; rows without an id take no part."""
+    none of them has; ties go to the smaller id. Rows of the same tokens stay alike but for their ids, so the table is
+    read once, into its distinct token sets with their ``size`` smallest ids, and a round is one pass over these, each
+    with its least distance; lineage is cut every CUT_EVERY rounds. Null tokens are an empty set; rows without an id
+    take no part."""
     spark = rows.sparkSession
-    own = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"))
-    each = own.select("id", F.explode("tokens").alias("token"))
-    weights = each.groupBy("token").agg(F.count("*").alias("n"))
-    rare = each.join(weights, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", (1 / F.col("n")).alias("w")))).alias("rare"))
-    state = cut_lineage(own.join(rare, "id", "left").select("id", F.coalesce("rare", F.array().cast("array<struct<token:string,w:double>>")).alias("rare"), F.transform(F.coalesce("rare", F.array().cast("array<struct<token:string,w:double>>")), lambda t: t["token"]).alias("tokens"), F.lit(1.0).alias("least"), F.lit(False).alias("taken")))
+    tokens = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("tokens", F.array().cast("array<string>")))))
+    own = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens.alias("tokens"))
+    first = own.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("tokens").orderBy("id"))).where(F.col("_n") <= size)
+    ids = first.groupBy("tokens").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    sets = cut_lineage(own.groupBy("tokens").agg(F.count("*").alias("n")).join(ids, "tokens"))
+    each = sets.select("tokens", "n", F.explode("tokens").alias("token"))
+    weights = each.groupBy("token").agg(F.sum("n").alias("uses"))
+    rare = each.join(weights, "token").groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("token", (1 / F.col("uses")).alias("w")))).alias("rare"))
+    state = cut_lineage(sets.join(rare, "tokens", "left").select("ids", F.coalesce("rare", F.array().cast("array<struct<token:string,w:double>>")).alias("rare"), "tokens", F.lit(1.0).alias("least")))
     picked: list[Row] = []
     for rank in range(size):
         novelty = F.aggregate("rare", F.lit(0.0), lambda total, t: total + t["w"])
         score = F.round(F.col("least") * 1000 + novelty, DIGITS)
-        best = state.where(~F.col("taken")).agg(F.min(F.struct((-score).alias("s"), "id", "tokens")).alias("b")).first()["b"]
+        best = state.where(F.size("ids") > 0).agg(F.min(F.struct((-score).alias("s"), F.col("ids")[0].alias("id"), "tokens")).alias("b")).first()["b"]
         if best is None:
             break
         picked.append(Row(rank=rank + 1, id=best["id"]))
         seen = F.array(*map(F.lit, best["tokens"])).cast("array<string>")
         both = F.size(F.array_union("tokens", seen))
         distance = F.when(both > 0, 1 - F.size(F.array_intersect("tokens", seen)) / both).otherwise(0.0)
-        state = state.select("id", F.filter("rare", lambda t: ~F.array_contains(seen, t["token"])).alias("rare"), "tokens", F.least("least", distance).alias("least"), (F.col("taken") | (F.col("id") == F.lit(best["id"]))).alias("taken"))
+        state = state.select(F.array_remove("ids", F.lit(best["id"])).alias("ids"), F.filter("rare", lambda t: ~F.array_contains(seen, t["token"])).alias("rare"), "tokens", F.least("least", distance).alias("least"))
         if rank % CUT_EVERY == CUT_EVERY - 1:
             state = cut_lineage(state)
     kind = rows.schema[id_col].dataType.simpleString()

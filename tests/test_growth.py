@@ -56,3 +56,10 @@ def test_few_managers_are_candidates(spark):
     assert {tuple(r) for r in entity.predict_manager(df).collect()} == expected
     many = spark.range(4000).select(F.lit(1).alias("company"), F.lit(1).alias("rank"), F.lit("a").alias("team"), F.lit(1).alias("city"), F.xxhash64("id").alias("years"), F.col("id").alias("manager"))
     assert entity._managers(many).count() < 50  # of one group of 4,000; they alone meet its members
+
+def test_farthest_sample_works_on_distinct_sets(spark, monkeypatch):
+    seen, cut = [], choosing.cut_lineage
+    monkeypatch.setattr(choosing, "cut_lineage", lambda df: seen.append(cut(df)) or seen[-1])
+    rows = spark.range(400).select("id", F.array((F.col("id") % 5).cast("string")).alias("tokens"))
+    assert [r["id"] for r in choosing.farthest_sample(rows, "id", 7).orderBy("rank").collect()] == [0, 1, 2, 3, 4, 5, 6]
+    assert max(df.count() for df in seen) == 5
