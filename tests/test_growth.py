@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from signal_engine.operators import choosing, entity, joins
+from signal_engine.streaming import machines
 
 
 def test_role_proximity_deals_a_hot_key(spark):
@@ -63,3 +64,66 @@ def test_farthest_sample_works_on_distinct_sets(spark, monkeypatch):
     rows = spark.range(400).select("id", F.array((F.col("id") % 5).cast("string")).alias("tokens"))
     assert [r["id"] for r in choosing.farthest_sample(rows, "id", 7).orderBy("rank").collect()] == [0, 1, 2, 3, 4, 5, 6]
     assert max(df.count() for df in seen) == 5
+
+
+class _Store:
+    """A state store in memory that counts its messages."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def _variable(self, name, start):
+        store = self
+
+        class Variable:
+            def __getattr__(self, call):
+                def run(*args):
+                    store.calls += 1
+                    now = store.values.get(name, start)
+                    if call == "get":
+                        return iter(now) if start == [] else now
+                    if call == "exists":
+                        return name in store.values
+                    store.values[name] = {"put": lambda x: list(x), "update": lambda x: x, "appendList": lambda x: [*now, *x], "clear": lambda: start}[call](*args)
+
+                return run
+
+        return Variable()
+
+    def getValueState(self, name, schema):
+        return self._variable(name, None)
+
+    def getListState(self, name, schema):
+        return self._variable(name, [])
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class _Times:
+    def __init__(self, low):
+        self.low = low
+
+    def getCurrentWatermarkInMs(self):
+        return self.low
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_a_machine_sends_few_messages_a_batch():
+    store = _Store()
+    made = machines._MachineProcessor(machines.Machine("new", {("new", "a"): "on", ("on", "a"): "on"}, {"on": (60, "off")}))
+    made.init(store)
+    rows = [{"at": i * 1_000_000, "event_id": i, "event": "a"} for i in range(1000)]
+    assert len(list(made.handleInputRows(("k",), iter(rows), _Times(0)))) == 1000
+    assert store.calls <= 6 and store.timers == {1_059_001}
+    assert list(made.handleInputRows(("k",), iter(rows[500:]), _Times(500_000))) == []  # a replay
+    assert len(store.values["seen"]) == 500 and store.timers == {1_059_001}
+    store.timers.clear()  # it fires
+    assert [r["to_state"] for r in made.handleExpiredTimer(("k",), _Times(1_100_000), _Times(1_059_001))] == ["off"]
+    assert store.values["now"][0] == "off" and not store.timers
