@@ -127,3 +127,17 @@ def test_a_machine_sends_few_messages_a_batch():
     store.timers.clear()  # it fires
     assert [r["to_state"] for r in made.handleExpiredTimer(("k",), _Times(1_100_000), _Times(1_059_001))] == ["off"]
     assert store.values["now"][0] == "off" and not store.timers
+
+
+def test_calls_of_a_bucket_share_their_messages():
+    store = _Store()
+    made = machines._TtlProcessor()
+    made.init(store)
+    rows = [{"key": f"c{i % 100}", "at": i * 1_000_000, "id": i, "ttl": None if i % 100 == 7 else 150} for i in range(300)]
+    got = [r["action"] for r in made.handleInputRows((1,), iter(rows), _Times(0))]
+    assert got == ["run"] * 100 + ["reuse"] * 100 + ["reuse" if i == 7 else "run" for i in range(100)]
+    assert store.calls <= 6 and len(store.timers) == 1
+    (at,) = store.timers
+    store.timers.clear()
+    assert list(made.handleExpiredTimer((1,), _Times(at), _Times(at))) == []
+    assert [k for k, *_ in store.values["last"]] == ["c7"] and not store.timers
