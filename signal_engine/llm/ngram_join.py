@@ -17,10 +17,12 @@ from a partner, candidates are found as follows.
   two sketches differ are no more than the tokens that only one of the sets holds, so a pair whose sketches
   differ more than a linked pair's sets may is dropped, exactly and without reading the sets.
 * In every bucket the smallest member (the pivot) meets all others; what the sketches leave is verified on the
-  whole sets, each node's likeliest partner first, then the pairs that still join different components. Last,
-  the other members of a bucket that are in different components are compared by sketch, in tiles of bounded
-  size that return only the pairs left: first each member's ``BEST`` likeliest, then, once those are verified
-  and components merged, all that remain. No bucket is cut off, and no bucket emits its pairs.
+  whole sets, each node's likeliest partner first, then the pairs that still join different components.
+* Last, the other members of a bucket that are in different components are compared by sketch, in tiles. A tile
+  returns a forest of likely pairs, fewer than it has components; those are verified and components merged,
+  first inside tiles, then across them. The members that still have a possible partner in another component are
+  returned once more, a row each, and their whole sets meet in groups that return a forest of true links. So no
+  bucket is cut off, and no step returns more rows than it reads, whether pairs link or not.
 
 Nothing that grows with the documents is collected or broadcast but the bitmaps: a level's has at most half the
 bits of the one before, so together they take at most twice ``MAX_BITS`` bits (64 MB). Tables that later steps
@@ -48,7 +50,8 @@ STEP = 3
 MIN_BITS, MAX_BITS = 16, 28
 CELLS, MOST_CELLS = 4, 1 << 14  # sketch cells for each token, at least; all cells of a set of up to so many tokens
 BEST = 4
-TILE = 1024
+TILE = 1024  # a bucket of c members has sqrt(c / TILE) tiles, so it is dealt so many times
+TILE_TOKENS = 1 << 22  # or more tiles, so that the sets of a tile's members take about 32 MB at most
 ROUNDS = 60
 WHOLE = 64  # sets up to this size are counted whole
 _A, _B, _C = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -199,11 +202,11 @@ def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return [out[e - w : e] for e, w in zip(ends.tolist(), words.tolist(), strict=True)]
 
 
-def near_pairs(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: list[np.ndarray], percent: int, best: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components whose sketches let them link, as places in the arrays; with best, only so many
-    of the smallest difference for each row. If there are two tiles, only pairs across them."""
+def near_blocks(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: list[np.ndarray], percent: int):
+    """(a, b, ok, differ) for blocks of pairs, each pair in one: rows a and b, which pairs of them are of different
+    components and let by their sketches to link, and their sketches' difference. If there are two tiles, only pairs
+    across them."""
     words = np.fromiter((len(x) for x in sketch), np.int64, len(sketch))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     across = len(tile) > 0 and bool((tile != tile[0]).any())
     for w in np.unique(words).tolist():
         own = np.flatnonzero(words == w)
@@ -224,15 +227,94 @@ def near_pairs(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarra
                     ok &= tile[a][:, None] != tile[other][None]
                 if factor == 1:
                     ok &= sid[a][:, None] < sid[other][None]
-                if best is not None and ok.shape[1] > best:
-                    bound = np.partition(np.where(ok, differ, 1 << 40), best - 1, axis=1)[:, best - 1]
-                    ok &= differ <= bound[:, None]
-                    ok &= np.cumsum(ok, axis=1) <= best
-                i, j = np.nonzero(ok)
-                found.append((a[i], other[j]))
+                if ok.any():
+                    yield a, other, ok, differ
+
+
+def likely_forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows (places) that would join components, fewer than there are: of each row's BEST likeliest partners,
+    by growing difference of the sketches, those that no pair before has joined."""
+    found = []
+    for a, b, ok, differ in near_blocks(sid, n, comp, tile, sketch, percent):
+        if ok.shape[1] > BEST:
+            bound = np.partition(np.where(ok, differ, 1 << 40), BEST - 1, axis=1)[:, BEST - 1]
+            ok &= differ <= bound[:, None]
+            ok &= np.cumsum(ok, axis=1) <= BEST
+        i, j = np.nonzero(ok)
+        found.append(np.stack([differ[i, j], a[i], b[j]]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return []
+    pairs = np.concatenate(found, axis=1)
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := top.get(c, c)) != c:
+            top[c] = c = top.get(up, up)
+        return c
+
+    out = []
+    for _, i, j in pairs[:, np.lexsort(pairs[::-1])].T.tolist():
+        if (x := root(int(comp[i]))) != (y := root(int(comp[j]))):
+            top[y] = x
+            out.append((i, j))
+    return out
+
+
+def has_partner(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which rows are in any pair of near_blocks."""
+    out = np.zeros(len(sid), bool)
+    for a, b, ok, _ in near_blocks(sid, n, comp, tile, sketch, percent):
+        out[a[ok.any(1)]] = True
+        out[b[ok.any(0)]] = True
+    return out
+
+
+def true_forest(sid: np.ndarray, n: np.ndarray, comp: np.ndarray, sketch: list[np.ndarray], tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows (places) that link, fewer than there are components: every pair of near_blocks that is still in
+    different components is verified on the whole sets."""
+    distinct, code = np.unique(np.concatenate(tokens), return_inverse=True)
+    ends = np.cumsum([len(x) for x in tokens])
+    own = [code[e - len(x) : e] for e, x in zip(ends.tolist(), tokens, strict=True)]
+    mark, comp, out = np.zeros(len(distinct), np.int64), comp.copy(), []
+    for a, b, ok, _ in near_blocks(sid, n, comp.copy(), np.zeros(len(sid), np.int64), sketch, percent):
+        for k in np.flatnonzero(ok.any(1)).tolist():
+            i = int(a[k])
+            others = b[ok[k] & (comp[b] != comp[i])]
+            if not len(others):
+                continue
+            mark[own[i]] = 1
+            sizes = n[others]
+            common = np.add.reduceat(mark[np.concatenate([own[j] for j in others.tolist()])], np.cumsum(sizes) - sizes)
+            mark[own[i]] = 0
+            for j in others[100 * common >= percent * (n[i] + sizes - common)].tolist():
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    out.append((i, j))
+    return out
+
+
+def by_group(keys: list[str], handle):
+    """A function of batches sorted by keys that calls handle(rows, cuts) with tables of whole groups: group g is
+    rows[cuts[g] : cuts[g + 1]]."""
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if kept is None else pa.concat_tables([kept, now])
+            key = np.stack([np.asarray(now[c].combine_chunks()).astype(np.int64) for c in keys])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+            kept = now.slice(cuts[-1])  # the last group may go on in the next batch
+            if len(cuts) > 1:
+                yield handle(now, cuts)
+        if kept is not None and kept.num_rows:
+            yield handle(kept, [0, kept.num_rows])
+
+    return run
+
+
+def _longs(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.asarray(rows[c].combine_chunks()).astype(np.int64) for c in names]
 
 
 class _Join:
@@ -394,11 +476,13 @@ class _Join:
         likeliest = near.groupBy("a").agg(F.min_by(F.struct("b", "a_rep", "b_rep"), F.struct("differ", "b")).alias("p")).select("a", "p.*")
         comp = components(self.verify(s.write(likeliest, "likeliest"), "links-0"), s, "cc-0")
         comp = self.merged(comp, self.verify(s.write(self.apart(near, comp), "other-stars"), "links-1"), "cc-1")
-        for turn, best in ((2, BEST), (3, None)):
-            pairs = s.write(self.within(buckets, comp, best), f"within-{turn}")
-            if not pairs.head(1):
-                break
-            comp = self.merged(comp, self.verify(pairs, f"links-{turn}"), f"cc-{turn}")
+        size = F.count("*").alias("c"), F.sum("n").alias("w")
+        wide = buckets.groupBy("sig").agg(*size).where(self.tiles() > 1).head(1)
+        for turn in ("inside", "across") if wide else ("inside",):
+            pairs = s.write(self.likely(buckets, comp, turn), f"likely-{turn}")
+            if pairs.head(1):
+                comp = self.merged(comp, self.verify(pairs, f"links-{turn}"), f"cc-{turn}")
+        comp = self.merged(comp, self.rest(buckets, comp), "cc-rest")
 
         named = nodes.select("sid", "rep", "row").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         label = named.groupBy("comp").agg(F.min(F.struct("rep", "row")).alias("first"))
@@ -440,44 +524,78 @@ class _Join:
         fresh = over.select(F.col("comp").alias("node"), F.col("top").alias("comp")).join(comp.select("node"), "node", "left_anti")
         return self.scratch.write(moved.unionByName(fresh), f"{label}-all")
 
-    def within(self, buckets: DataFrame, comp: DataFrame, best: int | None) -> DataFrame:
-        """(a, b, a_rep, b_rep): pairs of one bucket, both not its pivot, in different components, whose sketches let
-        them link. Buckets of members of more than one component are compared in tiles of about TILE members."""
-        percent = self.percent
+    def tiles(self) -> Column:
+        """The number of tiles of a bucket of c members whose sets hold w tokens."""
+        return F.ceil(F.greatest(F.sqrt(F.col("c") / TILE), F.col("w") / TILE_TOKENS)).cast("int")
+
+    def dealt(self, buckets: DataFrame, comp: DataFrame, which: str) -> DataFrame:
+        """(sig, t, u, sid, n, comp, tile, sketch), grouped: the members, but for the pivots, of buckets with more than
+        one component, in every pair of tiles; which: only pairs "inside" a tile, "across" two, or "all"."""
         left = buckets.select("sig", "sid", "n").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        mixed = left.groupBy("sig").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        tiles = F.ceil(F.col("c") / TILE).cast("int")
-        left = left.join(mixed.select("sig", tiles.alias("tiles")), "sig").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-        dealt = left.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("sig", "sid", "n", "comp", "tile", F.least("tile", "u").alias("t"), F.greatest("tile", "u").alias("u"))
-        dealt = dealt.join(self.nodes.select("sid", "sketch"), "sid").repartition("sig", "t", "u").sortWithinPartitions("sig", "t", "u")
+        mixed = left.groupBy("sig").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        left = left.join(mixed.select("sig", self.tiles().alias("tiles")), "sig").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+        if which == "inside":
+            left = left.withColumn("u", F.col("tile"))
+        else:
+            left = left.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            left = left.where("tile <> u") if which == "across" else left
+        left = left.select("sig", "sid", "n", "comp", "tile", F.least("tile", "u").alias("t"), F.greatest("tile", "u").alias("u"))
+        both = left.join(self.nodes.select("sid", "sketch"), "sid").repartition("sig", "t", "u").sortWithinPartitions("sig", "t", "u")
+        return both.select("sig", "t", "u", "sid", "n", "comp", "tile", "sketch")
+
+    def likely(self, buckets: DataFrame, comp: DataFrame, which: str) -> DataFrame:
+        """(a, b, a_rep, b_rep): a likely_forest of each pair of tiles."""
+        percent = self.percent
 
-        def run(batches):
-            kept = None
-            for batch in batches:
-                now = pa.Table.from_batches([batch])
-                now = now if kept is None else pa.concat_tables([kept, now])
-                key = np.stack([np.asarray(now[c].combine_chunks()).astype(np.int64) for c in ("sig", "t", "u")])
-                cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
-                kept = now.slice(cuts[-1])  # the last group may go on in the next batch
-                yield from groups(now, cuts)
-            if kept is not None:
-                yield from groups(kept, [0, kept.num_rows])
-
-        def groups(rows: pa.Table, cuts: list[int]):
-            if len(cuts) < 2:
-                return
-            sid, n, comp_of, tile = (np.asarray(rows[c].combine_chunks()).astype(np.int64) for c in ("sid", "n", "comp", "tile"))
-            sketch, a, b = _arrays(rows["sketch"].combine_chunks()), [], []
+        def forests(rows: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+            sid, n, comp_of, tile = _longs(rows, "sid", "n", "comp", "tile")
+            sketch, found = _arrays(rows["sketch"].combine_chunks()), []
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                x, y = near_pairs(sid[i:j], n[i:j], comp_of[i:j], tile[i:j], sketch[i:j], percent, best)
-                a.append(sid[i + x])
-                b.append(sid[i + y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+                found += [(i + x, i + y) for x, y in likely_forest(sid[i:j], n[i:j], comp_of[i:j], tile[i:j], sketch[i:j], percent)]
+            at = np.asarray(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(sid[at[:, 0]]), pa.array(sid[at[:, 1]])], ["a", "b"])
 
-        pairs = dealt.select("sig", "t", "u", "sid", "n", "comp", "tile", "sketch").mapInArrow(tidy(run), "a long, b long").distinct()
+        pairs = self.dealt(buckets, comp, which).mapInArrow(tidy(by_group(["sig", "t", "u"], forests)), "a long, b long").distinct()
         rep = lambda p: self.nodes.select(F.col("sid").alias(p), F.col("rep").alias(f"{p}_rep"))
         return pairs.join(rep("a"), "a").join(rep("b"), "b")
 
+    def rest(self, buckets: DataFrame, comp: DataFrame) -> DataFrame:
+        """(a, b): links that join all components that any pair of a bucket, not its pivot, joins. Members with a
+        possible partner meet with their whole sets, by pairs of tiles; pairs of tiles with the same such members are
+        one group, named by a hash of them (if two should share it, they only meet more members)."""
+        percent = self.percent
+
+        def open_members(rows: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+            sid, n, comp_of, tile = _longs(rows, "sid", "n", "comp", "tile")
+            sketch, group, member = _arrays(rows["sketch"].combine_chunks()), [], []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                own = np.sort(sid[i:j][has_partner(sid[i:j], n[i:j], comp_of[i:j], tile[i:j], sketch[i:j], percent)])
+                if len(own):
+                    group.append(np.full(len(own), set_id(own.view(np.uint64))))
+                    member.append(own)
+            none = np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *group])), pa.array(np.concatenate([none, *member]))], ["grp", "sid"])
+
+        def forests(rows: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+            sid, n, comp_of = _longs(rows, "sid", "n", "comp")
+            sketch, tokens, found = _arrays(rows["sketch"].combine_chunks()), _arrays(rows["tokens"].combine_chunks()), []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                found += [(i + x, i + y) for x, y in true_forest(sid[i:j], n[i:j], comp_of[i:j], sketch[i:j], tokens[i:j], percent)]
+            at = np.asarray(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(sid[at[:, 0]]), pa.array(sid[at[:, 1]])], ["a", "b"])
+
+        opened = self.dealt(buckets, comp, "all").mapInArrow(tidy(by_group(["sig", "t", "u"], open_members)), "grp long, sid long").distinct()
+        opened = self.scratch.write(opened, "open")
+        if not opened.head(1):
+            return opened.select(F.col("grp").alias("a"), F.col("sid").alias("b"))
+        nodes = self.nodes.select("sid", "n", "rep", "sketch").join(opened.select("sid").distinct(), "sid", "left_semi")
+        nodes = nodes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        nodes = self.scratch.write(nodes, "open-nodes")
+        sets = self.sets_of(nodes, "open-sets").dropDuplicates(["sid"])
+        groups = opened.join(nodes.join(sets, "sid"), "sid").repartition("grp").sortWithinPartitions("grp")
+        links = groups.select("grp", "sid", "n", "comp", "sketch", "tokens").mapInArrow(tidy(by_group(["grp"], forests)), "a long, b long").distinct()
+        return self.scratch.write(links, "links-rest")
+
     def verify(self, pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (a, b) of a written table (a, b, a_rep, b_rep) that link, by their whole sets. The sets of b are
         written; those of a are read from the documents again and go straight to their pairs."""

@@ -101,6 +101,55 @@ def test_ngram_join_of_many_edited_copies(spark, scratch, monkeypatch):
     assert 10 < len(set(label.tolist())) < len(sets)
 
 
+def two_groups(size, length=204, seed=4):
+    """Two groups of near copies; every text of one has a similarity of 178 / 224 with every text of the other."""
+    rng = random.Random(seed)
+    base = words(rng, length)
+    other = base[:80] + [f"y{k}" for k in range(18)] + base[98:]
+    return [(2 * i + g, " ".join([*w, f"end{g}x{i}"])) for i in range(size) for g, w in enumerate((base, other))]
+
+
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_ngram_join_makes_no_pairs_of_two_groups_below_the_threshold(spark, scratch, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    made, verify = [], ngram_join._Join.verify
+    monkeypatch.setattr(ngram_join._Join, "verify", lambda self, pairs, label: made.append(pairs.count()) or verify(self, pairs, label))
+    rows = two_groups(60)
+    got = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), scratch("t6"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == {i: (201, i % 2) for i, _ in rows} == brute_components(rows)
+    assert sum(made) <= 4 * len(rows)
+
+
+def test_tiles_return_fewer_pairs_than_rows():
+    import numpy as np
+
+    hashes = {}
+    tokens = [np.sort(np.asarray([hashes.setdefault(tuple(w[k : k + 5]), ngram_join.set_id(np.asarray([len(hashes)], np.uint64))) for k in range(len(w) - 4)], np.int64).view(np.uint64)) for w in (t.split() for _, t in [*edited_copies(300), *two_groups(60)])]
+    tokens = [np.unique(x) for x in tokens]
+    n = np.asarray([len(x) for x in tokens])
+    sid, tile = np.arange(len(n)), np.zeros(len(n), np.int64)
+    sketch = ngram_join.sketches(np.concatenate(tokens), n)
+    brute = np.arange(len(n))
+    linked = []
+    for i in range(len(n)):
+        for j in range(i):
+            common = len(np.intersect1d(tokens[i], tokens[j], assume_unique=True))
+            if 100 * common >= 80 * (n[i] + n[j] - common):
+                linked.append((i, j))
+                brute[brute == brute[i]] = brute[j]
+    pairs = ngram_join.true_forest(sid, n, sid, sketch, tokens, 80)
+    got = sid.copy()
+    for i, j in pairs:
+        got[got == got[i]] = got[j]
+    assert len(set(zip(brute.tolist(), got.tolist(), strict=True))) == len(set(brute.tolist())) == len(set(got.tolist()))
+    assert len(pairs) == len(n) - len(set(brute.tolist())) < len(linked) // 10
+    assert len(pairs) // 2 < len(ngram_join.likely_forest(sid, n, sid, tile, sketch, 80)) < len(n)
+    across = ngram_join.likely_forest(sid, n, sid, sid % 2, sketch, 80)
+    assert across and all((i + j) % 2 for i, j in across)
+    assert ngram_join.has_partner(sid, n, sid, tile, sketch, 80)[[i for pair in linked for i in pair]].all()
+    assert not ngram_join.has_partner(sid, n, tile, tile, sketch, 80).any()
+
+
 def test_sketches_bound_the_difference():
     import numpy as np
 
