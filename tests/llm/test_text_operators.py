@@ -120,6 +120,17 @@ def test_ngram_join_makes_no_pairs_of_two_groups_below_the_threshold(spark, scra
     assert sum(made) <= 4 * len(rows)
 
 
+def test_pipeline_makes_no_pairs_of_two_groups_below_the_threshold(spark, monkeypatch):
+    import corpus_pipeline
+
+    made, verify = [], ngram_join._Join.verify
+    monkeypatch.setattr(ngram_join._Join, "verify", lambda self, pairs, label: made.append(pairs.count()) or verify(self, pairs, label))
+    rows = two_groups(60)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, kept.collect())) == rows[:2]
+    assert sum(made) <= 4 * len(rows)
+
+
 def test_tiles_return_fewer_pairs_than_rows():
     import numpy as np
 
