@@ -22,7 +22,7 @@ from a partner, candidates are found as follows.
   returns a forest of likely pairs, fewer than it has components; those are verified and components merged,
   first inside tiles, then across them. The members that still have a possible partner in another component are
   returned once more, a row each, and their whole sets meet in groups that return a forest of true links. So no
-  bucket is cut off, and no step returns more rows than it reads, whether pairs link or not.
+  bucket is cut off, and no tile returns more rows than it reads, whether pairs link or not.
 
 Nothing that grows with the documents is collected or broadcast but the bitmaps: a level's has at most half the
 bits of the one before, so together they take at most twice ``MAX_BITS`` bits (64 MB). Tables that later steps
