@@ -293,8 +293,9 @@ def _sampled(rows: DataFrame, train_rows: int) -> DataFrame:
     rates = [(lang, max(least + 1, int((1 << 30) * min(1.0, bound / n)))) for n, lang, least in sizes]
     if all(r >= 1 << 30 for _, r in rates):
         return rows
-    # one row a label
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(rates, "lang string, rate long")), "lang").where(at < F.col("rate")).drop("rate")
+    # one row a label; from an Arrow table, as a list would start Python workers of its own on the executors
+    table = pa.table({"lang": pa.array([x for x, _ in rates], pa.string()), "rate": pa.array([n for _, n in rates], pa.int64())})
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table)), "lang").where(at < F.col("rate")).drop("rate")
 
 
 _UNIT = 1 << 20  # parts of an expected count, which are added up exactly: every run gets the same model

@@ -457,3 +457,27 @@ def test_pipeline_stages(spark, tmp_path):
     for i, t in expected[2]:
         want[i] += len(encoded(t, 1))
     assert tokens == want
+
+
+def test_language_stage_hands_out_small_batches_and_starts_no_further_workers(spark):
+    import corpus_pipeline
+    from signal_engine.llm import langid
+    from signal_engine.llm.common import Scratch
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = Scratch(spark, "sizes", settings=corpus_pipeline.SMALL).write(spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long"), "n")
+    assert sum(r["n"] for r in found.collect()) == 3000 and max(r["n"] for r in found.collect()) <= 500
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == old
+
+    plan = lambda df: df._jdf.queryExecution().toString()
+    rows = spark.range(400).selectExpr("id AS k", "if(id % 4 = 0, 'de', 'en') AS lang", "'wort' AS t")
+    some = langid._sampled(rows, 50)
+    assert 0 < some.count() < 400 and "ExistingRDD" not in plan(some)  # a list's rows come from Python workers
+
+    docs = spark.createDataFrame([(i, "the word is", "en", "src", 11) for i in range(40)] + [(40, "1", "en", "src", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.count() == 40 and "MapInArrow" not in plan(kept)  # written already, under these settings
