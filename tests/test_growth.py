@@ -33,6 +33,30 @@ def test_interval_overlap_deals_a_hot_year(spark):
     assert pairs.count() == 300 * 300
     assert pairs.select(F.spark_partition_id()).distinct().count() > 1
 
+def _spans(spark, n):
+    """n rows of one key in mixed order of start, with intervals of some weeks to years; some ends are open."""
+    rng = random.Random(n)
+    rows = [(i, 1, 7300 + (s := rng.randint(0, 900)), 7300 + s + rng.randint(20, 1500) if i % 3 else None, i % 6 == 0) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, k int, s int, e int, is_current boolean").select("id", "k", F.date_from_unix_date("s").alias("start"), F.date_from_unix_date("e").alias("end"), "is_current")
+
+def _bytes_a_row(pairs, path):
+    pairs.write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.glob("*.parquet")) / pairs.count()
+
+def test_interval_overlap_is_written_in_little_space(spark, tmp_path):
+    as_of = F.to_date(F.lit("1994-01-01"))
+    rows = _spans(spark, 1500)
+    assert _bytes_a_row(joins.interval_overlap(rows, rows, "k", as_of), tmp_path / "pairs") < 1.2
+    few = rows.where("id % 3 = 0")
+    all_pairs = joins.interval_overlap(few, few, "k", as_of)
+    once = joins.interval_overlap(few, few, "k", as_of, once=True)
+    assert once.count() == once.distinct().count() == all_pairs.where("left_id < right_id").count()
+    assert once.exceptAll(all_pairs).count() == 0
+    side = few.select("id", F.col("start").alias("s"), F.when(F.col("is_current"), as_of).alias("e")).where("s <= e")
+    a, b = side.alias("a"), side.alias("b")
+    assert all_pairs.drop("k").exceptAll(a.join(b, F.expr("a.s <= b.e AND b.s <= a.e")).select("a.id", "b.id", F.greatest("a.s", "b.s"), F.least("a.e", "b.e"))).count() == 0
+    assert all_pairs.count() == side.count() ** 2  # all of them are open, so all meet
+
 def test_token_subset_does_not_shuffle_pairs(spark):
     same = spark.range(1100).select("id", F.array((F.col("id") % 2).cast("string"), F.lit("a")).alias("tokens"))
     pairs = joins.token_subset(same, same)
