@@ -57,6 +57,18 @@ def test_interval_overlap_is_written_in_little_space(spark, tmp_path):
     assert all_pairs.drop("k").exceptAll(a.join(b, F.expr("a.s <= b.e AND b.s <= a.e")).select("a.id", "b.id", F.greatest("a.s", "b.s"), F.least("a.e", "b.e"))).count() == 0
     assert all_pairs.count() == side.count() ** 2  # all of them are open, so all meet
 
+def test_role_proximity_is_written_in_little_space(spark, tmp_path):
+    as_of = F.to_date(F.lit("1994-01-01"))
+    rows = _spans(spark, 1500)
+    pairs = joins.role_proximity(rows, rows, "k", as_of)
+    assert _bytes_a_row(pairs, tmp_path / "pairs") < 0.6
+    assert pairs.count() == 1500 * 1500
+    once = joins.role_proximity(rows, rows, "k", as_of, once=True)
+    assert once.count() == 1500 * 1499 // 2 and once.exceptAll(pairs.where("left_id < right_id")).count() == 0
+    a, b = rows.alias("a"), rows.alias("b")
+    undated = F.expr("(a.end IS NULL AND NOT a.is_current) OR (b.end IS NULL AND NOT b.is_current)")
+    assert pairs.where("proximity = 'undated'").count() == a.crossJoin(b).where(undated).count()
+
 def test_token_subset_does_not_shuffle_pairs(spark):
     same = spark.range(1100).select("id", F.array((F.col("id") % 2).cast("string"), F.lit("a")).alias("tokens"))
     pairs = joins.token_subset(same, same)
