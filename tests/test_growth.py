@@ -69,6 +69,29 @@ def test_role_proximity_is_written_in_little_space(spark, tmp_path):
     undated = F.expr("(a.end IS NULL AND NOT a.is_current) OR (b.end IS NULL AND NOT b.is_current)")
     assert pairs.where("proximity = 'undated'").count() == a.crossJoin(b).where(undated).count()
 
+def _made_for_one(pairs):
+    """How many rows the generators made until the first pair was read."""
+    first = pairs.limit(1)
+    assert len(first.collect()) == 1
+    todo, made = [first._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        if node.nodeName() == "ResultQueryStage":
+            todo.append(node.plan())
+        if node.nodeName() == "Generate":
+            made += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert made > 0
+    return made
+
+def test_similarity_is_written_row_by_row(spark):
+    same = spark.range(1500).select("id", F.lit("x").alias("k"), F.array(F.lit("a")).alias("tokens"))
+    assert _made_for_one(joins.similar_within(same, "k")) < 5000  # not all pairs of a block with those it meets
+    thirds = spark.createDataFrame([(1, "x", ["a", "b"]), (2, "x", ["b", "c"])], "id long, k string, tokens array<string>")
+    assert [tuple(r) for r in joins.similar_within(thirds, "k", 6).collect()] == [(1, 2, 0.333333)]
+
 def test_token_subset_does_not_shuffle_pairs(spark):
     same = spark.range(1100).select("id", F.array((F.col("id") % 2).cast("string"), F.lit("a")).alias("tokens"))
     pairs = joins.token_subset(same, same)
