@@ -99,6 +99,15 @@ def test_token_subset_does_not_shuffle_pairs(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange" in line and "left_id" in line and "right_id" in line]
 
+def test_token_subset_holds_few_pairs_at_once(spark):
+    same = spark.range(1500).select("id", F.array(F.lit("a"), F.lit("b")).alias("tokens"))
+    assert _made_for_one(joins.token_subset(same, same)) < 5000
+    rng = random.Random(8)
+    side = [(i, [f"w{rng.randint(0, 5)}" for _ in range(rng.randint(0, 3))]) for i in range(200)]
+    df = spark.createDataFrame(side, "id long, tokens array<string>")
+    got = [tuple(r) for r in joins.token_subset(df, df, once=True).collect()]
+    assert sorted(got) == [(a, b) for (a, x), (b, y) in itertools.combinations(side, 2) if x and y and (set(x) <= set(y) or set(y) <= set(x))]
+
 def test_few_managers_are_candidates(spark):
     rng = random.Random(5)
     people = [(rng.choice([1, 2, None]), i, rng.choice([1.0, 1.5, 2.0, 3.0, None]), rng.choice(["A", "b", "Ab", None]), rng.choice([1, 2, None]), rng.choice([*range(9), None])) for i in range(150)]
